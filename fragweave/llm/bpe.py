@@ -32,7 +32,7 @@ from .tokens import blocks, pieces
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in a block. It bounds the memory of a task.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
 
 
 def rank_table(path: str = RANKS) -> dict[bytes, int]:
@@ -82,7 +82,7 @@ def split(text: str) -> list[str]:
 def pack(values: list[bytes]) -> bytes:
     """Byte strings with their lengths, compressed."""
     lengths = np.fromiter(map(len, values), np.uint32, len(values))
-    return zstandard.compress(struct.pack("<I", len(values)) + lengths.tobytes() + b"".join(values), 1)
+    return zstandard.compress(struct.pack("<I", len(values)) + lengths.tobytes() + b"".join(values), 3)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
@@ -159,15 +159,22 @@ def _coded(words: DataFrame, ranks: str) -> DataFrame:
                     if got is None:
                         got = known[word] = coder.ids(word)
                     own.append(got)
-                out.append(pack(own))
+                counts = np.fromiter(map(len, own), np.uint32, len(own)) // 4
+                counts, flat = planes(counts), planes(np.frombuffer(b"".join(own), np.uint32))
+                out.append(struct.pack("<I", len(counts)) + counts + flat)
             yield pa.record_batch([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     return words.mapInArrow(run, "block long, bucket int, ids binary")
 
 
-def _gather(lengths: np.ndarray, raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the coded words one after another, and how many each word has."""
-    flat, sizes = np.frombuffer(raw, np.uint32), lengths // 4
+def _counted(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word of a bucket has, and the ids end to end."""
+    n = struct.unpack_from("<I", packed)[0]
+    return unplane(packed[4 : 4 + n]).astype(np.int64), unplane(packed[4 + n :])
+
+
+def _gather(sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the coded words one after another, and where each word ends."""
     starts, n = np.cumsum(sizes) - sizes, sizes[codes]
     ends = np.cumsum(n)
     at = np.repeat(starts[codes] - (ends - n), n)
@@ -178,15 +185,15 @@ def _gather(lengths: np.ndarray, raw: bytes, codes: np.ndarray) -> tuple[np.ndar
 def _join(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """One block: its position lists and the ids of its words."""
     parts = sorted(zip(right["bucket"].to_pylist(), right["ids"].to_pylist(), strict=True))
-    got = [unpack(p) for _, p in parts]
-    lengths = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-    raw = b"".join(g[1] for g in got)
+    got = [_counted(p) for _, p in parts]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)])
+    words = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
     row = {k: left[k][0].as_py() for k in ("doc_ids", "counts", "codes")}
     codes, last = unplane(row["codes"]), np.cumsum(row["counts"])
     out, n_tokens, done = [], [], 0
     for a in range(0, len(last), 64):  # some documents at a time
         upto = last[min(a + 64, len(last)) - 1]
-        flat, ends = _gather(lengths, raw, codes[done:upto])
+        flat, ends = _gather(sizes, words, codes[done:upto])
         at = np.concatenate([[0], ends])[last[a : a + 64] - done].tolist()
         for x, y in zip([0, *at[:-1]], at, strict=True):
             out.append(flat[x:y].tobytes())
@@ -199,7 +206,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, scratch: Scratch | None = None)
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "bpe")
     n = partitions(spark)
-    held = scratch.keep(_blocks(docs, 4 * n), "blocks")
+    held = scratch.keep_bucketed(_blocks(docs, 4 * n), "block", n)  # so that the position lists need no shuffle
     words = held.select(F.explode("words").alias("w"), "block").select("w.bucket", "block", "w.packed")
     ids = _coded(words.repartition(n, "bucket").sortWithinPartitions("bucket"), ranks)
     codes = held.select("block", "doc_ids", "counts", "codes")
