@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, lines, mixing, neardup, sharding, tokens
 from .common import read
 
 
@@ -14,11 +14,30 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.query(spark, read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(spark, read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op4_byte_bpe)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(spark, read(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from 85 % on."""
+    return neardup.near_dups(read(spark, sf_dir, "documents"), percent=85)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(spark, read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_token_output, op2_line_dedup, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing)
+}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": lines.clean_sql("documents")}

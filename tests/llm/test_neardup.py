@@ -1,0 +1,84 @@
+"""Near-duplicate detection against all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+from fragweave.llm import neardup
+from fragweave.llm.common import read
+from fragweave.llm.shingles import overlap, shingles
+
+
+def sets_of(text, width=5):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def brute(rows, percent):
+    sets = [sets_of(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    by = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    pairs = {(a, b) for ks in by.values() for i, a in enumerate(ks) for b in ks[i + 1 :]}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if rows[a][0] is not None and rows[b][0] is not None and 100 * both >= percent * len(sets[a] | sets[b]):
+            up[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            r = find(k)
+            low[r] = min(low.get(r, i), i)
+    return sorted(((i, len(sets[k]), low.get(find(k)) if i is not None else None, i is None or low[find(k)] == i) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def made(rng):
+    """Chains of edits: neighbours are alike, ends are not; and short texts."""
+    words = [f"w{k}" for k in range(3000)]
+    rows, i = [], 1000
+    for size in (6, 12, 40, 150, 900):
+        for _ in range(4):
+            text = [rng.choice(words) for _ in range(size)]
+            for _ in range(25):
+                text = list(text)
+                for _ in range(max(1, size // 60)):
+                    text[rng.randrange(size)] = rng.choice(words)
+                rows.append((i, " ".join(text)))
+                i += 1
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_are_those_of_all_pairs(spark, sf, percent):
+    rng = random.Random(3)
+    rows = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()] + made(rng)
+    rows += [(None, rows[5][1]), (None, None), (7000, None), (7001, ""), (7002, " \n"), (7003, "A b"), (7004, "a  B"), (7005, rows[5][1]), (7005, "unlike"), (7006, rows[5][1])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, rep string, key int").repartition(6)
+    got = sorted((tuple(r) for r in neardup.near_dups(docs, percent).collect()), key=str)
+    assert got == brute(rows, percent)
+
+
+def test_signature_agrees_with_similarity():
+    rng = np.random.default_rng(1)
+    for n in (30, 3000):
+        pool = np.unique(rng.integers(0, 2**63, n * 2).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        a, b = pool[: len(pool) * 9 // 10], pool[len(pool) // 10 :]
+        true = overlap(a, b) / len(pool)
+        same = (neardup.signature(a) == neardup.signature(b)).mean()
+        assert abs(same - true) < 0.25 if n == 30 else abs(same - true) < 0.12
+
+
+def test_empty(spark):
+    assert neardup.near_dups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert len(shingles(None)) == len(shingles(" ")) == 0
