@@ -14,6 +14,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
@@ -44,9 +46,12 @@ def pieces(text: str) -> list[str] | None:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct pre-token; a worker keeps what it has asked."""
+    """The tokenizers library, asked once for each distinct pre-token; a worker keeps what it has asked.
 
-    KEPT = 900_000
+    Words are numbered as they come; ids of word n are ``flat[starts[n]:starts[n + 1]]``.
+    """
+
+    KEPT = 1_500_000
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -55,7 +60,11 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # a token's letters stand for its bytes, one each
+        self.bytes_of = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, k in self.model.get_vocab().items():
+            self.bytes_of[k] = len(token)
+        self.forget()
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -63,31 +72,52 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Words that start with a space and are letters besides stay pre-tokens when glued: one call for many."""
-        glued = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for k in range(0, len(glued), 1000):
-            part = glued[k : k + 1000]
-            code = self.model.encode("".join(part), add_special_tokens=False)
-            ids = np.array(code.ids, np.uint32).tobytes()
-            cut = [0, *(4 * np.searchsorted(code.word_ids, np.arange(1, len(part)))).tolist(), len(ids)]
-            self.known.update(zip(part, (ids[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        for word in new:
-            if word not in self.known:
-                self.known[word] = self._whole(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) else pieces(t) for t in texts]
-        if len(self.known) > self.KEPT:
-            self.known = {}
-        known = self.known
-        self._learn(list(set().union(*(s for s in split if s)) - known.keys()))
-        of = known.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(of, s)) for t, s in zip(texts, split, strict=True)]
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self) -> None:
+        """Ids of the words numbered since last time. Letters after one space stay a pre-token when glued: one call for many."""
+        new = list(islice(reversed(self.number), len(self.number) - len(self.starts) + 1))[::-1]
+        got: list[np.ndarray | None] = [None] * len(new)
+        glued = [k for k, w in enumerate(new) if w[0] == " " and w[1:].isalpha()]
+        groups = [glued[a : a + 1000] for a in range(0, len(glued), 1000)]
+        for a in range(0, len(groups), 20):
+            texts = ["".join([new[k] for k in g]) for g in groups[a : a + 20]]
+            for g, code in zip(groups[a : a + 20], self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(code.ids, np.uint32)
+                ends = np.cumsum([len(new[k].encode("utf-8")) for k in g])
+                cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+                for k, x, y in zip(g, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                    got[k] = ids[x:y]
+        got = [self.whole(w) if x is None else x for w, x in zip(new, got, strict=True)]
+        if got:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
+            self.flat = np.concatenate([self.flat, *got])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.number) > self.KEPT:
+            self.forget()
+        number, codes = self.number.__getitem__, []
+        for t in texts:
+            words = None if any(s in t for s in self.special) else pieces(t)
+            codes.append(None if words is None else np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn()
+        out = []
+        for t, c in zip(texts, codes, strict=True):
+            if c is None:
+                out.append(self.whole(t))
+                continue
+            n = self.starts[c + 1] - self.starts[c]
+            ends = np.cumsum(n)
+            at = np.repeat(self.starts[c] - ends + n, n)
+            at += np.arange(len(at))
+            out.append(self.flat[at])
+        return out
 
 
 def blocks(column: pa.Array, chars: int = 2_000_000):
@@ -110,16 +140,16 @@ _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """Rows of the file format, in the order and the partitions of ``docs``."""
     arrow = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    tail = np.array([end], np.uint32).tobytes()
+    tail = np.array([end], np.uint32)
 
     def run(batches):
         coder, part, at = Encoder.load(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, texts in blocks(batch.column(1)):
-                coded = [c + tail for c in coder.encode(texts)]
-                counts = np.array([len(c) // 4 for c in coded], np.int64)
+                coded = coder.encode(texts)
+                counts = np.array([len(c) + 1 for c in coded], np.int64)
                 ends = np.cumsum(counts)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate([x for c in coded for x in (c, tail)]).view(np.int32)))
                 n = len(texts)
                 yield pa.record_batch([batch.column(0).slice(start, n), pa.array(np.full(n, part, np.int32)), pa.array(at + ends - counts), pa.array(counts.astype(np.int32)), ids], schema=arrow)
                 at += int(ends[-1])
