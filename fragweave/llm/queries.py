@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neardup, sharding, tokens
+from . import bpe, lines, mixing, neardup, sharding, tokens, topk
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.query(spark, read(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.query(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, read(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_line_dedup, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing)
+    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing)
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
