@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neardup, sharding, tokens, topk
+from . import bpe, lines, mixing, neardup, phrases, sharding, tokens, topk
 from .common import read
 
 
@@ -39,8 +39,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.query(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing)
+    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing, op9_phrase_fingerprint)
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
