@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neardup, phrases, sharding, tokens, topk
+from . import bpe, lines, mixing, neardup, phrases, quality, sharding, tokens, topk
 from .common import read
 
 
@@ -43,8 +43,12 @@ def op9_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.query(spark, read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing, op9_phrase_fingerprint)
+    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing, op9_phrase_fingerprint, op10_quality)
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
