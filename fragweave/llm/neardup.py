@@ -64,7 +64,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(docs: DataFrame, width: int, with_bands: bool) -> DataFrame:
+def _sets(docs: DataFrame, width: int, with_bands: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """Of (doc_id, text): doc_id, n_shingles, set_key and bands. Of (doc_id, text, node, set_key): node, the set and a short signature."""
 
     def banded(batches):
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, width: int, with_bands: bool) -> DataFrame:
                 sigs.append(bands(signature(s)).tobytes() if len(s) else b"")
             ends = np.cumsum([0, *(len(x) // 8 for x in sigs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(sigs), np.int64)))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, *batch.columns[2:]], names=["doc_id", "n_shingles", "set_key", "bands", *carry])
 
     def whole(batches):
         for batch in batches:
@@ -89,7 +89,8 @@ def _sets(docs: DataFrame, width: int, with_bands: bool) -> DataFrame:
                 yield pa.record_batch([part.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["node", "hashes", "sig"]).filter(mine)
 
     if with_bands:
-        return docs.mapInArrow(banded, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+        extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+        return docs.mapInArrow(banded, f"doc_id long, n_shingles long, set_key binary, bands array<long>{extra}")
     return docs.mapInArrow(whole, "node long, hashes binary, sig binary")
 
 
@@ -187,12 +188,12 @@ def _rest(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sets: DataFrame
     return dealt.join(slim, "rep").groupBy("key", "i", "j").applyInArrow(cells, "a long, b long").distinct()
 
 
-def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept: one row for each input row."""
+def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept and ``carry``: one row for each input row."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "neardup")
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    banded = scratch.keep(_sets(own, width, True), "banded")
+    banded = scratch.keep(_sets(docs.select(F.col("doc_id").cast("long"), "text", *carry), width, True, carry), "banded")
     shingled = banded.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = shingled.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, when written
@@ -214,6 +215,6 @@ def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scrat
     labelled = scratch.keep(classes.join(comp, classes["rep"] == comp["v"], "left").select("set_key", "first_id", F.coalesce("comp", "rep").alias("comp")), "labelled")
     lowest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_set = labelled.join(lowest, "comp").select("set_key", "component_id")
-    out = banded.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    out = banded.select("doc_id", "n_shingles", "set_key", *carry).join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carry)

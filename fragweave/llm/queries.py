@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neardup, phrases, quality, sharding, tokens, topk
+from . import bpe, lines, mixing, neardup, phrases, quality, sharding, tokens, topk, urls
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(spark, read(spark, sf_dir, "pages"))
+
+
 def op9_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.query(spark, read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing, op9_phrase_fingerprint, op10_quality)
+    f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_top_k, op4_byte_bpe, op5_sharding, op6_minhash, op7_mixing, op8_url_filter, op9_phrase_fingerprint, op10_quality)
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
