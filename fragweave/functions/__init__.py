@@ -1,0 +1 @@
+"""Column expressions: sequences, profiles, distances, probabilities."""

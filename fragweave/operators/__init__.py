@@ -1,0 +1 @@
+"""Relational operators: features, markers, graphs, assignment, merging."""

@@ -1,0 +1 @@
+"""Readers of assembly, coverage and marker files as DataFrames, and writers."""
