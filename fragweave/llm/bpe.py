@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, tidy
 from .tokens import blocks, pieces
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in a block. It bounds the memory of a task.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def rank_table(path: str = RANKS) -> dict[bytes, int]:
@@ -136,6 +136,8 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     names=["block", "doc_ids", "counts", "codes", "words"],
                 )
                 k += 1
+                del index, codes, own, order, place, out, flat
+                tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCK)
 
@@ -182,15 +184,19 @@ def _gather(sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-def _join(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One block: its position lists and the ids of its words."""
+def _decoded(ids: np.ndarray, ranks: str) -> bytes:
+    return b"".join(map(Words.load(ranks).bytes_of.__getitem__, ids.tolist()))
+
+
+def _join(left, right, decoded_by: str | None):
+    """One block: its position lists and the ids of its words; with a rank file also the bytes that the ids stand for."""
     parts = sorted(zip(right["bucket"].to_pylist(), right["ids"].to_pylist(), strict=True))
     got = [_counted(p) for _, p in parts]
     sizes = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)])
     words = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
     row = {k: left[k][0].as_py() for k in ("doc_ids", "counts", "codes")}
     codes, last = unplane(row["codes"]), np.cumsum(row["counts"])
-    out, n_tokens, done = [], [], 0
+    out, n_tokens, back, done = [], [], [], 0
     for a in range(0, len(last), 64):  # some documents at a time
         upto = last[min(a + 64, len(last)) - 1]
         flat, ends = _gather(sizes, words, codes[done:upto])
@@ -198,11 +204,18 @@ def _join(key, left: pa.Table, right: pa.Table) -> pa.Table:
         for x, y in zip([0, *at[:-1]], at, strict=True):
             out.append(flat[x:y].tobytes())
             n_tokens.append(y - x)
+            if decoded_by:
+                back.append(_decoded(flat[x:y], decoded_by))
         done = upto
-    return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary()), pa.array(n_tokens, pa.int64())], names=["doc_id", "ids", "n_tokens"])
+    columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(out, pa.binary()), "n_tokens": pa.array(n_tokens, pa.int64())}
+    if decoded_by:
+        columns["decoded"] = pa.array(back, pa.binary())
+    tidy()
+    return pa.table(columns)
 
 
-def encode(docs: DataFrame, ranks: str = RANKS, scratch: Scratch | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: str = RANKS, scratch: Scratch | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens); with ``decoded`` also what ``decode`` would add, from the same worker."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "bpe")
     n = partitions(spark)
@@ -210,7 +223,8 @@ def encode(docs: DataFrame, ranks: str = RANKS, scratch: Scratch | None = None)
     words = held.select(F.explode("words").alias("w"), "block").select("w.bucket", "block", "w.packed")
     ids = _coded(words.repartition(n, "bucket").sortWithinPartitions("bucket"), ranks)
     codes = held.select("block", "doc_ids", "counts", "codes")
-    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join, "doc_id long, ids binary, n_tokens long")
+    schema = "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda left, right: _join(left, right, ranks if decoded else None), schema)
 
 
 def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -220,11 +234,10 @@ def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
     at = names.index("ids")
 
     def run(batches):
-        of = Words.load(ranks).bytes_of.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                out = [None if x is None else b"".join(map(of, np.frombuffer(x, np.uint32).tolist())) for x in part.column(at).to_pylist()]
+                out = [None if x is None else _decoded(np.frombuffer(x, np.uint32), ranks) for x in part.column(at).to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
@@ -233,7 +246,7 @@ def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def query(spark: SparkSession, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """Whole texts encoded and decoded again, as digests."""
-    return decode(encode(docs, ranks), ranks).select(
+    return encode(docs, ranks, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -12,9 +12,24 @@ from pyspark.sql import functions as F
 #: Words of a text: what stands between these white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH = 2000
+
 _OWN: dict[str, str] = {}
 
 
+def tidy() -> None:
+    """Gives a Python worker's freed memory back to the machine; workers wait for further tasks beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -41,6 +56,10 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/fragweave/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        # texts go to Python workers in batches of this many rows: it bounds their memory
+        most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(most)) <= BATCH:
+            spark.conf.set(most, BATCH)
         atexit.register(self._clean)
 
     def path(self, label: str) -> str:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, tidy
 from .shingles import overlap, scramble, shingles
 
 BINS, ROWS = 200, 5
@@ -78,6 +78,7 @@ def _sets(docs: DataFrame, width: int, with_bands: bool, carry: tuple[str, ...]
             ends = np.cumsum([0, *(len(x) // 8 for x in sigs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(sigs), np.int64)))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, *batch.columns[2:]], names=["doc_id", "n_shingles", "set_key", "bands", *carry])
+        tidy()
 
     def whole(batches):
         for batch in batches:
@@ -87,6 +88,7 @@ def _sets(docs: DataFrame, width: int, with_bands: bool, carry: tuple[str, ...]
                 mine = pa.array([_key(s) == w for s, w in zip(sets, part.column(3).to_pylist(), strict=True)], pa.bool_())
                 sigs = [(signature(s) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else b"" for s in sets]
                 yield pa.record_batch([part.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["node", "hashes", "sig"]).filter(mine)
+        tidy()
 
     if with_bands:
         extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

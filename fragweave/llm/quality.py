@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 COSINES, RIDGE, SEED = 192, 3.0, 11
 THRESHOLD = 0.3
@@ -69,6 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
@@ -202,6 +203,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             if batch.num_rows:
                 x = np.array([statistics(t.as_py()) for t in batch.column(at)])
                 yield batch.filter(pa.array(model.score(x) >= threshold))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 

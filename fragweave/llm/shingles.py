@@ -25,7 +25,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got

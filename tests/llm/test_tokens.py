@@ -71,6 +71,8 @@ def test_bpe_is_the_library_and_comes_back(spark, docs, rows):
         ids = model.encode_ordinary(text)
         want[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in bpe.query(spark, docs).collect()) == want
+    apart = bpe.decode(bpe.encode(docs)).selectExpr("doc_id", "n_tokens", "sha2(ids, 256)", "sha2(decoded, 256)")
+    assert Counter(tuple(r) for r in apart.collect()) == want
 
 
 def test_split_agrees_with_the_library_on_every_odd_character():
