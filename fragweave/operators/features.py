@@ -44,9 +44,9 @@ def coverage_vectors(abundance: DataFrame, contigs: DataFrame, min_length: int =
     """
     known = contigs.select("contig_id", "name", "length")
     rows = abundance.join(known, "name", "left")
-    rows = rows.withColumn("contig_id", F.when(F.col("contig_id").isNull(), F.raise_error(F.concat(F.lit("no contig is named "), F.coalesce("name", F.lit("null"))))).otherwise(F.col("contig_id")))
-    rows = rows.filter(F.col("length") >= min_length)
-    each = F.transform("coverage", floored)
+    unknown = F.raise_error(F.concat(F.lit("no contig is named "), F.coalesce("name", F.lit("null"))))
+    rows = rows.filter(F.when(F.col("contig_id").isNull(), unknown.cast("boolean")).otherwise(F.col("length") >= min_length))
+    each = F.transform("coverage", lambda x: floored(x))
     return rows.groupBy("contig_id", "name").agg(F.flatten(F.collect_list(each)).alias("coverage"))
 
 

@@ -117,7 +117,7 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None, stop: DataFram
     tables = tables or Tables(edges.sparkSession, "hops")
     both = tables.keep(symmetric(edges), "edges")
     front = tables.keep(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist")).distinct(), "front")
-    seen = front
+    seen = front  # the union of all fronts, which are written each
     level = 0
     while depth is None or level < depth:
         level += 1
@@ -126,7 +126,8 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None, stop: DataFram
         front = tables.keep(step.join(seen, ["source", "id"], "left_anti"), "front")
         if not front.limit(1).count():
             break
-        seen = tables.keep(seen.union(front), "seen")
+        # a union of many tables is written as one now and then
+        seen = tables.keep(seen.union(front), "seen") if level % 8 == 0 else seen.union(front)
     return seen
 
 
@@ -155,7 +156,7 @@ def nearest_level(edges: DataFrame, sources: DataFrame, wanted: DataFrame, table
         hit = tables.keep(step.join(wanted, "id", "left_semi").select("source", "id", F.lit(level).alias("dist")), "hit")
         found = hit if found is None else found.union(hit)
         front = tables.keep(step.join(hit.select("source").distinct(), "source", "left_anti"), "front")
-        seen = tables.keep(seen.union(step), "seen")
+        seen = tables.keep(seen.union(step), "seen") if level % 8 == 0 else seen.union(step)
     return found if found is not None else sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist")).limit(0)
 
 
