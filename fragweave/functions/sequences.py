@@ -17,7 +17,7 @@ def reverse_complement(seq: Column) -> Column:
 
 def sanitize(seq: Column) -> Column:
     """Upper case, bases only."""
-    return F.regexp_replace(F.upper(seq), "[^GATC]", "")
+    return F.regexp_replace(F.upper(seq), "[^GATC]+", "")
 
 
 def as_bases(seq: Column) -> Column:
@@ -30,11 +30,19 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-def kmers(seq: Column, k: int = K) -> Column:
-    """Array of the canonical k-mers at every position; empty if the sequence is shorter than k."""
+def positions(seq: Column, k: int = K) -> Column:
+    """Where a k-mer starts, from 1; none if the sequence is shorter than k."""
     n = F.length(seq) - F.lit(k - 1)
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(positions, lambda p: canonical(F.substring(seq, p, F.lit(k))))
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def kmer_at(forward: Column, backward: Column, position: Column, k: int = K) -> Column:
+    """The canonical k-mer at a position, from the bytes of a sequence and of its reverse complement.
+
+    Bytes are cut in place, where a string would be walked from its start.
+    """
+    turned = F.octet_length(forward) - position - F.lit(k - 2)
+    return F.least(F.substr(forward, position, F.lit(k)), F.substr(backward, turned, F.lit(k)))
 
 
 def canonical_index(k: int = K) -> list[str]:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import floored
-from ..functions.sequences import K, as_bases, canonical_index, kmers
+from ..functions.sequences import K, as_bases, canonical_index, kmer_at, positions, reverse_complement
+from ..scratch import spread
 
 
 def long_contigs(contigs: DataFrame, min_length: int) -> DataFrame:
@@ -18,8 +19,10 @@ def long_contigs(contigs: DataFrame, min_length: int) -> DataFrame:
 
 def kmer_counts(sequences: DataFrame, id_col: str = "contig_id", seq: str = "seq", k: int = K) -> DataFrame:
     """(id, kmer, n). Counted before the shuffle, so at most as many rows as there are canonical k-mers leave each sequence."""
-    rows = sequences.select(F.col(id_col), F.explode(kmers(as_bases(F.col(seq)), k)).alias("kmer"))
-    return rows.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    bases = as_bases(F.col(seq))
+    rows = spread(sequences).select(F.col(id_col), bases.cast("binary").alias("_f"), reverse_complement(bases).cast("binary").alias("_b"), positions(bases, k).alias("_at"))
+    each = rows.select(id_col, "_f", "_b", F.explode("_at").alias("_p")).select(id_col, kmer_at(F.col("_f"), F.col("_b"), F.col("_p"), k).alias("_k"))
+    return each.groupBy(id_col, "_k").agg(F.count(F.lit(1)).alias("n")).select(id_col, F.col("_k").cast("string").alias("kmer"), "n")
 
 
 def kmer_frequencies(counts: DataFrame, id_col: str = "contig_id") -> DataFrame:

@@ -450,15 +450,11 @@ x AS (SELECT DISTINCT q.contig_id, bm.bin_id FROM q JOIN bm USING (marker))
 SELECT contig_id, (SELECT count(*) FROM sb) - count(*) AS n_free FROM x GROUP BY contig_id
 UNION ALL SELECT contig_id, (SELECT count(*) FROM sb) FROM z WHERE contig_id NOT IN (SELECT contig_id FROM x)""")
 def conflict_free_bins(spark, sf):
-    """Bins that share no marker, counted through the marker: pairs with a common marker meet, the others never do."""
     kept = Tables(spark, "free")
     h = kept.keep(hits(spark, sf), "hits")
-    seeds = kept.keep(seed_of(h), "seeds")
-    own = h.select("contig_id", "marker").distinct()
-    held = own.join(seeds, "contig_id").select("bin_id", "marker").distinct()
-    clash = own.join(held, "marker").select("contig_id", "bin_id").distinct().groupBy("contig_id").agg(F.count(F.lit(1)).alias("k"))
-    n = seeds.count()
-    return own.select("contig_id").distinct().join(clash, "contig_id", "left").select("contig_id", (F.lit(n) - F.coalesce("k", F.lit(0))).cast("long").alias("n_free"))
+    own = kept.keep(markers.contig_markers(h), "markers")
+    bins = own.join(seed_of(h), "contig_id").select("bin_id", "markers")
+    return assign.free_bins(own, bins).select("contig_id", F.size("free").cast("long").alias("n_free"))
 
 
 def seed_of(h: DataFrame) -> DataFrame:

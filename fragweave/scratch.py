@@ -23,6 +23,15 @@ def root(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """For work that is heavy for each row: a small input in fewer partitions than there are cores is dealt anew.
+
+    A large input has many partitions and stays where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Tables:
     """Tables of one call; ``drop`` deletes one that no later plan reads, the rest goes when the driver ends."""
 
