@@ -2,7 +2,8 @@
 
 Every document gets the key -ln(u) / w: u a uniform number that follows from doc_id, text and seed,
 w its quality weight. Documents are sorted by key within their source and prefix-summed; the source's
-target takes whole epochs first, then the documents whose words end within the rest of the budget.
+target takes whole epochs first, then the documents whose words end within the rest of the budget; the gap that a large
+document leaves there goes to later ones, in the order of their keys.
 DataFrame operators only; hot sources are dealt over many tasks.
 
 Size: words of the text; null or empty: 0. Sources are ordered by code point, null last, with weights that
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, ordered_sums, uniform
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Times that the gap which the first document beyond a budget leaves is filled with later ones that fit.
+FILLS = 2
 
 
 def quality(text: Column) -> Column:
@@ -60,19 +63,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (-F.log(uniform(F.col("doc_id"), F.col("text"), seed=seed)) / quality(text)).alias("key"),
     )
-    run = scratch.keep(ordered_sums(scratch, keyed, [F.col("source").asc_nulls_last(), "key", "doc_id"], {"upto": "size"}, ["source"]), "run")
+    order = [F.col("source").asc_nulls_last(), "key", "doc_id"]
+    run = scratch.keep(ordered_sums(scratch, keyed, order, {"upto": "size"}, ["source"]), "run")
     per = targets(run.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     per = per.withColumnRenamed("source", "_source")
     out = run.join(per, run["source"].eqNullSafe(per["_source"])).drop("_source")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    # a document that the budget's end divides is in if most of it is
-    return (
-        out.withColumn("epochs", epochs)
-        .withColumn("chosen", (F.col("epochs") < F.lit(int(most))) & (F.col("upto") - F.col("size") / 2 <= rest) & (F.col("size") > 0))
-        .withColumn("taken", (F.col("epochs") + F.col("chosen").cast("long")) * F.col("size"))
-        .drop("upto", "key")
-    )
+    out = out.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    open_ = (F.col("epochs") < F.lit(int(most))) & (F.col("size") > 0)
+    out = out.withColumn("chosen", open_ & (F.col("upto") <= F.col("rest"))).drop("upto")
+    names = out.columns
+    for k in range(FILLS):
+        out = scratch.keep(out, "chosen")
+        gaps = out.groupBy(F.col("source").alias("_source")).agg((F.max("rest") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+        out = out.join(gaps, F.col("source").eqNullSafe(F.col("_source")))
+        fits = open_ & ~F.col("chosen") & (F.col("size") <= F.col("gap"))
+        filled = ordered_sums(scratch, out.filter(fits), order, {"upto": "size"}, ["source"])
+        # what the last gap's end divides is in if most of it is
+        end = F.col("upto") - (F.col("size") / 2 if k == FILLS - 1 else F.lit(0))
+        out = out.filter(~fits).select(*names).union(filled.withColumn("chosen", end <= F.col("gap")).select(*names))
+    return out.withColumn("taken", (F.col("epochs") + F.col("chosen").cast("long")) * F.col("size")).drop("key", "rest")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

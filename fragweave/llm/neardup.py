@@ -213,8 +213,11 @@ def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scrat
     comp = scratch.keep(components(scratch, links), "comp")
     more = scratch.keep(_confirm(_rest(scratch, buckets, comp, sets, percent), sets, percent), "more")
     if more.limit(1).count():
-        comp = scratch.keep(components(scratch, links.union(more)), "comp")
+        first, comp = comp, scratch.keep(components(scratch, links.union(more)), "comp")
+        scratch.drop(first)
     labelled = scratch.keep(classes.join(comp, classes["rep"] == comp["v"], "left").select("set_key", "first_id", F.coalesce("comp", "rep").alias("comp")), "labelled")
+    for done in (classes, buckets, pairs, sets, links, more, comp):  # the answer needs the banded and the labelled rows alone
+        scratch.drop(done)
     lowest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_set = labelled.join(lowest, "comp").select("set_key", "component_id")
     out = banded.select("doc_id", "n_shingles", "set_key", *carry).join(of_set, "set_key", "left")
