@@ -40,6 +40,22 @@ def dense_profiles(sequences: DataFrame, id_col: str = "contig_id", seq: str = "
     return out.select(id_col, F.when(F.col("by_kmer").isNull(), F.array_repeat(F.lit(0.0), len(canonical_index(k)))).otherwise(dense).alias("profile"))
 
 
+def fingerprint(sequences: DataFrame, id_col: str = "contig_id", seq: str = "seq") -> str:
+    """Of all ids and sequences, whatever their order."""
+    row = sequences.select(F.xxhash64(id_col, seq).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h") % 1_000_003).alias("s")).first()
+    return f"{row['n']:x}-{(row['x'] or 0) & (1 << 64) - 1:x}-{(row['s'] or 0) & (1 << 64) - 1:x}"
+
+
+def cached_profiles(sequences: DataFrame, path: str, id_col: str = "contig_id", seq: str = "seq", k: int = K) -> DataFrame:
+    """``dense_profiles``, written below ``path`` under the input's fingerprint and read from there the next time."""
+    spark = sequences.sparkSession
+    place = f"{path}/k{k}-{fingerprint(sequences, id_col, seq)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        dense_profiles(sequences, id_col, seq, k).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def coverage_vectors(abundance: DataFrame, contigs: DataFrame, min_length: int = 0) -> DataFrame:
     """(contig_id, name, coverage) of long contigs, floored; a repeated name's values follow one another.
 

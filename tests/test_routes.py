@@ -1,0 +1,83 @@
+"""Loading by each route, the profile cache, and the commands."""
+
+from fragweave import __main__ as commands
+from fragweave.operators import features
+from fragweave.plans import binning
+from fragweave.scratch import Tables
+
+A, B, C = "ACGT" * 300, "CCGA" * 400, "TTAG" * 350
+HIT = "{}_1_90_+ - 90 M1 acc 100 1e-9 1 0 1 1 1 1 1 0 5 70 1 1 1 1 0.9 d"
+
+
+def files(tmp_path, names, **texts):
+    fasta = "".join(f">{n} d\n{s}\n" for n, s in zip(names, (A, B, C), strict=True))
+    every = {"fasta": fasta, "ab": "".join(f"{n}\t{k + 1}.5\t2\n" for k, n in enumerate(names)), "hits": HIT.format(names[0]) + "\n"} | texts
+    for name, text in every.items():
+        (tmp_path / name).write_text(text)
+    return {n: str(tmp_path / n) for n in every}
+
+
+def loaded(spark, route, p, **more):
+    params = binning.Params(route, p["graph"], p["fasta"], p["ab"], p["hits"], **more)
+    return binning.load(spark, params, Tables(spark, "t"))
+
+
+def edges(data):
+    return sorted(map(tuple, data.edges.collect()))
+
+
+def test_spades(spark, tmp_path):
+    names = [f"NODE_{k}_length_{len(s)}_cov_1" for k, s in zip((5, 7, 9), (A, B, C), strict=True)]
+    paths = f"{names[0]}\n1+\n{names[0]}'\n1-\n{names[1]}\n2+\n{names[1]}'\n2-\n{names[2]}\n3+,1-\n{names[2]}'\n1+,3-\n"
+    p = files(tmp_path, names, graph="S\t1\tA\nL\t1\t+\t2\t+\t0M\n", paths=paths)
+    data = loaded(spark, "spades", p, paths=p["paths"])
+    assert sorted((r["contig_id"], r["name"]) for r in data.contigs.collect()) == list(enumerate(names))
+    assert edges(data) == [(0, 1), (0, 2), (1, 2)]
+    assert data.n_samples == 2 and binning.counters(data, 1000) == {"contigs": 3, "long": 3, "isolated": 0, "long_isolated": 0, "edges": 3, "samples": 2}
+
+
+def test_flye(spark, tmp_path):
+    names = ["contig_1", "contig_2", "contig_3"]
+    info = "#seq_name length\ncontig_1\t9\t*,1,*\ncontig_2\t9\t-2\ncontig_3\t9\t7\n"
+    p = files(tmp_path, names, graph="L\tedge_1\t+\tedge_2\t-\t0M\n", info=info)
+    assert edges(loaded(spark, "flye", p, paths=p["info"])) == [(0, 1)]
+
+
+def test_megahit_takes_names_by_place_and_sequence(spark, tmp_path):
+    names = ["k141_10", "k141_20", "k141_30"]
+    graph = f"S\tg0\t{A}\nS\tg1\t{B}\nS\tg2\t{C}\nL\tg0\t+\tg2\t+\t0M\n"
+    p = files(tmp_path, names, graph=graph)
+    data = loaded(spark, "megahit", p)
+    assert sorted((r["contig_id"], r["name"], r["description"]) for r in data.contigs.collect()) == [(k, n, f"{n} d") for k, n in enumerate(names)]
+    assert edges(data) == [(0, 2)] and data.hits.count() == 1
+
+
+def test_custom_routes(spark, tmp_path):
+    names = ["a", "b", "c"]
+    graph = f"S\ta\t{A}\nS\tb\t{B}\nS\tc\t{C}\nL\ta\t+\tb\t+\t0M\nL\tb\t+\ta\t+\t0M\n"
+    p = files(tmp_path, names, graph=graph)
+    assert edges(loaded(spark, "custom", p)) == [(0, 1)]
+    p["graph"] = str(tmp_path / "trimmed")
+    (tmp_path / "trimmed").write_text("".join(f"S\t{n}_x\tA\n" for n in names) + "L\ta\t+\tc\t+\t0M\n")
+    assert edges(loaded(spark, "megahitc", p)) == [(0, 2)]
+
+
+def test_profile_cache(spark, tmp_path):
+    seqs = spark.createDataFrame([(0, A), (1, "ACG")], "contig_id int, seq string")
+    first = sorted(map(tuple, features.cached_profiles(seqs, str(tmp_path / "c")).collect()))
+    assert sorted(map(tuple, features.cached_profiles(seqs.repartition(3), str(tmp_path / "c")).collect())) == first
+    assert len(list((tmp_path / "c").iterdir())) == 1
+    features.cached_profiles(seqs.limit(1), str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").iterdir())) == 2
+
+
+def test_commands(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"s{k}.tsv").write_text(f"Contig\tS{k}\nx\t{k}\ny\t{2 * k}\n")
+    assert commands.main(["combine-coverage", "--covpath", str(tmp_path), "--output", str(tmp_path / "cc")]) == 0
+    assert [r[0] for r in spark.read.text(str(tmp_path / "cc/coverage_with_header")).collect()] == ["Contig\tS1\tS2", "x\t1.0\t2.0", "y\t2.0\t4.0"]
+    (tmp_path / "g.gfa").write_text("S\t1\tac" + "G" * 70 + "n\nL\t1\t+\t2\t+\t0M\n")
+    assert commands.main(["gfa-to-fasta", "--graph", str(tmp_path / "g.gfa"), "--output", str(tmp_path / "gf")]) == 0
+    assert [r[0] for r in spark.read.text(str(tmp_path / "gf/edges")).collect()] == [">1", "AC" + "G" * 58, "G" * 12]
+    args = commands.arguments(["bin", "--assembler", "custom", "--graph", "g", "--contigs", "c", "--abundance", "a", "--hits", "h", "--output", "o", "--no-compat", "--d-limit", "7"])
+    assert (args.d_limit, args.compat, args.p_intra) == (7, False, 0.1)
