@@ -223,3 +223,25 @@ def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scrat
     out = banded.select("doc_id", "n_shingles", "set_key", *carry).join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carry)
+
+
+def brute_sql(table: str, percent: int = PERCENT, width: int = WIDTH) -> str:
+    """DuckDB SQL for ``near_dups``: all pairs of sets with a shingle in common, counted once for equal sets."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}
+), d AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' ')))) END AS s FROM w
+), c AS (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM d WHERE len(s) > 0 GROUP BY s
+), x AS (SELECT id, n, unnest(s) AS g FROM c),
+p AS (
+  SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n
+  HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT id, id AS reach FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
+m AS (SELECT id, min(reach) AS low FROM r GROUP BY id)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, coalesce(m.low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN c ON d.s = c.s LEFT JOIN m ON m.id = c.id
+"""

@@ -56,4 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {"op2_line_dedup": lines.clean_sql("documents")}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": lines.clean_sql("documents"),
+    "op3_top_k": topk.brute_sql("embeddings"),
+    "op6_minhash": neardup.brute_sql("documents", percent=85),
+}

@@ -196,3 +196,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
 def query(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     rows = integers(embeddings, "vec_id", "embedding")
     return top_k(rows, rows.filter(F.col("id") % every == 0), k)
+
+
+def brute_sql(table: str, every: int = 50, k: int = K) -> str:
+    """DuckDB SQL for ``query``: all scores."""
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM {table}
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}
+"""
