@@ -54,5 +54,17 @@ def combine_coverage(rows: DataFrame, samples: list[str], by: str = "contig") ->
     return names.join(wide, "pos").select("contig", *samples)
 
 
-def write_table(rows: DataFrame, path: str, delimiter: str = ",", header: bool = False) -> None:
-    rows.write.csv(path, sep=delimiter, header=header, quoteAll=False)
+def _cell(value, delimiter: str):
+    """Quoted only where it has to be."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    special = text.contains(delimiter) | text.contains('"') | text.contains("\n") | text.contains("\r")
+    return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def write_table(rows: DataFrame, path: str, delimiter: str = ",", header: bool = False, crlf: bool = False) -> None:
+    """Delimited text with minimal quoting; ``crlf``: lines end in carriage return and line feed."""
+    if header:
+        rows.write.csv(path, sep=delimiter, header=True)
+        return
+    cells = F.concat_ws(delimiter, *[_cell(F.col(c), delimiter) for c in rows.columns])
+    rows.select(F.concat(cells, F.lit("\r" if crlf else "")).alias("value")).write.text(path)

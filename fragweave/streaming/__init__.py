@@ -1,0 +1 @@
+"""Empty: every input of this engine is a file that is read once to its end, and no operator keeps state between runs."""

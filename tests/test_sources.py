@@ -106,3 +106,10 @@ def test_delimiters(spark, tmp_path):
         out = str(tmp_path / f"t{k}")
         tables.write_table(spark.createDataFrame([("a", "bin_1")], "contig string, bin string").coalesce(1), out, d)
         assert [r[0] for r in spark.read.text(out).collect()] == [f"a{d}bin_1"]
+
+
+def test_quoting_and_line_ends(spark, tmp_path):
+    out = str(tmp_path / "q")
+    tables.write_table(spark.createDataFrame([('a,"b', "bin_1"), ("c", None)], "contig string, bin string").coalesce(1), out, ",", crlf=True)
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "q").glob("part-*")))
+    assert data == b'"a,""b",bin_1\r\nc,\r\n'
