@@ -1,0 +1,33 @@
+"""What the physical plans must show: pruned scans, pushed filters, no Cartesian products, no Python where none is needed."""
+
+import __spark_entry__ as entry
+import pytest
+from fragweave.plans import catalogue
+
+PYTHON = ("MapInArrow", "MapInPandas", "FlatMap", "PythonUDF", "ArrowEval")
+#: Their last steps run small state machines.
+SEQUENTIAL = {"matching", "gated_assign", "final_propagation"}
+
+
+def plan(spark, sf, name):
+    return entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SEQUENTIAL))
+def test_native_and_no_products(spark, sf, name):
+    text = plan(spark, sf, name)
+    assert "CartesianProduct" not in text
+    assert not any(p in text for p in PYTHON)
+
+
+def test_scans_are_pruned(spark, sf):
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(spark, sf, "kmer_counts")
+    text = plan(spark, sf, "marker_hits")
+    assert "l_extendedprice" not in text.split("== Physical Plan ==")[1]
+    assert "PushedFilters: [IsNotNull" in text
+    assert "BroadcastHashJoin" in text
+
+
+def test_counts_are_combined_before_the_shuffle(spark, sf):
+    physical = plan(spark, sf, "kmer_counts").split("== Physical Plan ==")[1]
+    assert physical.count("HashAggregate") == 2 and physical.index("Exchange hashpartitioning") < physical.rindex("HashAggregate")
