@@ -22,6 +22,8 @@ from .common import WORD, Scratch, ordered_sums, uniform
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Times that the gap which the first document beyond a budget leaves is filled with later ones that fit.
 FILLS = 2
+#: Sources up to which their table (some 50 bytes each) is broadcast, so that a hot source's rows stay where they are.
+SOURCES = 100_000
 
 
 def quality(text: Column) -> Column:
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     order = [F.col("source").asc_nulls_last(), "key", "doc_id"]
     run = scratch.keep(ordered_sums(scratch, keyed, order, {"upto": "size"}, ["source"]), "run")
     per = targets(run.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    per = per.withColumnRenamed("source", "_source")
+    per = _by_source(scratch, per.withColumnRenamed("source", "_source"))
     out = run.join(per, run["source"].eqNullSafe(per["_source"])).drop("_source")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     out = out.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -76,6 +78,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     for k in range(FILLS):
         out = scratch.keep(out, "chosen")
         gaps = out.groupBy(F.col("source").alias("_source")).agg((F.max("rest") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+        gaps = _by_source(scratch, gaps)
         out = out.join(gaps, F.col("source").eqNullSafe(F.col("_source")))
         fits = open_ & ~F.col("chosen") & (F.col("size") <= F.col("gap"))
         filled = ordered_sums(scratch, out.filter(fits), order, {"upto": "size"}, ["source"])
@@ -85,5 +88,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     return out.withColumn("taken", (F.col("epochs") + F.col("chosen").cast("long")) * F.col("size")).drop("key", "rest")
 
 
+def _by_source(scratch: Scratch, per: DataFrame) -> DataFrame:
+    """One row for each source, to be broadcast if they are few; else both sides of the join are shuffled."""
+    per = scratch.keep(per, "per")
+    return F.broadcast(per) if per.count() <= SOURCES else per
+
+
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
