@@ -7,8 +7,10 @@ all others, so these start with a bound that prunes.
 
 Queries take part in blocks: a block meets each shard once, and a shard returns k rows at most for each query. Ties go to the
 smaller id; a query's own row is no candidate. Vectors that are null, empty, or hold null or non-finite components take no
-part; shorter vectors count as if zeros followed. Components beyond 2**24 after scaling are outside the exact range and
-take no part either. Repeated ids are candidates each; with equal scores
+part; shorter vectors count as if zeros followed. With ``wide``, as in ``query``, components of any finite size (after
+scaling, too) take part; without it those beyond 2**24 after scaling do not. Where doubles may not hold a sum of products
+it is taken in Python's integers; a score beyond 64 bits ranks where it belongs and is null in ``score``.
+Repeated ids are candidates each; with equal scores
 they rank one after the other. Of a repeated query id the smallest vector asks.
 Extra columns are ignored; empty tables give an empty result.
 """
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,20 @@ SHARD, BLOCK, LEAF = 4096, 1024, 64
 _LIMIT = float(1 << 24)
 
 
-def integers(vectors: DataFrame, id_col: str, vector: str, scale: float = SCALE) -> DataFrame:
+#: Up to here every whole number is a double; a larger double is whole.
+_EXACT = float(1 << 53)
+
+
+def integers(vectors: DataFrame, id_col: str, vector: str, scale: float = SCALE, wide: bool = False) -> DataFrame:
     """(id, v): usable vectors as arrays of whole doubles."""
-    v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
-    finite = ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * F.lit(scale) > F.lit(_LIMIT - 1)))
+    most = sys.float_info.max if wide else _LIMIT - 1
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * F.lit(scale)
+        return F.when(F.abs(scaled) < F.lit(_EXACT), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    v = F.transform(F.col(vector), whole)
+    finite = ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * F.lit(scale) > F.lit(most)))
     usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
     return vectors.filter(usable).filter(finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
@@ -80,6 +94,26 @@ def build(ids: np.ndarray, m: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndar
     return {"ids": ids[rows], "m": m[rows], "centre": np.array(centre), "radius": np.array(radius), "span": np.array(span), "child": np.array(child)}
 
 
+def _under(score: float) -> float:
+    """The score, or the next double below it where it is none."""
+    try:
+        near = float(score)
+    except OverflowError:
+        return sys.float_info.max if score > 0 else -math.inf
+    return near if near <= score else math.nextafter(near, -math.inf)
+
+
+def _ordered(score: int) -> bytes:
+    """Bytes in the order of the numbers, of any size."""
+    size = abs(score).to_bytes(-(-abs(score).bit_length() // 8), "big")
+    up = b"\x80" + len(size).to_bytes(2, "big") + size
+    return up if score >= 0 else bytes(255 - b for b in up)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(x)
+
+
 def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int = K):
     """For each query up to k (score, id), best first: all that may be among the best k, given that ``kth`` is reached elsewhere."""
     dims = tree["m"].shape[1]
@@ -87,16 +121,19 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kth: n
         q = q[:, :dims]
     elif q.shape[1] < dims:
         q = np.pad(q, ((0, 0), (0, dims - q.shape[1])))
-    # a little more than the bound itself, for what rounding may take from it
-    norm = np.sqrt((q**2).sum(axis=1))
-    bound = (q @ tree["centre"].T + norm[:, None] * tree["radius"][None, :]) * (1 + 1e-9) + 1e-6
+    # a little more than the bound itself, for what rounding may take from it; what overflows bounds nothing
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((q**2).sum(axis=1))
+        reach = np.sqrt((tree["centre"] ** 2).sum(axis=1)) + tree["radius"]
+        bound = q @ tree["centre"].T + norm[:, None] * tree["radius"][None, :]
+        bound += 1e-9 * norm[:, None] * reach[None, :] + 1e-6
+    bound[np.isnan(bound)] = np.inf
+    exact: dict[int, np.ndarray] = {}
     found = []
     for x in range(len(q)):
         best: list[tuple[float, int]] = []
-        floor = kth[x]
+        floor = float(kth[x])
         front = [(-bound[x, 0], 0)]
-        import heapq
-
         while front:
             up, node = heapq.heappop(front)
             if -up < floor:
@@ -108,7 +145,18 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kth: n
                         heapq.heappush(front, (-bound[x, n], n))
                 continue
             a, b = tree["span"][node]
-            ids, scores = tree["ids"][a:b], tree["m"][a:b] @ q[x]
+            ids = tree["ids"][a:b]
+            if norm[x] * reach[node] * (1 + 1e-9) < _EXACT:
+                scores = tree["m"][a:b] @ q[x]
+            else:
+                if node not in exact:
+                    exact[node] = _whole(tree["m"][a:b])
+                scores = exact[node] @ _whole(q[x])
+                own = [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if s >= floor and i != q_ids[x]]
+                best = heapq.nsmallest(k, best + own)
+                if len(best) == k:
+                    floor = max(floor, _under(-best[-1][0]))
+                continue
             near = np.flatnonzero((scores >= floor) & (ids != q_ids[x]))
             if len(near) > k:  # the best of the leaf, ties by id
                 near = near[np.lexsort((ids[near], -scores[near]))[:k]]
@@ -116,14 +164,15 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kth: n
             best.sort()
             del best[k:]
             if len(best) == k:
-                floor = max(floor, -best[-1][0])
+                floor = max(floor, _under(-best[-1][0]))
         found.append([(int(-s), i) for s, i in best])
     return found
 
 
 def _packed(tree: dict[str, np.ndarray]) -> bytes:
     out = io.BytesIO()
-    np.savez(out, **{n: a.astype(np.int32) if n == "m" else a for n, a in tree.items()})
+    small = np.abs(tree["m"]).max(initial=0) < 1 << 31
+    np.savez(out, **{n: a.astype(np.int32) if n == "m" and small else a for n, a in tree.items()})
     return out.getvalue()
 
 
@@ -143,7 +192,7 @@ def _trees(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """pairs: (tree, ids, vs, kth) to (query_id, vec_id, score)."""
+    """pairs: (tree, ids, vs, kth) to (query_id, vec_id, score, rising, low): the score, its bytes in order, a double not above it."""
 
     def run(batches):
         for batch in batches:
@@ -153,11 +202,12 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
                 q = _matrix(part.column(2)[0].values)
                 kth = part.column(3)[0].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 found = search(_unpacked(part.column(0)[0].as_py()), q_ids, q, kth, k)
-                out = [(int(i), c, s) for i, f in zip(q_ids, found, strict=True) for s, c in f]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                out = [(int(i), c, s if -(1 << 63) <= s < 1 << 63 else None, _ordered(s), _under(s)) for i, f in zip(q_ids, found, strict=True) for s, c in f]
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "vec_id", "score", "rising", "low"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long, rising binary, low double")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD, block: int = BLOCK, leaf: int = LEAF, scratch: Scratch | None = None) -> DataFrame:
@@ -184,17 +234,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     if shards == 1:
         found = first
     else:
-        low = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k)
-        bounded = queries.withColumn("block", dealt(blocks, 1)).join(low, queries["id"] == low["query_id"], "left").withColumn("kth", F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))))
+        low = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).filter(F.col("n") >= k)
+        bounded = queries.withColumn("block", dealt(blocks, 1)).join(low, queries["id"] == low["query_id"], "left").withColumn("kth", F.coalesce("low", F.lit(float("-inf"))))
         found = first.union(met(trees.filter("shard > 0"), bounded.select("id", "v", "block", "kth")))
 
     # ranks are limited before the shuffle too, so a query never gathers more than k rows from each task
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("rising").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int = K) -> DataFrame:
-    rows = integers(embeddings, "vec_id", "embedding")
+    rows = integers(embeddings, "vec_id", "embedding", wide=True)
     return top_k(rows, rows.filter(F.col("id") % every == 0), k)
 
 

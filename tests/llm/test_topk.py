@@ -39,6 +39,50 @@ def test_few_and_none(spark):
     assert topk.query(spark, spark.createDataFrame([], schema)).count() == 0
 
 
+def test_wide_components(spark):
+    """Components of any finite size ask and are found; sums beyond the doubles are exact."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    for i, size in enumerate([65536.0, 70000.0, -70000.0, 1e5, 3e8, 3.1e9, -3.1e9, 1e20, 1e30, -1e30, 3e38]):
+        rows += [(1000 + 50 * i + j, (rng.normal(size=8) * (size if j < 2 else 1)).clip(-3.4e38, 3.4e38).astype(np.float32).tolist()) for j in range(3)]
+        rows[-1][1][3] = float(np.float32(size))
+    rows += [(5003, [float("inf")] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    whole = [(i, [int(math.floor(256 * x)) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
+    want = []
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
+            want += [(q, r + 1, i, -s if -(2**63) <= -s < 2**63 else None) for r, (s, i) in enumerate(best)]
+    assert any(s is None for *_, s in want)
+    got = topk.query(spark, table)
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    v = topk.integers(table, "vec_id", "embedding", wide=True)
+    got = topk.top_k(v, v.filter("id % 50 = 0"), shard_rows=64, leaf=8, block=7)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_wide_scores_differ_by_less_than_a_double_holds(spark):
+    rows = [(i, [2.0**30, float(i % 50)]) for i in range(1, 101)]
+    got = topk.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 100")
+    # all products of the first components are 2**76; the second of 100 is 0, so ties go by id
+    assert [(r["vec_id"], r["score"]) for r in got.collect()] == [(i, None) for i in range(1, 6)]
+    rows = [(0, [2.0**22, 1.0])] + [(i, [2.0**22, i / 256]) for i in range(1, 31)]
+    got = topk.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0")
+    assert [(r["vec_id"], r["score"]) for r in got.collect()] == [(i, (1 << 60) + 256 * i) for i in range(30, 25, -1)]
+
+
+def test_wide_equals_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, [float(i % 7), 70000.0 + i if i % 3 else -float(i)]) for i in range(200)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO e VALUES (?, ?)", rows)
+    got = topk.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(topk.brute_sql("e")).fetchall())
+
+
 def test_branches_are_pruned():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 8)) * 50
