@@ -35,11 +35,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id; of equal rows one stays."""
-    keyed = docs.withColumn("_row", _row_key(docs))
-    judged = neardup.near_dups(keyed, carry=("_row",))
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_id"), "_row").distinct()
-    return keyed.join(kept, _same(keyed, kept), "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    """One document of each group of near copies stays, that of the smallest doc_id; of equal rows one stays.
+
+    Rows are judged under numbers of their own, so null and repeated doc_ids are grouped by their texts as well. A null
+    doc_id comes after all others, and rows of one doc_id go by their digest.
+    """
+    scratch = Scratch(spark, "nearcopies")
+    # numbered once, when written
+    numbered = scratch.keep(docs.withColumn("_row", _row_key(docs)).withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    named = numbered.select(F.col("_n").alias("doc_id"), "text", F.col("doc_id").alias("_id"), "_row")
+    judged = neardup.near_dups(named, carry=("_id", "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", F.col("doc_id").alias("n"))).alias("first")
+    of_group = judged.groupBy("component_id").agg(first).select("first.*")
+    # documents without words are groups of their own, so equal rows among them are left
+    kept = of_group.groupBy("_id", "_row").agg(F.min("n").alias("_kept"))
+    return numbered.join(kept, F.col("_n") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

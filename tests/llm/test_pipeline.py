@@ -63,6 +63,27 @@ def test_stages(spark):
     assert Counter((a, b, bytes(c), d, e) for a, b, c, d, e in out["tokenize"]) == want
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    names = read(spark, SF, "documents").columns
+    text = [" ".join(f"{c}{k}" for k in range(200)) for c in "abcde"]
+    near = [t + " more" for t in text]
+    made = [
+        (None, text[0], "en", "s", 1), (None, near[0], "en", "s", 2), (None, text[0], "en", "t", 1),  # one of the three
+        (7, text[1], "en", "s", 1), (None, near[1], "en", "s", 1),  # the one with an id
+        (5, text[2], "en", "s", 1), (5, near[2], "en", "s", 1), (6, text[2], "en", "s", 1),  # one of those with 5
+        (8, text[3], "en", "s", 1), (8, text[3], "en", "t", 1),  # alike but for the source: one
+        (9, text[4], "en", "s", 1), (9, "of its own " * 9, "en", "s", 1),  # repeated id, unlike texts: both
+        (None, None, "en", "s", None), (None, None, "en", "s", None), (None, "", "en", "s", 0), (10, "", "en", "s", 0), (10, "", "en", "t", 0),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == names
+    got = Counter(rows(out))
+    assert set(got.values()) == {1} and set(got) <= set(made)
+    groups = [made[:3], made[3:4], made[5:7], made[8:10], made[10:11], made[11:12], made[12:13], made[14:15], made[15:16], made[16:17]]
+    assert [sum(r in got for r in g) for g in groups] == [1] * len(groups) and len(got) == len(groups)
+
+
 def test_empty(spark):
     none = read(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
