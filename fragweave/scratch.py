@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,15 @@ _OWN: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of this machine only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where none is set: a folder of this machine if driver and tasks are one process, and an error on a cluster.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="fragweave-")
@@ -24,12 +30,15 @@ def root(spark: SparkSession) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """For work that is heavy for each row: a small input in fewer partitions than there are cores is dealt anew.
+    """For work that is heavy for each row: an input too small to fill all cores by itself is dealt anew.
 
-    A large input has many partitions and stays where it is.
+    Judged by the planner's estimate of its bytes, so nothing runs for it; a large input stays where it is.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return rows.repartition(cores) if size < cores * piece else rows
 
 
 class Tables:
@@ -39,18 +48,28 @@ class Tables:
         self.spark = spark
         self.base = f"{root(spark)}/fragweave/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.places: dict[int, str] = {}
+        #: By identity of the frame, which is held so that no other gets its number: path, and the catalogue's name if it has one.
+        self.places: dict[int, tuple[DataFrame, str, str | None]] = {}
         atexit.register(self._clean)
 
     def path(self, label: str) -> str:
         self.n += 1
         return f"{self.base}/{self.n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.places[id(out)] = path
+        self.places[id(out)] = out, path, None
+        return out
+
+    def keep_bucketed(self, df: DataFrame, key: str, buckets: int, label: str = "b") -> DataFrame:
+        """As ``keep``, dealt by ``key``: later joins and groups by it read the table without a shuffle."""
+        name = f"fragweave_{uuid.uuid4().hex[:16]}"
+        path = self.path(label)
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.places[id(out)] = out, path, name
         return out
 
     def ordinals(self, rows: DataFrame, order: list, name: str) -> DataFrame:
@@ -67,9 +86,14 @@ class Tables:
         return ranked.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_rank")).drop("_range", "_start", "_rank")
 
     def drop(self, df: DataFrame) -> None:
-        path = self.places.pop(id(df), None)
-        if path:
-            self._delete(path)
+        place = self.places.pop(id(df), None)
+        if place:
+            self._gone(*place[1:])
+
+    def _gone(self, path: str, name: str | None) -> None:
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._delete(path)
 
     def _delete(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,6 +101,9 @@ class Tables:
 
     def _clean(self) -> None:
         try:
+            for _, path, name in self.places.values():
+                if name:
+                    self._gone(path, name)
             self._delete(self.base)
         except Exception:  # the JVM may be gone already
             pass
