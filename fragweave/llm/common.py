@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Tables
+
 #: Words of a text: what stands between these white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch.
 BATCH = 2000
 
-_OWN: dict[str, str] = {}
-
 
 def tidy() -> None:
     """Gives a Python worker's freed memory back to the machine; workers wait for further tasks beside the JVM."""
@@ -34,69 +30,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="fragweave-")
-    return "file://" + _OWN[app]
-
-
-class Scratch:
-    """Written tables of one operator call; they cut lineage and survive lost executors.
-
-    ``drop`` deletes a table that no later plan reads. The rest goes when the driver ends.
-    """
+class Scratch(Tables):
+    """Written tables of one operator call, for operators whose Python workers get texts."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/fragweave/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
+        super().__init__(spark, name)
         # texts go to Python workers in batches of this many rows: it bounds their memory
         most = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if not 0 < int(spark.conf.get(most)) <= BATCH:
             spark.conf.set(most, BATCH)
-        atexit.register(self._clean)
-
-    def path(self, label: str) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n:03d}-{label}"
-
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
-        path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def keep_bucketed(self, df: DataFrame, key: str, buckets: int, label: str = "b") -> DataFrame:
-        """As ``keep``, dealt by ``key``: later joins and groups by it read the table without a shuffle."""
-        name = f"fragweave_{uuid.uuid4().hex[:16]}"
-        path = self.path(label)
-        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
-        out = self.spark.table(name)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _clean(self) -> None:
-        try:
-            self._delete(self.base)
-        except Exception:  # the JVM may be gone already
-            pass
 
 
 def partitions(spark: SparkSession) -> int:
@@ -115,6 +57,7 @@ def ordered_sums(scratch: Scratch, df: DataFrame, order: list, sums: dict[str, s
     ``sums``: output name to summed column. With ``group`` (which must lead the order) the sums
     restart for each group; hot groups may span many tasks. Rows are dealt by range of the whole
     order, summed in each range, and get the sum of the ranges before. Native operators only.
+    Dealing by range reads ``df`` twice (it looks for the bounds first), so what is dear to compute is written before.
     """
     n = partitions(scratch.spark)
     ranged = scratch.keep(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
