@@ -41,6 +41,11 @@ class Scratch(Tables):
             spark.conf.set(most, BATCH)
 
 
+def rows_as_structs(df: DataFrame, name: str = "row") -> DataFrame:
+    """One column that holds each row whole, so that no helper column can have the name of one of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
