@@ -13,10 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import Scratch, partitions
 from .shingles import scramble
 
 SIZE = 64
@@ -126,52 +126,58 @@ def _hex(a: np.ndarray) -> str:
     return a.astype(">u4").tobytes().hex()
 
 
-def ranges(docs: DataFrame, parts: int) -> list[int]:
-    """Ascending bounds that cut the doc_ids into about equal parts; their number is fixed."""
-    if parts < 2:
-        return []
-    got = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100 * parts))).first()[0]
-    return sorted(set(got or []))
-
-
 _OUT = [("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")]
 _ARROW = {"long": "int64", "string": "string", "double": "double"}
 
 
-def compare_neighbours(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row for each document, in descending order of doc_id (null last, equal ids by text; the last's next is the first).
+def _placed(scratch: Scratch, rows: DataFrame, parts: int) -> tuple[DataFrame, list[tuple]]:
+    """rows: (doc_id, text). Adds last, down and h, by which all rows are in order, and p, the range of that order; and the ranges' first keys.
 
-    Texts are dealt once, by ranges of doc_id; the first document of a range also goes to the range before it, so that
-    the last one there meets its next. Within a range documents stream by, one text held at a time.
+    The order goes by the inverted doc_id and then by a hash of the text, so that a hot or null id spans many ranges. Bounds
+    come from the keys alone.
+    """
+    keyed = rows.select("doc_id", "text", F.col("doc_id").isNull().alias("last"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.xxhash64("text").alias("h"))
+    keys = scratch.keep(keyed.select("last", "down", "h"), "keys")
+    dealt = keys.repartitionByRange(parts, "last", "down", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("last", "down", "h")).alias("head"))
+    # one for each range: their number is fixed
+    heads = sorted({tuple(r["head"]) for r in dealt.collect()})
+    key = F.struct("last", "down", "h")
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        bound = F.struct(F.lit(heads[mid][0]).alias("last"), F.lit(heads[mid][1]).cast("long").alias("down"), F.lit(heads[mid][2]).cast("long").alias("h"))
+        return F.when(key >= bound, part(mid, high)).otherwise(part(low, mid - 1))
+
+    return keyed.withColumn("p", part(0, max(0, len(heads) - 1))), heads
+
+
+def compare_neighbours(docs: DataFrame, size: int = SIZE, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each document, in descending order of doc_id (null last, equal ids by a hash of the text; the last's next is the first).
+
+    Texts are dealt once, by ranges of that order; the first document of a range also goes to the range before it, so that
+    the last one there meets its next. Within a range documents stream by, one text held at a time, however long.
+    An empty table gives an empty result; columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    scratch = scratch or Scratch(spark, "phrases")
     n = partitions(spark)
-    bounds = ranges(rows, 4 * n)
-    # range 0 has the largest ids; null ids are in a range of their own, the last
-    where = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - _rank(F.col("doc_id"), bounds))
-    placed = rows.withColumn("part", where.cast("int"))
-    # one row for each range: bounded by their number
-    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    if not heads:
-        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in _OUT))
-    order = sorted(heads)
-    table = spark.createDataFrame([(p, heads[p], order[k - 1]) for k, p in enumerate(order)], "h int, head long, before int")  # the first range comes round to the last
-    met = placed.join(F.broadcast(table), (F.col("part") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    places = F.array_compact(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("guest")), F.when(F.col("h").isNotNull(), F.struct(F.col("before").alias("p"), F.lit(1).alias("guest")))))
-    dealt = met.withColumn("place", F.explode(places)).select("doc_id", "text", "place.p", "place.guest")
-    dealt = dealt.repartition(n, "p").sortWithinPartitions("p", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed, heads = _placed(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), 4 * n)
+    # the first row of each range, one of equal ones, is the guest of the range before; the first range comes round to the last
+    table = spark.createDataFrame([(*key, (k - 1) % len(heads)) for k, key in enumerate(heads)], "l boolean, d long, x long, before int")
+    firsts = placed.join(F.broadcast(table), (F.col("last") == F.col("l")) & (F.col("down") == F.col("d")) & (F.col("h") == F.col("x")))
+    guests = firsts.groupBy("before").agg(F.min(F.struct("text", "doc_id")).alias("g")).select("g.doc_id", "g.text", F.col("before").alias("p"), F.lit(1).alias("guest"), F.lit(False).alias("last"), F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("h"))
+    dealt = placed.select("doc_id", "text", "p", F.lit(0).alias("guest"), "last", "down", "h").union(guests)
+    dealt = dealt.repartitionById(n, F.col("p") % n).sortWithinPartitions("p", "guest", "last", "down", "h", "text").select("doc_id", "text", "p", "guest")
 
     def run(batches):
         held = None  # the document that waits for its next one's text
         ready = None  # the row that waits for its next one's fingerprint, and its own
-        ended = None  # the range whose guest has come
         for batch in batches:
             out = []
-            for doc_id, text, part, guest in zip(*(batch.column(k) for k in range(4)), strict=True):
-                part, text = part.as_py(), text.as_py()
-                if ended == part:
-                    continue  # equal ids at the next range's start: only the first is met
+            for doc_id, text, _, guest in zip(*(batch.column(k) for k in range(4)), strict=True):
+                text = text.as_py()
                 if held is not None:
                     own, other, changed = both_fingerprints(held[1], text, size)
                     if ready is not None:
@@ -181,26 +187,12 @@ def compare_neighbours(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 held = doc_id.as_py(), text
                 if guest.as_py():
                     out.append((*ready[0], likeness(ready[1], fingerprint(text, size), size)))
-                    held, ready, ended = None, None, part
+                    held, ready = None, None
             if out:
                 yield pa.record_batch([pa.array(c, pa.type_for_alias(_ARROW[t])) for c, (_, t) in zip(zip(*out, strict=True), _OUT, strict=True)], names=[c for c, _ in _OUT])
 
     return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in _OUT))
 
 
-def _rank(value, bounds: list[int]):
-    """How many bounds are below the value, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
-
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value > bounds[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return tree(0, len(bounds))
-
-
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return compare_neighbours(docs)
