@@ -4,10 +4,13 @@ Texts are split into pre-tokens in blocks of documents. A block keeps the positi
 pre-tokens as indexes into its own distinct words, and sends only these words on, dealt by hash:
 a frequent word travels once for each block, however often it occurs. Each bucket of words encodes
 every distinct word once; the ids go back to the blocks, which reassemble their texts by position.
+Decoding joins ids with the token-byte table, (id, bytes) as large as the vocabulary: an Arrow column whose row numbers are
+the ids, so that the join is one ``take`` for many documents and needs no shuffle.
 
 ``encode`` takes (doc_id, text) and returns (doc_id, ids, n_tokens) with ids as little-endian
 unsigned 32-bit integers. Null texts count as empty; ids are then empty. Rows are kept one by one,
-so repeated or null doc_ids stay as they are; extra columns are ignored.
+so repeated or null doc_ids and equal texts stay as they are. A very long text is a block of its own. Extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from itertools import count
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,14 @@ def rank_table(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def token_bytes(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
+    """The token-byte table: the bytes of id k at row k; null for a number that is no id."""
+    rows: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, k in ranks.items():
+        rows[k] = token
+    return pa.array(rows, pa.large_binary())
+
+
 class Words:
     """Ids of single pre-tokens, by the library's merges; one for each worker and rank file."""
 
@@ -50,7 +62,7 @@ class Words:
 
         ranks = rank_table(path)
         self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.token_bytes = token_bytes(ranks)
 
     @classmethod
     def load(cls, path: str) -> Words:
@@ -184,8 +196,15 @@ def _gather(sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-def _decoded(ids: np.ndarray, ranks: str) -> bytes:
-    return b"".join(map(Words.load(ranks).bytes_of.__getitem__, ids.tolist()))
+def _decoded(ids: np.ndarray, ends: list[int], ranks: str) -> list[bytes]:
+    """The bytes of ids by the token-byte table, cut where ``ends`` says."""
+    got = Words.load(ranks).token_bytes.take(pa.array(ids, pa.uint32()))
+    if got.null_count:
+        raise ValueError("an id has no bytes")
+    _, offsets, data = got.buffers()
+    at = np.frombuffer(offsets, np.int64, len(got) + 1)[ends].tolist() if len(got) else [0] * len(ends)
+    data = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(data[x:y]) for x, y in zip([0, *at[:-1]], at, strict=True)]
 
 
 def _join(left, right, decoded_by: str | None):
@@ -204,8 +223,8 @@ def _join(left, right, decoded_by: str | None):
         for x, y in zip([0, *at[:-1]], at, strict=True):
             out.append(flat[x:y].tobytes())
             n_tokens.append(y - x)
-            if decoded_by:
-                back.append(_decoded(flat[x:y], decoded_by))
+        if decoded_by:
+            back += _decoded(flat, at, decoded_by)
         done = upto
     columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(out, pa.binary()), "n_tokens": pa.array(n_tokens, pa.int64())}
     if decoded_by:
@@ -221,14 +240,14 @@ def encode(docs: DataFrame, ranks: str = RANKS, scratch: Scratch | None = None,
     n = partitions(spark)
     held = scratch.keep_bucketed(_blocks(docs, 4 * n), "block", n)  # so that the position lists need no shuffle
     words = held.select(F.explode("words").alias("w"), "block").select("w.bucket", "block", "w.packed")
-    ids = _coded(words.repartition(n, "bucket").sortWithinPartitions("bucket"), ranks)
+    ids = _coded(words.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket"), ranks)  # four buckets a task
     codes = held.select("block", "doc_ids", "counts", "codes")
     schema = "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded
     return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda left, right: _join(left, right, ranks if decoded else None), schema)
 
 
 def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Adds ``decoded``, the bytes of ``ids``; null ids give null. The token-byte table is as large as the vocabulary."""
+    """Adds ``decoded``, the bytes of ``ids`` by the token-byte table; null ids give null, an id that is none an error."""
     names = [c for c in coded.columns if c != "decoded"]
     coded = coded.select(*names)
     at = names.index("ids")
@@ -237,8 +256,9 @@ def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                out = [None if x is None else _decoded(np.frombuffer(x, np.uint32), ranks) for x in part.column(at).to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+                ids = [x or b"" for x in part.column(at).to_pylist()]
+                out = pa.array(_decoded(np.frombuffer(b"".join(ids), np.uint32), np.cumsum([len(x) // 4 for x in ids]).tolist(), ranks), pa.binary())
+                yield pa.record_batch([*part.columns, pc.if_else(part.column(at).is_valid(), out, None)], names=[*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
     return coded.mapInArrow(run, f"{schema}, decoded binary")
