@@ -5,8 +5,10 @@ range of ids. ``read`` gives rows back; a filter on ``doc_id`` reaches the ORC r
 stripes and row groups by their statistics and Bloom filters. Spark splits a file by its stripes, so
 stripes are read in parallel.
 
-Rows with a null ``doc_id`` come first; rows with one ``doc_id`` are in the order of their texts.
-A null text counts as empty: its document is the end id alone. Extra columns are ignored.
+Rows with a null ``doc_id`` come first; rows with one ``doc_id`` are in the order of a hash of their texts, and ranges cut
+between them, so that a hot or null id spans many files. A null text counts as empty: its document is the end id alone.
+A very long text is one row; stripes end where their size says so, so it does not make its neighbours' stripe larger.
+Extra columns are ignored; an empty table gives files without rows, or none.
 """
 
 from __future__ import annotations
@@ -160,7 +162,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Dat
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, stripe_bytes: int = 64 << 20, row_group: int = 1000, false_positives: float = 0.01) -> None:
     """Encodes ``docs`` (doc_id, text) into ORC files at ``path``, in ascending doc_id order over all files."""
     n = partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     (
         encode(ordered, vocabulary, end)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -168,6 +172,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(row_group))
         .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.rows.between.memory.checks", "1")  # a stripe's size is looked at after each batch, whatever the texts' lengths
         .option("orc.dictionary.key.threshold", "0")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", "0")

@@ -1,14 +1,16 @@
 """Token output and byte-level BPE against the libraries themselves."""
 
+import glob
 import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow.orc as orc
 import pytest
+import xxhash
 from fragweave.llm import bpe, tokens
 from fragweave.llm.common import Scratch, read
+from pyspark.sql import functions as F
 
 ODD = [
     (5000, None),
@@ -40,7 +42,13 @@ def test_token_files_hold_what_the_library_gives(spark, docs, rows):
 
     model = Tokenizer.from_file(tokens.VOCABULARY)
     want, at = [], 0
-    for i, text in rows:
+
+    def place(r):
+        h = xxhash.xxh64_intdigest(r[1].encode(), 42)
+        return r[0] is not None, r[0] or 0, h - (1 << 64) if h >> 63 else h
+
+    # equal ids are in the order of the engine's hash of the text; a null text hashes as the seed, and has an id of its own here
+    for i, text in sorted(rows, key=place):
         ids = [*model.encode(text, add_special_tokens=False).ids, 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -48,18 +56,43 @@ def test_token_files_hold_what_the_library_gives(spark, docs, rows):
     assert got == want
 
 
-def test_files_have_stripes_filters_and_answer_lookups(spark, docs):
-    path = Scratch(spark, "t").path("orc")
-    tokens.write(docs, path, stripe_bytes=4096, row_group=1000)
-    import glob
-
-    files = sorted(glob.glob(path.removeprefix("file://") + "/*.orc"))
-    assert files
-    assert sum(orc.ORCFile(f).nrows for f in files) == docs.count()
-    assert all(orc.ORCFile(f).nstripes >= 1 for f in files)
-    some = tokens.read(spark, path, [3, 5003])
-    assert sorted(r["doc_id"] for r in some.collect()) == [3, 5003, 5003]
-    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+def read_rows(df):
+    """Rows that the scan of a frame gave, after it has been counted."""
+    run = df._jdf.queryExecution()
+    run.executedPlan().executeCollect()
+    return run.executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_files_have_stripes_filters_and_answer_lookups(spark):
+    """Small stripes, although documents are fewer than the writer's usual checks; a Bloom filter in each; stripes and row groups are skipped."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").filter("doc_id % 3 > 0")
+        path = Scratch(spark, "t").path("orc")
+        tokens.write(docs, path, stripe_bytes=1 << 16, row_group=1000)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        stripes = rows = 0
+        for f in sorted(glob.glob(path.removeprefix("file://") + "/*.orc")):
+            file = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+            assert file.getRowIndexStride() == 1000
+            rows += file.getNumberOfRows()
+            batches = file.rows()
+            for k in range(file.getStripes().size()):
+                footer = batches.readStripeFooter(file.getStripes().get(k)).toString()
+                assert "BLOOM_FILTER_UTF8" in footer and "DIRECT_V2" in footer and "ROW_INDEX" in footer
+                stripes += 1
+        assert rows == docs.count() and stripes >= 8
+        one = docs.selectExpr("max(doc_id)").first()[0]
+        some = tokens.read(spark, path, [one])
+        assert [r["doc_id"] for r in some.collect()] == [one]
+        assert f"EqualTo(doc_id,{one})], ReadSchema" in some._jdf.queryExecution().toString()
+        assert "In(doc_id, [0,1])" in tokens.read(spark, path, [0, 1])._jdf.queryExecution().toString()
+        assert 1 <= read_rows(some) <= rows / 4  # the other stripes are not read
+        # an id between the least and the greatest, which only the Bloom filters know to be absent
+        absent = tokens.read(spark, path, [one // 6 * 3])
+        assert absent.count() == 0 and read_rows(tokens.read(spark, path, [one // 6 * 3])) <= rows / 20
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_bpe_is_the_library_and_comes_back(spark, docs, rows):
@@ -87,6 +120,23 @@ def test_split_agrees_with_the_library_on_every_odd_character():
         assert "".join(bpe.split(text)) == text
 
 
+def test_a_hot_id_spans_files(spark):
+    rows = [(None, f"text {k}") for k in range(400)] + [(3, None)] * 400
+    path = Scratch(spark, "t").path("orc")
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    per = [r["n"] for r in tokens.read(spark, path).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(per) == 800 and len(per) >= 3 and max(per) <= 400
+    assert tokens.digest(spark, path).selectExpr("max(start + n_tokens)").first()[0] == sum(tokens.read(spark, path).selectExpr("size(ids)").toPandas().iloc[:, 0])
+
+
+def test_decoding_needs_known_ids():
+    assert bpe._decoded(np.zeros(0, np.uint32), [0, 0], bpe.RANKS) == [b"", b""]
+    table = bpe.token_bytes({b"a": 0, b"bc": 2})
+    assert table.to_pylist() == [b"a", None, b"bc"]
+    with pytest.raises((ValueError, IndexError)):
+        bpe._decoded(np.array([10**6], np.uint32), [1], bpe.RANKS)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.query(spark, none).count() == 0
