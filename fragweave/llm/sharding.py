@@ -1,45 +1,95 @@
 """Minimax contiguous sharding: atomic groups in a fixed order, cut so that the largest shard is as small as possible.
 
 Groups are equal texts (null is a group of its own), in the order of their SHA-256 digests, null first.
-The smallest feasible capacity is found by search: a round tests many capacities at once, each greedily,
-one pass over the groups' prefix sums for each shard. Then the order is cut there. DataFrame operators only.
+The smallest feasible capacity is found by binary search, each capacity being checked greedily. The driver checks against a histogram of
+the groups' running ends, of a fixed number of cells: a cell's ends lie between its first and its last, which bounds every greedy cut
+from both sides. Capacities that are feasible or not by these bounds need no look at the data; the cells in which the others cut are
+counted anew, finer, until one capacity and its cuts are settled. A round is one grouped sum, and each has thousands of times finer
+cells. Then the order is cut there. DataFrame operators only.
 
 Size of a document: UTF-8 bytes of its text plus 1; a null text counts 1. Slots number the documents of a shard from 0
-in the order (digest, doc_id); repeated doc_ids get slots of their own.
+in the order (digest, doc_id), null doc_ids first; repeated doc_ids and rows get slots of their own. Very long texts are atomic
+like others: no shard is smaller than the largest group. With fewer groups than shards the last shards are empty.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, ordered_sums
 
-#: Capacities that one round of the search tests.
-TRIALS = 64
-
-
-def _last_ends(groups: DataFrame, targets: list[int]) -> list[int]:
-    """For each target the largest group end that does not exceed it (0 if none): one pass, one row out."""
-    near = groups.filter(F.col("end") <= F.lit(max(targets)))
-    row = near.agg(*[F.max(F.when(F.col("end") <= F.lit(t), F.col("end"))).alias(f"t{k}") for k, t in enumerate(targets)]).first()
-    return [row[k] or 0 for k in range(len(targets))]
-
-
-def _greedy(groups: DataFrame, total: int, shards: int, capacities: list[int]) -> list[list[int]]:
-    """Greedy cut ends of each capacity: shards entries, the last below ``total`` if it is not feasible."""
-    ends: list[list[int]] = [[] for _ in capacities]
-    at = [0] * len(capacities)
+#: Cells of a round of counting.
+CELLS = 32768
+
+
+def _counted(groups: DataFrame, spans: list[tuple[int, int]], cells: int) -> list[tuple[int, int, int]]:
+    """(first, last, n) of the ends in each cell of the spans (inclusive), ascending; at most so many and one a span."""
+    width = max(1, -(-sum(b - a + 1 for a, b in spans) // cells))
+    place = F.lit(None).cast("long")
+    for a, b in spans:
+        place = F.when(F.col("end").between(a, b), F.lit(a) + F.floor((F.col("end") - a) / width) * width).otherwise(place)
+    rows = groups.select("end", place.alias("cell")).filter("cell IS NOT NULL").groupBy("cell")
+    return sorted(tuple(r)[1:] for r in rows.agg(F.min("end"), F.max("end"), F.count(F.lit(1))).collect())
+
+
+class Ends:
+    """What is known of ascending numbers: cells of (first, last, n) that hold them all."""
+
+    def __init__(self, cells: list[tuple[int, int, int]]):
+        self.cells = cells
+        self.firsts = [c[0] for c in cells]
+
+    def at(self, target: int) -> int:
+        """The last cell that starts at the target or before it; -1 if none does."""
+        return bisect_right(self.firsts, target) - 1
+
+    def least(self, target: int) -> int:
+        """No more than the largest number up to the target, and a number or 0."""
+        k = self.at(target)
+        if k < 0:
+            return 0
+        first, last, _ = self.cells[k]
+        return last if target >= last else first
+
+    def most(self, target: int) -> int:
+        """No less than it."""
+        k = self.at(target)
+        if k < 0:
+            return 0
+        first, last, n = self.cells[k]
+        return last if target >= last else first if n <= 2 else target
+
+    def open_at(self, low: int, high: int) -> tuple[int, int] | None:
+        """The first and the last cell with unknown numbers that are met between two targets."""
+        some = [k for k in range(max(0, self.at(low)), self.at(high) + 1) if self.cells[k][2] > 2]
+        return (some[0], some[-1]) if some else None
+
+    def refined(self, some: list[tuple[int, int]], count) -> Ends:
+        """With these runs of cells counted anew; runs that touch are one."""
+        runs: list[list[int]] = []
+        for a, b in sorted(some):
+            if runs and a <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        gone = {k for a, b in runs for k in range(a, b + 1)}
+        return Ends(sorted([c for k, c in enumerate(self.cells) if k not in gone] + count([(self.cells[a][0], self.cells[b][1]) for a, b in runs])))
+
+
+def _greedy(near, total: int, shards: int, capacity: int) -> list[int]:
+    """Cuts of one capacity, each as far as it reaches."""
+    ends, at = [], 0
     for _ in range(shards):
-        got = _last_ends(groups, [min(total, a + c) for a, c in zip(at, capacities, strict=True)])
-        at = [max(a, g) for a, g in zip(at, got, strict=True)]
-        for e, a in zip(ends, at, strict=True):
-            e.append(a)
+        at = max(at, near(min(total, at + capacity)))
+        ends.append(at)
     return ends
 
 
-def cuts(groups: DataFrame, shards: int, trials: int = TRIALS) -> tuple[int, list[int]]:
+def cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[int, list[int]]:
     """The smallest capacity for which ``shards`` contiguous parts suffice, and the ends of these parts.
 
     ``groups`` has ``size`` (at least 1) and ``end``, its running sum in the order.
@@ -50,16 +100,23 @@ def cuts(groups: DataFrame, shards: int, trials: int = TRIALS) -> tuple[int, lis
     total, largest = int(top[0]), int(top[1])
     low = max(largest, -(-total // shards))  # no smaller capacity is feasible
     high = min(total, total // shards + largest)  # always feasible
-    best = None
-    while best is None or low < high:
-        span = high - low
-        tried = sorted({low + span * k // trials for k in range(trials)} | {high})
-        got = _greedy(groups, total, shards, tried)
-        ok = [k for k, e in enumerate(got) if e[-1] >= total]
-        k = ok[0]
-        high, best = tried[k], got[k]
-        low = tried[k - 1] + 1 if k else high
-    return high, best
+
+    def count(spans):
+        # some cells for each span at least, so that every round makes them finer
+        return _counted(groups, spans, max(cells, 16 * shards))
+
+    ends = Ends(count([(1, total)]))
+    while True:
+        tried = range(low, high)
+        # in [low, high] lies the smallest feasible capacity: up to ``high`` some may be feasible, from there all are
+        high = low + bisect_left(tried, True, key=lambda c: _greedy(ends.least, total, shards, c)[-1] >= total)
+        low += bisect_left(range(low, high), True, key=lambda c: _greedy(ends.most, total, shards, c)[-1] >= total)
+        least, most = _greedy(ends.least, total, shards, low), _greedy(ends.most, total, shards, high)
+        if low == high and least == most:
+            return high, least
+        starts = zip([0, *least[:-1]], [0, *most[:-1]], strict=True)
+        met = [ends.open_at(min(total, a + low), min(total, b + high)) for a, b in starts]
+        ends = ends.refined([m for m in met if m], count)  # a run for each cut at most
 
 
 def shard(docs: DataFrame, shards: int = 8, scratch: Scratch | None = None) -> DataFrame:
