@@ -1,5 +1,7 @@
 """URL filter: rules against plain Python, trees on labelled urls that they can learn."""
 
+import math
+import random
 import re
 
 from fragweave.llm import urls
@@ -39,6 +41,70 @@ def test_rules_and_verdicts(spark, sf):
     assert sorted(map(str, got)) == sorted(map(str, urls.query(spark, pages.repartition(5)).collect()))
 
 
+def test_held_out_accuracy(spark):
+    """On labelled urls that taught nothing, beside the share of the commoner verdict."""
+    pages = read(spark, "/root/testdata/sf0.1", "pages")
+    got = urls.judge(pages, hold_out=0).filter("held_out").collect()
+    block = sum(r["verdict"] == "block" for r in got) / len(got)
+    right = sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in got) / len(got)
+    print("held out", len(got), "right", right, "commoner", max(block, 1 - block))
+    assert len(got) > 30 and right >= 0.85 and right > max(block, 1 - block)
+
+
+def test_a_row_s_own_label_is_not_among_its_features(spark):
+    """Suffix statistics of a labelled row come from other folds; of other rows from all."""
+    rows = [(f"s{k % 3}", k % urls.FOLDS, ["block", "allow", None][(k * 7) % 11 % 3]) for k in range(90)] + [("alone", 1, "block"), ("none", 2, None)]
+    got = urls._suffixes(spark.createDataFrame(rows, "suffix string, fold int, ruled string"), 0.4).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = [x[2] for x in rows if x[0] == r["suffix"] and x[2] and (r["ruled"] is None or x[1] != r["fold"])]
+        assert abs(r["suffix_rate"] - (own.count("block") + 4) / (len(own) + 10)) < 1e-12 and abs(r["suffix_log"] - math.log1p(len(own))) < 1e-12
+
+
+def grown(rows, n_features, trees, depth, rate=urls.RATE, ridge=urls.RIDGE):
+    """Plain boosting on the same rows: margins."""
+    mean = sum(y for _, y in rows) / len(rows)
+    m = [math.log(mean / (1 - mean))] * len(rows)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-x)) for x in m]
+        add = [0.0] * len(rows)
+
+        def split(own, level, p=p, add=add):
+            g, h = sum(p[k] - rows[k][1] for k in own), sum(p[k] * (1 - p[k]) for k in own)
+            best, gain = None, 1e-6
+            if level < depth:
+                for f in range(n_features):
+                    for b in sorted({rows[k][0][f] for k in own})[:-1]:
+                        left = [k for k in own if rows[k][0][f] <= b]
+                        gl, hl = sum(p[k] - rows[k][1] for k in left), sum(p[k] * (1 - p[k]) for k in left)
+                        got = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                        if min(hl, h - hl) >= 1e-3 and got > gain + 1e-6:
+                            best, gain = (f, b), got
+            if best is None:
+                for k in own:
+                    add[k] = -rate * g / (h + ridge)
+                return
+            f, b = best
+            split([k for k in own if rows[k][0][f] <= b], level + 1)
+            split([k for k in own if rows[k][0][f] > b], level + 1)
+
+        split(list(range(len(rows))), 0)
+        m = [x + a for x, a in zip(m, add, strict=True)]
+    return m
+
+
+def test_trees_are_those_of_plain_boosting(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        bins = [rng.randrange(6) for _ in range(4)]
+        rows.append((bins, int(rng.random() < (0.9 if bins[1] > 2 and bins[3] <= 1 else 0.1 + bins[0] / 20))))
+    base, trees = urls.boost(spark.createDataFrame(rows, "bins array<int>, y int").repartition(3), 4, trees=4)
+    data = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(rows)], "k int, bins array<int>")
+    got = {r["k"]: r["m"] for r in data.select("k", urls.margin(F.col("bins"), base, trees).alias("m")).collect()}
+    assert all(abs(got[k] - x) < 1e-3 for k, x in enumerate(grown(rows, 4, 4, urls.DEPTH)))
+
+
 def test_trees_learn_a_split_on_two_features(spark):
     rows = [([a, b], int(a > 3 and b <= 2)) for a in range(8) for b in range(8)] * 5
     train = spark.createDataFrame(rows, "bins array<int>, y int")
