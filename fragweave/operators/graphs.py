@@ -131,6 +131,30 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None, stop: DataFram
     return seen
 
 
+def distances(edges: DataFrame, pairs: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(source, target, dist) of the pairs (source, target) that a path joins: the pairs asked for and no others.
+
+    A source searches until it has met its targets or its component ends.
+    """
+    tables = tables or Tables(edges.sparkSession, "distances")
+    both = tables.keep(symmetric(edges), "edges")
+    open_ = tables.keep(pairs.select("source", F.col("target").alias("id")).filter("source <> id").distinct(), "asked")
+    front = tables.keep(open_.select("source", F.col("source").alias("id")).distinct(), "front")
+    seen, found, level = front, open_.select("source", F.col("id").alias("target"), F.lit(0).alias("dist")).limit(0), 0
+    while True:
+        level += 1
+        step = front.join(both, front["id"] == both["src"]).select("source", F.col("dst").alias("id")).distinct()
+        step = tables.keep(step.join(seen, ["source", "id"], "left_anti"), "step")
+        if not step.limit(1).count():
+            return found
+        hit = tables.keep(open_.join(step, ["source", "id"], "left_semi").select("source", F.col("id").alias("target"), F.lit(level).alias("dist")), "hit")
+        found = found.union(hit)
+        open_ = tables.keep(open_.join(hit.select("source", F.col("target").alias("id")), ["source", "id"], "left_anti"), "open")
+        front = step.join(open_.select("source").distinct(), "source", "left_semi")
+        # a union of many tables is written as one now and then
+        seen, found = (tables.keep(seen.union(step), "seen"), tables.keep(found, "found")) if level % 8 == 0 else (seen.union(step), found)
+
+
 def first_labelled(edges: DataFrame, sources: DataFrame, labelled: DataFrame, depth: int | None, tables: Tables | None = None) -> DataFrame:
     """(source, id, dist) of the labelled vertices that a search which does not pass labelled vertices reaches."""
     reached = hops(edges, sources, depth, labelled, tables)

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import pair_weight
+from ..scratch import spread
 
+#: Bins that meet each other at most; more is an error, never a cut.
+BINS = 20_000
 
-def merge_neighbours(bins: DataFrame, w_intra: float) -> DataFrame:
+
+def merge_neighbours(bins: DataFrame, w_intra: float, limit: int = BINS) -> DataFrame:
     """(bin_id, partner, weight): the most similar bin without a common marker, the smaller id on ties.
 
-    bins: (bin_id, markers, profile, coverage). Bins are few and checked by whoever makes them; the smaller side is broadcast by Spark if it fits.
+    bins: (bin_id, markers, profile, coverage). All bins travel as one array of checked size, so that a bin's row is scored in
+    place and pairs are never rows.
     """
-    other = bins.select(F.col("bin_id").alias("partner"), F.col("markers").alias("_m"), F.col("profile").alias("_p"), F.col("coverage").alias("_c"))
-    pairs = bins.join(other, (F.col("bin_id") != F.col("partner")) & ~F.arrays_overlap("markers", "_m"))
-    pairs = pairs.select("bin_id", "partner", pair_weight(F.col("profile"), F.col("coverage"), F.col("_p"), F.col("_c")).alias("weight")).filter(F.col("weight") <= w_intra)
-    best = pairs.groupBy("bin_id").agg(F.min(F.struct("weight", "partner")).alias("b"))
-    return best.select("bin_id", "b.partner", "b.weight")
+    n = bins.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} bins")
+    every = bins.agg(F.collect_list(F.struct("bin_id", "markers", "profile", "coverage")).alias("_bins"))
+    others = F.filter("_bins", lambda b: (b["bin_id"] != F.col("bin_id")) & ~F.arrays_overlap(b["markers"], F.col("markers")))
+    scored = F.transform(others, lambda b: F.struct(pair_weight(F.col("profile"), F.col("coverage"), b["profile"], b["coverage"]).alias("weight"), b["bin_id"].alias("partner")))
+    best = spread(bins).join(F.broadcast(every)).select("bin_id", F.array_min(F.filter(scored, lambda s: s["weight"] <= w_intra)).alias("b"))
+    return best.filter("b IS NOT NULL").select("bin_id", "b.partner", "b.weight")
 
 
 def cliques(bins: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -228,11 +228,43 @@ def nearest_profile_assign(spark, sf):
     return assign.nearest_profile(user_features(spark, sf).drop("bin_id"), user_bins(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""WITH {_USERS}, p AS (SELECT a.contig_id, a.bin_id, {_weight('a', 'd')} AS w FROM u a JOIN u d ON a.bin_id = d.bin_id)
+def _bin_weights(spark, sf, possible: bool) -> DataFrame:
+    f = user_features(spark, sf)
+    members = assign.checked(f.select("bin_id", "profile", "coverage"), assign.MARKER_CONTIGS, "members")
+    rows = assign.bin_weights(f.drop("bin_id"), members, 5, possible).select("contig_id", F.posexplode("weights").alias("bin_id", "weight"))
+    return rows.select("contig_id", F.col("bin_id").cast("long").alias("bin_id"), F.round("weight", 6).alias("weight"))
+
+
+_PAIRS = f"p AS (SELECT u.contig_id, d.bin_id, {_weight('u', 'd')} AS w FROM u CROSS JOIN u d)"
+
+
+@query(f"""WITH {_USERS}, {_PAIRS}
 SELECT contig_id, bin_id, round(CASE WHEN isinf(sum(w)) THEN {scoring.MAX_WEIGHT!r} ELSE sum(w) / count(*) END, 6) AS weight FROM p GROUP BY 1, 2""")
-def seed_pair_weights(spark, sf):
-    f = user_features(spark, sf).withColumn("group", F.col("bin_id"))
-    return assign.seed_pair_weights(f.drop("bin_id"), f).withColumn("weight", F.round("weight", 6))
+def member_weights(spark, sf):
+    """Every contig against every bin's members, as the matching weighs them."""
+    return _bin_weights(spark, sf, False)
+
+
+@query(f"""WITH {_USERS}, {_PAIRS}
+SELECT contig_id, bin_id, round(CASE WHEN isinf(sum(w)) OR count(*) FILTER (w < {scoring.MAX_WEIGHT!r}) = 0 THEN {scoring.MAX_WEIGHT!r}
+  ELSE sum(w) / count(*) FILTER (w < {scoring.MAX_WEIGHT!r}) END, 6) AS weight FROM p GROUP BY 1, 2""")
+def seed_weights(spark, sf):
+    """Every contig against every bin's seeds, as the propagation weighs them."""
+    return _bin_weights(spark, sf, True)
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), w AS (
+  SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2
+) SELECT c.user_id AS contig_id, t.pos, greatest(coalesce(w.n, 0)::DOUBLE, 1e-4) AS coverage
+FROM c CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type, unnest(range(5)) AS pos) t
+LEFT JOIN w ON w.user_id = c.user_id AND w.event_type = t.event_type WHERE c.n * 20 >= 1000""")
+def coverage_vectors(spark, sf):
+    """An abundance table by name against contigs that are long enough."""
+    events = read(spark, sf, "events").withColumn("name", F.col("user_id").cast("string"))
+    contigs = events.groupBy(F.col("user_id").alias("contig_id"), "name").agg((F.count(F.lit(1)) * 20).alias("length"))
+    raw = events.groupBy("name").agg(F.array(*[F.count(F.when(F.col("event_type") == t, 1)).cast("double") for t in TYPES]).alias("coverage"))
+    rows = features.coverage_vectors(raw, contigs, 1000).select("contig_id", F.posexplode("coverage").alias("pos", "coverage"))
+    return rows.select("contig_id", F.col("pos").cast("long").alias("pos"), "coverage")
 
 
 def _user_bin_markers(spark, sf) -> DataFrame:
@@ -260,8 +292,7 @@ def bin_cliques(spark, sf):
 # ---- graphs: parts as contigs, orders as segments
 
 _PS = "ps AS (SELECT DISTINCT l_partkey AS c, l_orderkey AS s FROM lineitem)"
-#: Contigs with two segments in common or more.
-_LINKS = f"{_PS}, e AS (SELECT a.c AS src, b.c AS dst FROM ps a JOIN ps b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2 HAVING count(*) >= 2), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_LINKS = f"{_PS}, e AS (SELECT DISTINCT a.c AS src, b.c AS dst FROM ps a JOIN ps b ON a.s = b.s AND a.c < b.c), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,12 +300,32 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = graphs.shared_segments(segments(spark, sf), segments(spark, sf)).filter("a < b")
-    return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("src", "dst")
+    return graphs.simple_edges(graphs.shared_segments(segments(spark, sf), segments(spark, sf)))
 
 
-def _parts(spark, sf, where: str = "true") -> DataFrame:
-    return read(spark, sf, "part").filter(where).select(F.col("p_partkey").alias("id"))
+def _parts(spark, sf) -> DataFrame:
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+
+
+#: Orders as contigs: linked with the customer's next, and with the next of its priority.
+_CHAIN = """l0 AS (
+  SELECT o_orderkey AS x, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS y FROM orders UNION
+  SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) FROM orders
+), e AS (SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM l0 WHERE y IS NOT NULL), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
+_URGENT = "o_orderpriority = '1-URGENT'"
+
+
+def following(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("o_orderdate", "o_orderkey")
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).filter("b IS NOT NULL")
+
+
+def order_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graphs.simple_edges(following(spark, sf, "o_custkey").union(following(spark, sf, "o_custkey", "o_orderpriority")))
+
+
+def _orders(spark, sf, where: str = "true") -> DataFrame:
+    return read(spark, sf, "orders").filter(where).select(F.col("o_orderkey").alias("id"))
 
 
 @query(f"WITH {_PS} SELECT DISTINCT a.c AS src, b.c AS dst FROM ps a JOIN ps b ON a.s = b.s AND a.c < b.c")
@@ -302,58 +353,136 @@ def symmetric_links(spark, sf):
     return _order_links(spark, sf)
 
 
-@query(f"WITH {_LINKS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g)")
+@query("""WITH l AS (SELECT o_orderkey AS x, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS y FROM orders)
+SELECT x AS id FROM l WHERE y IS NULL AND x NOT IN (SELECT y FROM l WHERE y IS NOT NULL)""")
 def isolated_nodes(spark, sf):
-    return graphs.isolated(_parts(spark, sf), part_edges(spark, sf))
+    """Orders that are alone with their customer and priority."""
+    return graphs.isolated(_orders(spark, sf), graphs.simple_edges(following(spark, sf, "o_custkey", "o_orderpriority")))
+
 
+_REACH = f"""WITH RECURSIVE {_CHAIN}, r AS (
+  SELECT o_orderkey AS id, o_orderkey AS reach FROM orders UNION SELECT r.id, g.dst FROM r JOIN g ON g.src = r.reach
+), m AS (SELECT id, min(reach) AS component FROM r GROUP BY id)"""
 
-@query(f"""WITH RECURSIVE {_LINKS}, r AS (
-  SELECT p_partkey AS id, p_partkey AS reach FROM part UNION SELECT r.id, g.dst FROM r JOIN g ON g.src = r.reach
-) SELECT id, min(reach) AS component FROM r GROUP BY id""")
+
+@query(f"{_REACH} SELECT id, component FROM m")
 def components(spark, sf):
     kept = Tables(spark, "components")
-    return graphs.components(_parts(spark, sf), kept.keep(part_edges(spark, sf), "edges"), kept)
+    return graphs.components(_orders(spark, sf), kept.keep(order_edges(spark, sf), "edges"), kept)
 
 
-@query(f"""WITH RECURSIVE {_LINKS}, r AS (
-  SELECT p_partkey AS id, p_partkey AS reach FROM part UNION SELECT r.id, g.dst FROM r JOIN g ON g.src = r.reach
-), m AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
-SELECT id, component FROM m WHERE component IN (SELECT component FROM m JOIN part ON p_partkey = id WHERE p_size = 50)""")
+@query(f"{_REACH} SELECT id, component FROM m WHERE component IN (SELECT component FROM m JOIN orders ON o_orderkey = id WHERE {_URGENT})")
 def labelled_components(spark, sf):
-    return graphs.with_labelled(components(spark, sf), _parts(spark, sf, "p_size = 50"))
+    return graphs.with_labelled(components(spark, sf), _orders(spark, sf, _URGENT))
 
 
 def _bfs(where: str, stop: str = "true") -> str:
-    return f"""WITH RECURSIVE {_LINKS}, r AS (
-  SELECT p_partkey AS source, p_partkey AS id, 0 AS dist FROM part WHERE {where}
-  UNION SELECT r.source, g.dst, r.dist + 1 FROM r JOIN g ON g.src = r.id JOIN part p ON p.p_partkey = r.id WHERE r.dist < {DEPTH} AND (r.dist = 0 OR {stop})
+    return f"""WITH RECURSIVE {_CHAIN}, r AS (
+  SELECT o_orderkey AS source, o_orderkey AS id, 0 AS dist FROM orders WHERE {where}
+  UNION SELECT r.source, g.dst, r.dist + 1 FROM r JOIN g ON g.src = r.id JOIN orders o ON o.o_orderkey = r.id WHERE r.dist < {DEPTH} AND (r.dist = 0 OR {stop})
 ), d AS (SELECT source, id, min(dist) AS dist FROM r GROUP BY 1, 2)"""
 
 
-@query(f"{_bfs('p_size = 50')} SELECT source, id, dist FROM d")
+@query(f"{_bfs('true')} SELECT source, id, dist FROM d")
 def bounded_paths(spark, sf):
+    """From every order."""
     kept = Tables(spark, "paths")
-    return graphs.hops(kept.keep(part_edges(spark, sf), "edges"), _parts(spark, sf, "p_size = 50"), DEPTH, tables=kept)
+    return graphs.hops(kept.keep(order_edges(spark, sf), "edges"), _orders(spark, sf), DEPTH, tables=kept)
 
 
-@query(f"{_bfs('p_size = 50')} SELECT source, floor(sum(dist + 1) / count(*))::BIGINT AS avg_vertices FROM d GROUP BY source")
+@query(f"{_bfs('true')} SELECT source, floor(sum(dist + 1) / count(*))::BIGINT AS avg_vertices FROM d GROUP BY source")
 def mean_path_vertices(spark, sf):
-    return graphs.mean_path_length(bounded_paths(spark, sf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source"))), ["source"], "n")
+    rows = Tables(spark, "lengths").keep(bounded_paths(spark, sf), "paths")
+    return graphs.mean_path_length(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source"))), ["source"], "n")
 
 
-@query(f"{_bfs('p_size = 50', 'p.p_size > 5')} SELECT source, id, dist FROM d JOIN part ON p_partkey = id WHERE p_size <= 5 AND dist > 0")
+@query(f"{_bfs(f'NOT {_URGENT}', f'NOT o.{_URGENT}')} SELECT source, id, dist FROM d JOIN orders ON o_orderkey = id WHERE {_URGENT} AND dist > 0")
 def bfs_first_labelled(spark, sf):
+    """From every order without the label, not passing a labelled one."""
     kept = Tables(spark, "labelled")
-    return graphs.first_labelled(kept.keep(part_edges(spark, sf), "edges"), _parts(spark, sf, "p_size = 50"), _parts(spark, sf, "p_size <= 5"), DEPTH, kept)
+    return graphs.first_labelled(kept.keep(order_edges(spark, sf), "edges"), _orders(spark, sf, f"NOT {_URGENT}"), _orders(spark, sf, _URGENT), DEPTH, kept)
 
 
-@query(f"""WITH RECURSIVE {_LINKS}, r AS (
-  SELECT p_partkey AS source, p_partkey AS id, 0 AS dist FROM part WHERE p_size = 50 UNION SELECT r.source, g.dst, r.dist + 1 FROM r JOIN g ON g.src = r.id WHERE r.dist < 40
-), d AS (SELECT source, id, min(dist) AS dist FROM r JOIN part ON p_partkey = id WHERE p_size BETWEEN 40 AND 42 AND dist > 0 AND source <> id GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE {_CHAIN}, r AS (
+  SELECT o_orderkey AS source, o_orderkey AS id, 0 AS dist FROM orders WHERE {_URGENT} UNION SELECT r.source, g.dst, r.dist + 1 FROM r JOIN g ON g.src = r.id WHERE r.dist < 40
+), d AS (SELECT source, id, min(dist) AS dist FROM r JOIN orders ON o_orderkey = id WHERE o_orderstatus = 'P' AND NOT {_URGENT} AND dist > 0 GROUP BY 1, 2)
 SELECT source, id, dist FROM d QUALIFY dense_rank() OVER (PARTITION BY source ORDER BY dist) = 1""")
 def nearest_unlabelled_level(spark, sf):
+    """From every labelled order."""
     kept = Tables(spark, "level")
-    return graphs.nearest_level(kept.keep(part_edges(spark, sf), "edges"), _parts(spark, sf, "p_size = 50"), _parts(spark, sf, "p_size BETWEEN 40 AND 42"), kept)
+    wanted = _orders(spark, sf, f"o_orderstatus = 'P' AND NOT {_URGENT}")
+    return graphs.nearest_level(kept.keep(order_edges(spark, sf), "edges"), _orders(spark, sf, _URGENT), wanted, kept)
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, asked AS (
+  SELECT a.o_orderkey AS source, b.o_orderkey AS target FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'
+  UNION SELECT o_orderkey, o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F'
+), r AS (
+  SELECT DISTINCT source, source AS id, 0 AS dist FROM asked UNION SELECT r.source, g.dst, r.dist + 1 FROM r JOIN g ON g.src = r.id WHERE r.dist < 40
+) SELECT source, target, min(dist) AS dist FROM asked JOIN r USING (source) WHERE r.id = target AND target <> source GROUP BY 1, 2""")
+def asked_distances(spark, sf):
+    """Only the pairs that are asked for: orders of one customer, and orders of no common component, which have no path."""
+    kept = Tables(spark, "asked")
+    orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    others = orders.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("target"), F.col("o_orderstatus").alias("s"))
+    same = orders.join(others, (F.col("o_custkey") == F.col("c")) & (F.col("o_orderkey") != F.col("target")) & (F.col("s") == "O")).filter("o_orderstatus = 'F'")
+    pairs = same.select(F.col("o_orderkey").alias("source"), "target").union(orders.filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderkey") + 1))
+    return graphs.distances(kept.keep(order_edges(spark, sf), "edges"), pairs.distinct(), kept)
+
+
+_SIGN = "CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END"
+_SPADES = f"""{_ORDER_LINKS}, k AS (SELECT x || '+' AS a, y || '-' AS b FROM l WHERE y IS NOT NULL), kk AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+p AS (SELECT l_partkey AS c, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS record, l_orderkey || {_SIGN} AS s,
+  row_number() OVER (PARTITION BY l_partkey, l_linestatus ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem),
+f AS (SELECT c, min(record) AS record FROM p GROUP BY c), own AS (SELECT p.* FROM p JOIN f USING (c, record)),
+turn AS (SELECT s, CASE WHEN right(s, 1) = '+' THEN left(s, length(s) - 1) || '-' ELSE left(s, length(s) - 1) || '+' END AS t FROM (SELECT DISTINCT s FROM p)),
+last AS (SELECT c, arg_max(s, pos) AS s FROM own GROUP BY c), one AS (SELECT c, s FROM last UNION SELECT c, t FROM last JOIN turn USING (s)),
+every AS (SELECT DISTINCT c, s FROM own UNION SELECT c, t FROM own JOIN turn USING (s)),
+ab AS (SELECT o.c AS a, p.c AS b FROM one o JOIN p ON o.s = p.s UNION SELECT o.c, p.c FROM every o JOIN kk ON kk.a = o.s JOIN p ON p.s = kk.b)"""
+
+
+@query(f"WITH {_SPADES} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ab WHERE a <> b")
+def spades_edges(spark, sf):
+    """Parts as contigs with a path record for each line status; signs by line number."""
+    w = Window.partitionBy("l_partkey", "l_linestatus").orderBy("l_orderkey", "l_linenumber")
+    paths = read(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("contig_id"),
+        F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("record"),
+        F.row_number().over(w).alias("pos"),
+        F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+")).alias("segment"),
+    )
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = read(spark, sf, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("+")).alias("a"), F.concat(F.lead("o_orderkey").over(w).cast("string"), F.lit("-")).alias("b"))
+    return graphs.spades_edges(Tables(spark, "spades").keep(paths, "paths"), graph_files.both_ways(links.filter("b IS NOT NULL")))
+
+
+_FLYE = f"""{_ORDER_LINKS}, k AS (SELECT x::VARCHAR AS a, '-' || y AS b FROM l WHERE y IS NOT NULL), kk AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+p AS (SELECT DISTINCT l_partkey AS c, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END || l_orderkey AS s FROM lineitem),
+t AS (SELECT c, s FROM p UNION SELECT c, CASE WHEN s LIKE '-%' THEN substr(s, 2) ELSE '-' || s END FROM p),
+z AS (SELECT DISTINCT t.c, kk.b AS s FROM t JOIN kk ON kk.a = t.s), zz AS (SELECT c, s FROM z UNION SELECT c, ltrim(s, '-') FROM z),
+ab AS (SELECT a.c AS a, b.c AS b FROM t a JOIN p b USING (s) UNION SELECT a.c, b.c FROM p a JOIN p b ON ltrim(a.s, '-') = ltrim(b.s, '-') UNION SELECT zz.c, p.c FROM zz JOIN p USING (s))"""
+
+
+@query(f"WITH {_FLYE} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ab WHERE a <> b")
+def flye_edges(spark, sf):
+    """Parts as contigs with signed segments."""
+    sign = F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("")
+    paths = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("contig_id"), F.concat(sign, F.col("l_orderkey").cast("string")).alias("segment")).distinct()
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("a"), F.concat(F.lit("-"), F.lead("o_orderkey").over(w).cast("string")).alias("b"))
+    return graphs.flye_edges(Tables(spark, "flye").keep(paths, "paths"), graph_files.both_ways(links.filter("b IS NOT NULL")))
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT count(*) AS edges FROM e)
+SELECT count(*) AS contigs, count(*) FILTER (p_retailprice >= {MIN_LENGTH}) AS long, count(*) FILTER (p_partkey NOT IN (SELECT src FROM g)) AS isolated,
+  count(*) FILTER (p_retailprice >= {MIN_LENGTH} AND p_partkey NOT IN (SELECT src FROM g)) AS long_isolated, any_value(edges) AS edges, 2 AS samples FROM part CROSS JOIN n""")
+def run_counters(spark, sf):
+    """What a run logs of its input."""
+    from . import binning
+
+    contigs = read(spark, sf, "part").select(F.col("p_partkey").alias("contig_id"), F.col("p_retailprice").alias("length"))
+    n = binning.counters(binning.Input(contigs, Tables(spark, "counters").keep(part_edges(spark, sf), "edges"), contigs, contigs, 2), MIN_LENGTH)
+    return spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} {'int' if k == 'samples' else 'long'}" for k in n))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
@@ -518,12 +647,14 @@ def final_bin_count(spark, sf):
 @query(f"WITH {_HITS} SELECT c_custkey AS contig_id FROM customer WHERE c_acctbal + 1000 >= {MIN_LENGTH} AND c_custkey NOT IN (SELECT contig_id FROM h)")
 def long_unbinned(spark, sf):
     long = features.long_contigs(customers(spark, sf), MIN_LENGTH)
-    return long.join(hits(spark, sf).select("contig_id"), "contig_id", "left_anti").select("contig_id")
+    return assign.unbinned(long, hits(spark, sf)).select("contig_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {_SEEDS} SELECT contig_id FROM z WHERE contig_id NOT IN (SELECT contig_id FROM sb)")
 def set_difference(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Marker contigs that are no seeds."""
+    h = Tables(spark, "difference").keep(hits(spark, sf), "hits")
+    return assign.unbinned(markers.contig_markers(h).select("contig_id"), seed_of(h))
 
 
 @query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey")
@@ -531,9 +662,12 @@ def set_intersection(spark, sf):
     return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT doc_id, coalesce(quality, -1) AS quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"WITH {_GROUPS} SELECT quality, 'bin_' || clique AS bin, c_name AS record_id, c_mktsegment AS seq FROM mb JOIN d USING (brand) JOIN gr USING (bin_id) JOIN cl USING (gid) JOIN ju USING (clique) JOIN customer ON c_custkey = mb.contig_id")
 def final_join(spark, sf):
-    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "n_chars")
+    """Sequences of all contigs that are in an output bin."""
+    groups, members = _judged(spark, sf)
+    seqs = read(spark, sf, "customer").select(F.col("c_custkey").alias("contig_id"), F.col("c_name").alias("record_id"), F.col("c_mktsegment").alias("seq"))
+    return merge.with_sequences(seqs, merge.final_of(merge.results(groups, members)))
 
 
 # ---- files: written in a format, scanned again
@@ -574,6 +708,65 @@ def gfa_oriented_links(spark, sf):
     return graph_files.read_oriented_links(spark, _gfa(spark, sf), "suffix")
 
 
+@query(f"WITH {_LINKS} SELECT src::VARCHAR AS a, '-' || dst AS b FROM e")
+def gfa_prefixed_links(spark, sf):
+    path = Tables(spark, "edges").path("gfa")
+    rows = part_edges(spark, sf)
+    rows.select(F.concat(F.lit("L\tedge_"), F.col("src").cast("string"), F.lit("\t+\tedge_"), F.col("dst").cast("string"), F.lit("\t-\t0M")).alias("value")).write.text(path)
+    return graph_files.read_oriented_links(spark, path, "prefix")
+
+
+@query("SELECT p_partkey || 'L' AS a, p_size || 'x' AS b FROM part UNION ALL SELECT o_orderkey || '+', o_custkey || '-' FROM orders")
+def gfa_links_anywhere(spark, sf):
+    """Lines of any kind that hold an L count as links, as some tools read them."""
+    path = Tables(spark, "anywhere").path("gfa")
+    other = read(spark, sf, "part").select(F.concat_ws("\t", F.lit("S"), F.col("p_partkey").cast("string"), F.lit("L"), F.col("p_size").cast("string"), F.lit("x")).alias("value"))
+    short = read(spark, sf, "part").select(F.concat_ws("\t", F.lit("S"), F.col("p_partkey").cast("string"), F.lit("LN")).alias("value"))
+    links = read(spark, sf, "orders").select(F.concat_ws("\t", F.lit("L"), F.col("o_orderkey").cast("string"), F.lit("+"), F.col("o_custkey").cast("string"), F.lit("-")).alias("value"))
+    other.union(short).union(links).write.text(path)
+    return graph_files.read_oriented_links(spark, path, "suffix", anywhere=True)
+
+
+def _plain_links(spark, sf) -> str:
+    path = Tables(spark, "links").path("gfa")
+    s = read(spark, sf, "part").select(F.concat(F.lit("S\tk"), F.col("p_partkey").cast("string"), F.lit(".0\tACGT")).alias("value"))
+    e = read(spark, sf, "lineitem").select(F.concat(F.lit("L\t"), (F.col("l_partkey") % 50).cast("string"), F.lit("\t+\t"), (F.col("l_suppkey") % 50).cast("string"), F.lit("\t-")).alias("value"))
+    s.union(e).write.text(path)
+    return path
+
+
+@query("SELECT (l_partkey % 50)::VARCHAR AS a, (l_suppkey % 50)::VARCHAR AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def megahit_links(spark, sf):
+    """On this route links of a contig with itself stay."""
+    return graph_files.read_links(spark, _plain_links(spark, sf), "megahit").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (l_partkey % 50)::VARCHAR AS a, (l_suppkey % 50)::VARCHAR AS b, count(*) AS n FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2")
+def megahitc_links(spark, sf):
+    return graph_files.read_links(spark, _plain_links(spark, sf), "megahitc").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'k' || p_partkey AS name FROM part")
+def megahitc_segments(spark, sf):
+    """On this route names lose their last two characters."""
+    return graph_files.read_segments(spark, _plain_links(spark, sf), "megahitc").select("name")
+
+
+@query(f"WITH {_SEQ} SELECT doc_id::VARCHAR AS record_id, 'g' || doc_id AS name FROM s WHERE doc_id % 7 <> 3")
+def matched_by_place(spark, sf):
+    """Names of a graph's segments for records at the same place with the same sequence; others have no name."""
+    from . import binning
+
+    kept = Tables(spark, "place")
+    rows = bases(spark, sf).withColumn("seq", F.concat(F.lit("A"), "seq")).orderBy("doc_id")
+    records, graph = kept.path("fasta"), kept.path("gfa")
+    fasta.write_fasta(rows.withColumn("record_id", F.col("doc_id").cast("string")), records, width=80)
+    other = F.when(F.col("doc_id") % 7 == 3, F.concat("seq", F.lit("C"))).otherwise(F.col("seq"))
+    rows.select(F.concat_ws("\t", F.lit("S"), F.concat(F.lit("g"), F.col("doc_id").cast("string")), other).alias("value")).write.text(graph)
+    found = binning.matched_by_place(graph_files.read_segments(spark, graph, "megahit"), fasta.read_fasta(spark, records))
+    return found.select("record_id", "name")
+
+
 @query("""SELECT s_suppkey AS number, row_number() OVER (PARTITION BY s_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos, l_orderkey || '+' AS segment
 FROM supplier JOIN lineitem ON l_suppkey = s_suppkey""")
 def spades_path_scan(spark, sf):
@@ -584,6 +777,20 @@ def spades_path_scan(spark, sf):
     return graph_files.read_spades_paths(spark, path).select("number", F.col("pos").cast("long").alias("pos"), "segment")
 
 
+@query("""WITH x AS (SELECT l_suppkey AS s, l_orderkey AS o, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber))
+SELECT s AS number, pos, o || CASE WHEN n > 1 AND pos = (n + 1) // 2 - 1 THEN '' ELSE '+' END AS segment FROM x""")
+def spades_path_lines(spark, sf):
+    """Records of several lines: the first line's last segment loses its sign, as the matched tool reads them."""
+    path = Tables(spark, "lines").path("paths")
+    line = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.struct("l_orderkey", "l_linenumber").alias("k"))
+    own = line.groupBy("s").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(k["l_orderkey"].cast("string"), F.lit("+"))).alias("p"))
+    half = F.ceil(F.size("p") / 2).cast("int")
+    first, rest = F.array_join(F.slice("p", F.lit(1), half), ","), F.array_join(F.slice("p", half + 1, F.size("p")), ",")
+    body = F.when(F.size("p") > 1, F.concat(first, F.lit(";\n"), rest)).otherwise(first)
+    own.select(F.concat(F.lit("NODE_"), F.col("s").cast("string"), F.lit("_length_9_cov_1\n"), body).alias("value")).write.text(path)
+    return graph_files.read_spades_paths(spark, path).select("number", F.col("pos").cast("long").alias("pos"), "segment")
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS name, o_orderkey::VARCHAR AS segment FROM orders")
 def flye_path_scan(spark, sf):
     path = Tables(spark, "flye").path("info")
@@ -623,6 +830,60 @@ def coverage_files(spark, sf):
     return tables.combine_coverage(tables.read_coverage(spark, paths), list(TYPES))
 
 
+@query(f"""SELECT (row_number() OVER (ORDER BY user_id))::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id""")
+def coverage_by_place(spark, sf):
+    """Rows of the files joined by their number; names are those of the first file."""
+    kept = Tables(spark, "places")
+    wide = read(spark, sf, "events").groupBy("user_id").agg(*[F.count(F.when(F.col("event_type") == t, 1)).alias(t) for t in TYPES])
+    rows = kept.keep(kept.ordinals(wide, ["user_id"], "k"), "rows")
+    paths = []
+    for n, t in enumerate(TYPES):
+        paths.append(kept.path(t))
+        # only the first file has the names
+        name = (F.col("k") + 1).cast("string") if n == 0 else F.lit("other")
+        body = rows.select(F.concat_ws("\t", name, F.col(t).cast("string")).alias("value"), F.col("k").alias("at"))
+        spark.createDataFrame([(f"Contig\t{t}", -1)], "value string, at long").union(body).repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(paths[-1])
+    return tables.combine_coverage(tables.read_coverage(spark, paths), list(TYPES), by="pos")
+
+
+@query(f"WITH {_GROUPS} SELECT c_name AS contig, 'bin_' || clique AS bin FROM mb JOIN d USING (brand) JOIN gr USING (bin_id) JOIN cl USING (gid) JOIN ju USING (clique) JOIN customer ON c_custkey = mb.contig_id WHERE quality = 'final'")
+def table_sink(spark, sf):
+    """The result table, written and read back."""
+    path = Tables(spark, "table").path("table")
+    tables.write_table(result_table(spark, sf).filter("quality = 'final'").select("contig", "bin"), path, ";", crlf=True)
+    return spark.read.csv(path, schema="contig string, bin string", sep=";")
+
+
+@query(f"""WITH {_SEQ} SELECT CASE WHEN doc_id % 2 = 0 THEN 'final' ELSE 'low' END AS quality, 'bin_' || (CASE WHEN doc_id % 3 > 0 THEN 0 ELSE doc_id % 10 END) AS bin, doc_id::VARCHAR AS record_id, 'A' || seq AS seq FROM s""")
+def bins_sink(spark, sf):
+    """Sequences by quality and bin, written as folders of records and read back; one bin holds most of them."""
+    path = Tables(spark, "bins").path("bins")
+    n = F.when(F.col("doc_id") % 3 > 0, 0).otherwise(F.col("doc_id") % 10).cast("string")
+    rows = bases(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, "final").otherwise("low").alias("quality"), F.concat(F.lit("bin_"), n).alias("bin"), F.col("doc_id").cast("string").alias("record_id"), F.concat(F.lit("A"), "seq").alias("seq"))
+    fasta.write_bins(rows, path)
+    lines = F.split(F.regexp_replace(F.trim("value"), "^>", ""), "\n")
+    return spark.read.option("lineSep", "\n>").text(path).select("quality", "bin", lines[0].alias("record_id"), F.trim(lines[1]).alias("seq"))
+
+
+@query(f"""SELECT user_id::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id
+HAVING {' AND '.join(f"count(*) FILTER (event_type = '{t}') > 0" for t in TYPES)}""")
+def coverage_sink(spark, sf):
+    """The combined coverage with a header, written and read back."""
+    path = Tables(spark, "sink").path("tsv")
+    tables.write_table(coverage_combine(spark, sf).withColumn("contig", F.col("contig").cast("string")), path, "\t", header=True)
+    return spark.read.csv(path, sep="\t", header=True, schema=", ".join(["contig string", *[f"{t} double" for t in TYPES]]))
+
+
+@query(f"WITH {_KMERS} SELECT doc_id, kmer, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS freq FROM c")
+def cached_profiles(spark, sf):
+    """Dense profiles by way of the cache: computed and written, then read from there."""
+    path = Tables(spark, "cache").path("profiles")
+    features.cached_profiles(bases(spark, sf), path, "doc_id")
+    rows = features.cached_profiles(bases(spark, sf), path, "doc_id").select("doc_id", F.posexplode("profile").alias("slot", "freq")).filter("freq > 0")
+    names = spark.createDataFrame(list(enumerate(sequences.canonical_index())), "slot int, kmer string")
+    return rows.join(names, "slot").select("doc_id", "kmer", F.round("freq", 6).alias("freq"))
+
+
 @query(f"WITH {_SEQ} SELECT doc_id::VARCHAR AS record_id, seq FROM s")
 def segments_to_fasta(spark, sf):
     path = Tables(spark, "graph").path("gfa")
@@ -643,24 +904,31 @@ def _customer_features(spark, sf) -> DataFrame:
     return rows.select("contig_id", F.array(*[F.col(f"p{k}") / total * 0.02 for k in range(1, 6)]).alias("profile"), F.array(*[scoring.floored(F.col(s)) for s in "FOP"]).alias("coverage"))
 
 
-def _matched(spark, sf) -> tuple[kernels.Bins, DataFrame]:
-    from .binning import steps_of
+def nation_edges(spark, sf) -> DataFrame:
+    """Customers linked with the next of their nation, and with the third after it."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = read(spark, sf, "customer")
+    pairs = [rows.select(F.col("c_custkey").alias("a"), F.lead("c_custkey", k).over(w).alias("b")).filter("b IS NOT NULL") for k in (1, 3)]
+    return graphs.simple_edges(pairs[0].union(pairs[1]))
+
+
+def _matched(spark, sf, left: bool) -> tuple[kernels.Bins, list[int]]:
+    """The matching's bins, and with ``left`` the leftovers that then joined one."""
+    from .binning import marker_state, steps_of
 
     kept = Tables(spark, "matched")
     h = kept.keep(hits(spark, sf), "hits")
     rows = assign.checked(markers.contig_markers(h).join(_customer_features(spark, sf), "contig_id").join(customers(spark, sf), "contig_id"), assign.MARKER_CONTIGS, "marker contigs")
-    at = {int(c): k for k, c in enumerate(rows["contig_id"])}
-    p, c = np.vstack(rows["profile"]), np.vstack(rows["coverage"])
+    weight, vertices, own, lengths = marker_state(rows, kept.keep(nation_edges(spark, sf), "edges"), kept)
+    bins = kernels.match(steps_of(h), own, lengths, weight, vertices, MATCH_LIMIT, 2 * MATCH_LIMIT, MATCH_FAR)
+    before = set(bins.of)
+    if left:
+        kernels.match_left(bins, list(own), own, lengths, weight, LEFT_LIMIT)
+    return bins, [c for c in bins.of if c not in before]
 
-    def weight(a: list[int], b: list[int]) -> np.ndarray:
-        x, y = [at[i] for i in a], [at[i] for i in b]
-        return kernels.weights(p[x], c[x], p[y], c[y])
 
-    own = {int(i): set(m) for i, m in zip(rows["contig_id"], rows["markers"], strict=True)}
-    lengths = {int(i): float(n) for i, n in zip(rows["contig_id"], rows["length"], strict=True)}
-    limit = scoring.threshold(0.1) * 4
-    bins = kernels.match(steps_of(h), own, lengths, weight, lambda a, b: 0, limit, 2 * limit, 20)
-    return bins, kernels.match_left(bins, list(own), own, lengths, weight, limit)
+#: Limits of the matching on customers: weights to join and open, vertices of a path, and the leftovers' weight.
+MATCH_LIMIT, MATCH_FAR, LEFT_LIMIT = scoring.threshold(0.1) * 4, 8, scoring.threshold(0.05) * 4
 
 
 def _frame(spark, bins: kernels.Bins) -> DataFrame:
@@ -670,28 +938,34 @@ def _frame(spark, bins: kernels.Bins) -> DataFrame:
 
 @query()
 def matching(spark, sf):
-    """Seeds, one matching for each marker, and the leftovers."""
-    return _frame(spark, _matched(spark, sf)[0])
+    """Seeds, and one matching for each marker, with path lengths in a graph of customers."""
+    return _frame(spark, _matched(spark, sf, False)[0])
+
+
+@query()
+def leftover_assign(spark, sf):
+    """What the matching left and the leftovers' pass then put into bins."""
+    bins, new = _matched(spark, sf, True)
+    return spark.createDataFrame(pd.DataFrame([(c, bins.of[c]) for c in new], columns=["contig_id", "bin_id"]).astype("int64"), "contig_id long, bin_id long")
 
 
 @query()
 def gated_assign(spark, sf):
-    """Customers into the bins of their nations, in order, unless a marker clashes."""
-    h = hits(spark, sf)
+    """Customers into the bins of their nations, in order, unless a marker clashes with what the bin holds from the start or got."""
+    h = Tables(spark, "gated").keep(hits(spark, sf), "hits")
     candidates = read(spark, sf, "customer").select(F.col("c_custkey").alias("contig_id"), F.col("c_nationkey").cast("long").alias("bin_id"))
-    own = markers.contig_markers(h)
-    held = candidates.select("bin_id").distinct().withColumn("markers", F.array().cast("array<string>"))
-    return assign.gated_assign(candidates, held, own, customers(spark, sf))
+    held = candidates.join(h, "contig_id").groupBy("bin_id").agg(F.array(F.min("marker")).alias("markers"))
+    return assign.gated_assign(candidates, held, markers.contig_markers(h), customers(spark, sf))
 
 
 @query()
 def final_propagation(spark, sf):
-    """Sizes up to five spread as labels over linked parts."""
+    """The five priorities spread as labels from orders of status F over linked orders."""
     kept = Tables(spark, "spread")
-    edges = kept.keep(part_edges(spark, sf), "edges")
-    part = read(spark, sf, "part")
-    parts = graphs.components(part.select(F.col("p_partkey").alias("id")), edges, kept)
-    labelled = part.filter("p_size <= 5").select(F.col("p_partkey").alias("contig_id"), (F.col("p_size") - 1).cast("long").alias("bin_id"))
-    weights = part.select(F.col("p_partkey").alias("contig_id"), F.array(*[F.abs(F.col("p_retailprice") / 1000 - F.lit(float(b))) for b in range(5)]).alias("weights"))
+    edges = kept.keep(order_edges(spark, sf), "edges")
+    orders = read(spark, sf, "orders")
+    parts = graphs.components(orders.select(F.col("o_orderkey").alias("id")), edges, kept)
+    labelled = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("contig_id"), (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("bin_id"))
+    weights = orders.select(F.col("o_orderkey").alias("contig_id"), F.array(*[F.abs(F.col("o_totalprice") / 50_000 - F.lit(float(b))) for b in range(5)]).alias("weights"))
     live = graphs.with_labelled(parts, labelled.select(F.col("contig_id").alias("id")))
-    return assign.propagate(live, edges, labelled, part.filter("p_size >= 10 OR p_size <= 5").select(F.col("p_partkey").alias("contig_id")), weights, 10)
+    return assign.propagate(live, edges, labelled, orders.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("contig_id")), weights, 10)

@@ -36,7 +36,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return rows.repartition(cores) if size < cores * piece else rows
 

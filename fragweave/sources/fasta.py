@@ -36,6 +36,6 @@ def write_fasta(rows: DataFrame, path: str, width: int | None = None, name: str
 
 
 def write_bins(rows: DataFrame, path: str) -> None:
-    """rows: (quality, bin, record_id, seq). One folder for each quality and bin."""
+    """rows: (quality, bin, record_id, seq). One folder for each quality and bin; a large bin is written by several tasks."""
     text = rows.select("quality", "bin", F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.col("seq")).alias("value"))
-    text.repartition("quality", "bin").write.partitionBy("quality", "bin").text(path)
+    text.hint("rebalance", "quality", "bin").write.partitionBy("quality", "bin").text(path)

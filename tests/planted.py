@@ -1,0 +1,37 @@
+"""A made-up community with known truth."""
+
+from __future__ import annotations
+
+import random
+
+
+def planted(genomes: int = 3, contigs: int = 20, length: int = 12000, n_markers: int = 8, samples: int = 2, seed: int = 5) -> dict[str, object]:
+    """A made-up community with known truth: random genomes of unlike composition, cut up, with links, coverage and hits.
+
+    Returns lines of the ``custom`` route's files and the genome of each contig.
+    """
+    rng = random.Random(seed)
+    out: dict[str, list] = {"fasta": [], "gfa": [], "abundance": [], "hits": [], "truth": []}
+    for g in range(genomes):
+        bias = [rng.random() + 0.15 for _ in range(4)]
+        after = {k: [b * (0.2 + rng.random()) for b in bias] for k in "ACGT"}
+        cover = [rng.uniform(5, 80) for _ in range(samples)]
+        marked = rng.sample(range(contigs), n_markers)
+        for k in range(contigs):
+            seq, last = [], "A"
+            for _ in range(length):
+                last = rng.choices("ACGT", after[last])[0]
+                seq.append(last)
+            name = f"c{g}x{k}"
+            out["fasta"] += [f">{name} made", "".join(seq)]
+            out["gfa"].append(f"S\t{name}\t{''.join(seq)}")
+            out["abundance"].append("\t".join([name, *(f"{c * rng.uniform(0.97, 1.03):.4f}" for c in cover)]))
+            out["truth"].append((name, g))
+            if k:
+                out["gfa"].append(f"L\tc{g}x{k - 1}\t+\t{name}\t+\t0M")
+        for m, k in enumerate(marked):
+            out["hits"].append(f"c{g}x{k}_1_300_+ - 100 M{m:02d} - 100 1e-9 10 0 1 1 1e-9 1e-9 10 0 1 99 1 99 1 99 0.9 -")
+    order = list(range(len(out["hits"])))
+    rng.shuffle(order)
+    out["hits"] = ["# made"] + [out["hits"][k] for k in order]
+    return out

@@ -149,14 +149,14 @@ def test_matching_rules():
 
     own = {0: {"A"}, 1: {"A"}, 2: {"B"}, 3: {"B"}, 4: {"B"}}
     lengths = dict.fromkeys(own, 5000)
-    bins = kernels.match([[0, 1], [2, 3]], own, lengths, weight, lambda a, b: 0, 2.0, 4.0, 20)
+    bins = kernels.match([[0, 1], [2, 3]], own, lengths, weight, lambda pairs: [0] * len(pairs), 2.0, 4.0, 20)
     assert bins.members == [[0, 2], [1], [3]]  # 3 is too unlike and far, so it opens a bin
-    near = kernels.match([[0, 1], [2, 3]], own, lengths, weight, lambda a, b: 3, 2.0, 4.0, 20)
+    near = kernels.match([[0, 1], [2, 3]], own, lengths, weight, lambda pairs: [3] * len(pairs), 2.0, 4.0, 20)
     assert near.members == [[0, 2], [1]]
-    far = kernels.match([[0, 1], [2]], own, lengths, weight, lambda a, b: 30, 2.0, 4.0, 20)
+    far = kernels.match([[0, 1], [2]], own, lengths, weight, lambda pairs: [30] * len(pairs), 2.0, 4.0, 20)
     assert far.members == [[0], [1]]
     assert kernels.match_left(near, [4], own, lengths, weight, 2.0).members == [[0, 2], [1]]  # B is taken in the one, unlike in the other
-    assert kernels.match([], {}, {}, weight, lambda a, b: 0, 1, 1, 1).members == []
+    assert kernels.match([], {}, {}, weight, lambda pairs: [0] * len(pairs), 1, 1, 1).members == []
 
 
 def test_gate(spark):

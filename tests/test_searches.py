@@ -1,37 +1,50 @@
-"""The searches of the catalogue from every part, against the catalogue's SQL with every part as a source."""
+"""Distances of asked pairs, in the driver and on the executors, against plain searches."""
+
+import random
 
-import duckdb
 import pytest
-from fragweave.operators import graphs
-from fragweave.plans import catalogue
+from fragweave.operators import graphs, kernels
+from fragweave.plans import binning
 from fragweave.scratch import Tables
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-
-@pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
-    for t in ("part", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return con
-
-
-def test_from_every_part(spark, sf, duck):
-    tables = Tables(spark, "every")
-    edges = tables.keep(catalogue.part_edges(spark, sf), "edges")
-    every = tables.keep(catalogue._parts(spark, sf), "parts")
-    assert every.count() == duck.execute("SELECT count(*) FROM part").fetchone()[0]
-
-    def same(got, name):
-        sql = catalogue.ORACLE[name]
-        assert sql.count("WHERE p_size = 50") == 1
-        want = duck.execute(sql.replace("WHERE p_size = 50", "")).fetchall()
-        assert want and sorted(map(tuple, got.collect())) == sorted(want)
-
-    paths = graphs.hops(edges, every, catalogue.DEPTH, tables=tables)
-    same(paths.select("source", "id", "dist"), "bounded_paths")
-    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
-    same(graphs.mean_path_length(paths.withColumn("n", n), ["source"], "n"), "mean_path_vertices")
-    same(graphs.first_labelled(edges, every, catalogue._parts(spark, sf, "p_size <= 5"), catalogue.DEPTH, tables).select("source", "id", "dist"), "bfs_first_labelled")
-    same(graphs.nearest_level(edges, every, catalogue._parts(spark, sf, "p_size BETWEEN 40 AND 42"), tables).select("source", "id", "dist"), "nearest_unlabelled_level")
+
+
+def plain(edges, start):
+    out, front = {start: 0}, [start]
+    while front:
+        front = list({n for v in front for e in edges if v in e for n in e if n not in out})
+        out |= {n: len_of(out, edges, n) for n in front}
+    return out
+
+
+def len_of(out, edges, n):
+    return 1 + min(out[m] for e in edges if n in e for m in e if m in out and m != n)
+
+
+@pytest.mark.parametrize("edges_in_driver", [0, 10_000])
+def test_paths_of_asked_pairs(spark, monkeypatch, edges_in_driver):
+    rng = random.Random(8)
+    edges = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(28)} | {(100 + k, 101 + k) for k in range(15)}
+    vertices = sorted({v for e in edges for v in e} | {200})
+    pairs = [(rng.choice(vertices), rng.choice(vertices)) for _ in range(60)] + [(100, 115), (115, 103), (200, 100), (200, 200)]
+    of = {v: plain(edges, v) for v in vertices}
+    want = [of[a].get(b, -1) + 1 for a, b in pairs]
+    assert 0 in want and 16 in want and 1 in want
+    monkeypatch.setattr(binning, "DRIVER_EDGES", edges_in_driver)
+    kept = Tables(spark, "t")
+    table = kept.keep(spark.createDataFrame(sorted(edges), "src long, dst long"), "edges")
+    assert binning._near_paths(table, kept)(pairs) == want
+    monkeypatch.setattr(binning, "PAIRS", 3)
+    if not edges_in_driver:
+        with pytest.raises(ValueError, match="pairs"):
+            binning._near_paths(table, kept)(pairs)
+
+
+def test_a_search_ends_with_its_targets():
+    adjacent = {k: [k - 1, k + 1] for k in range(1000)}
+    assert kernels.hops(adjacent, 5, {7, 3}) == {7: 2, 3: 2}
+    assert kernels.hops({}, 5, {7}) == {} and kernels.hops({}, 5, {5}) == {5: 0}
+
+
+def test_distances_of_no_pairs(spark):
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert graphs.distances(edges, spark.createDataFrame([], "source long, target long")).collect() == []
