@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..scratch import Tables
 
-#: Words of a text: what stands between these white-space bytes.
-WORD = r"[^\x20\x09-\x0D]+"
-
 #: Rows of an Arrow batch.
 BATCH = 2000
 
