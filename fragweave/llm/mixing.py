@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets the key -ln(u) / w: u a uniform number that follows from doc_id, text and seed,
-w its quality weight. Documents are sorted by key within their source and prefix-summed; the source's
+w its quality weight: a column of the caller's (say a classifier's score), or what the text itself shows. Documents are sorted by key within their source and prefix-summed; the source's
 target takes whole epochs first, then the documents whose words end within the rest of the budget; the gap that a large
 document leaves there goes to later ones, in the order of their keys.
 DataFrame operators only; hot sources are dealt over many tasks.
 
 Size: words of the text; null or empty: 0. Sources are ordered by code point, null last, with weights that
-repeat in this order. Targets share ``share`` times all sizes by weight, at most ``most`` times their source's size;
-the excess goes to the others by weight. Equal rows tie: they share u, and the running sum takes them in any order.
-An empty table gives an empty result. Extra columns are ignored.
+repeat in this order. A weight that is null, not finite or under ``LOW`` counts as ``LOW``. Targets share ``share`` times all sizes by weight, at most ``most`` times their source's size;
+the excess goes to the others by weight. Equal rows tie: they share u, and the running sum takes them in the order of the
+carried columns, or any. Rows with a null doc_id take part like others; very long texts are read once and do not travel.
+An empty table gives an empty result. Columns that are not carried are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ordered_sums, uniform
+from .common import Scratch, ordered_sums, uniform
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Times that the gap which the first document beyond a budget leaves is filled with later ones that fit.
@@ -26,10 +27,32 @@ FILLS = 2
 SOURCES = 100_000
 
 
+#: The smallest weight: no document is out of reach.
+LOW = 0.1
+
+
+def _split(text: Column) -> Column:
+    """A text at its white space: its words, and an empty string before or after them where it begins or ends with white space."""
+    return F.split(text, r"[\x20\x09-\x0D]+")
+
+
+def words(text: Column) -> Column:
+    """How many words a text has."""
+    parts = _split(text)
+    ends = [(F.element_at(parts, k) == "").cast("int") for k in (1, -1)]
+    return F.greatest(F.size(parts) - ends[0] - ends[1], F.lit(0)).cast("long")
+
+
 def quality(text: Column) -> Column:
-    """A weight in [0.1, 1]: by the share of letters and white space in the whole text; empty or null texts have 0.1."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
-    return F.lit(0.1) + F.lit(0.9) * F.coalesce(plain / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+    """A weight in [LOW, 1] of a whole text: the share of letters and white space, times how varied its words are.
+
+    Varied: distinct words over twice the root of the number of words, at most 1, so that length alone does not count.
+    An empty text has LOW.
+    """
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.nullif(F.length(text), F.lit(0))
+    parts = _split(text)
+    varied = F.least(F.lit(1.0), F.size(F.array_distinct(parts)) / (2 * F.sqrt(F.size(parts).cast("double"))))
+    return F.lit(LOW) + F.lit(1 - LOW) * F.coalesce(plain * varied, F.lit(0.0))
 
 
 def targets(per: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -53,19 +76,25 @@ def targets(per: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("shared") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (whole passes), chosen (in the fractional pass), taken, and ``carry``."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None, carry: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """weight: the column of quality weights, if the documents bring them.
+
+    Returns doc_id, source, size, source_size, target, epochs (whole passes), chosen (in the fractional pass), taken, and ``carry``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
     text = F.coalesce(F.col("text"), F.lit(""))
+    w = quality(text) if weight is None else F.col(weight).cast("double")
+    w = F.when((w >= LOW) & ~F.isnan(w) & (w < float("inf")), w).otherwise(F.lit(LOW))
+    # the texts are read here and nowhere else
     keyed = docs.select(
         F.col("doc_id").cast("long"),
         "source",
         *carry,
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log(uniform(F.col("doc_id"), F.col("text"), seed=seed)) / quality(text)).alias("key"),
+        words(text).alias("size"),
+        (-F.log(uniform(F.col("doc_id"), F.col("text"), seed=seed)) / w).alias("key"),
     )
-    order = [F.col("source").asc_nulls_last(), "key", "doc_id"]
+    keyed = scratch.keep(keyed, "keyed")
+    order = [F.col("source").asc_nulls_last(), "key", "doc_id", *carry]
     run = scratch.keep(ordered_sums(scratch, keyed, order, {"upto": "size"}, ["source"]), "run")
     per = targets(run.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     per = _by_source(scratch, per.withColumnRenamed("source", "_source"))

@@ -1,9 +1,14 @@
 """Sharding and mixing against brute force, with their laws."""
 
+import itertools
+import math
+import random
+import struct
 import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 from fragweave.llm import mixing, sharding
 from fragweave.llm.common import read
 
@@ -78,8 +83,77 @@ def test_mix(spark, docs):
         assert abs(taken[s] - target[s]) <= largest[s]
 
 
+@pytest.mark.parametrize("cells", [1, 400, 100_000])
+def test_the_capacity_is_the_smallest(spark, cells):
+    rng = random.Random(cells)
+    for shards, sizes in [(8, [rng.randrange(1, 60) for _ in range(3000)]), (5, [1] * 700), (8, [3, 3, 3]), (4, [10**12] + [rng.randrange(1, 10**11) for _ in range(300)]), (3, [5])]:
+        ends = list(itertools.accumulate(sizes))
+        groups = spark.createDataFrame(list(zip(sizes, ends, strict=True)), "size long, end long").repartition(3)
+        capacity, got = sharding.cuts(groups, shards, cells)
+        assert feasible(sizes, shards, capacity) and (capacity == max(sizes) or not feasible(sizes, shards, capacity - 1))
+        want, at = [], 0
+        for _ in range(shards):
+            at = max([e for e in ends if e <= at + capacity], default=at)
+            want.append(at)
+        assert got == want and got[-1] == ends[-1]
+
+
+def test_few_rounds_settle_the_search(spark, monkeypatch):
+    """The rounds do not grow with the groups: at most three here, and each sends a bounded number of cells."""
+    rounds, plain = [], sharding._counted
+
+    def spy(*args):
+        got = plain(*args)
+        rounds.append(len(got))
+        return got
+
+    monkeypatch.setattr(sharding, "_counted", spy)
+    groups = spark.range(1, 200_001).selectExpr("1000 + id * 7919 % 5003 AS size", "id").selectExpr("size", "sum(size) OVER (ORDER BY id) AS end")
+    sharding.cuts(groups, 8, 4096)
+    assert len(rounds) <= 3 and max(rounds) <= 4096 + 8
+
+
+def plain_key(doc_id, text, weight, seed=17):
+    """-ln(u) / w with u from the engine's own 64-bit hash, chained over the columns."""
+    h = 42
+    for data in (struct.pack("<q", doc_id), text.encode(), struct.pack("<i", seed)):
+        h = xxhash.xxh64_intdigest(data, h)
+    return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+
+def test_the_chosen_set_is_that_of_the_plain_method(spark):
+    """Sorted by exponential keys, taken while they fit, the gap offered twice to later ones that fit."""
+    docs = [(i, " ".join(["w"] * (1 + (i * 7919) % 60)), "abc"[i % 3], 0.05 + (i % 11) / 5) for i in range(400)]
+    docs += [(900, " ".join(["w"] * 900), "a", 50.0), (901, "", "b", 1.0), (902, "w", "c", float("nan")), (903, "w w", "c", None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string, weight double").repartition(5)
+    got = {r["doc_id"]: r.asDict() for r in mixing.mix(table, weight="weight").collect()}
+    assert len(got) == len(docs)
+    partly = 0
+    for s in "abc":
+        own = [(plain_key(i, t, w if w is not None and w >= 0.1 else 0.1), i, len(t.split())) for i, t, x, w in docs if x == s]
+        size = sum(n for *_, n in own)
+        target = got[own[0][1]]["target"]
+        epochs = int(target // size)
+        left, used, chosen = target - epochs * size, 0, set()
+        for _, i, n in sorted(own):
+            used += n
+            if n and epochs < 2 and used <= left:
+                chosen.add(i)
+        for last in (False, True):
+            gap, used = left - sum(n for _, i, n in own if i in chosen), 0
+            for _, i, n in sorted(own):
+                if n and epochs < 2 and i not in chosen and n <= gap:
+                    used += n
+                    if used - (n / 2 if last else 0) <= gap:
+                        chosen = chosen | {i}
+        assert {i for _, i, _ in own if got[i]["chosen"]} == chosen
+        partly += 0 < len(chosen) < len(own)
+        assert all(got[i]["epochs"] == epochs and got[i]["taken"] == n * (epochs + (i in chosen)) for _, i, n in own)
+    assert partly >= 2
+
+
 def test_mix_prefers_heavier_documents(spark):
-    docs = spark.createDataFrame([(i, ("word " * 20) if i % 2 else ("1$ 2# " * 10), "s" if i < 600 else "t") for i in range(800)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, ("a word of some ten more " * 4) if i % 2 else ("1$ 2# " * 12), "s" if i < 600 else "t") for i in range(800)], "doc_id long, text string, source string")
     rows = mixing.mix(docs, weights=(1.0, 2.0), share=0.9).collect()
     low = [r for r in rows if r["source"] == "s"]
     good = sum(r["taken"] for r in low if r["doc_id"] % 2)
