@@ -2,7 +2,7 @@
 
 Statistics describe the whole text: shares of kinds of characters and words, repetition, lines, entropy. Nothing else of a
 document is an input. They are standardised by the training rows, mapped by random cosines to an approximation of a Gaussian
-kernel, and fitted by ridge regression: each partition sums its part of the normal equations, partitions are summed in turn.
+kernel, and fitted by ridge regression: each partition sums its part of the normal equations, partitions are summed as a tree.
 Raw scores are calibrated by isotonic regression on a fold that the ridge has not seen.
 
 Null texts count as empty and are scored as such. Training rows need a label of 0 or 1 and a text row of their doc_id; of several
@@ -19,6 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ from .common import Scratch, tidy
 
 COSINES, RIDGE, SEED = 192, 3.0, 11
 THRESHOLD = 0.3
+#: Parts of the normal equations (24 KB each) that are summed apart, and tasks whose sums meet in one group.
+CHUNKS, FAN = 16, 1000
+#: Labelled ids (8 bytes each) up to which they are broadcast; beyond, texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
 #: Steps of the raw score that calibration tells apart.
 STEPS = 2000
 
@@ -74,6 +79,14 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, x) of the documents that have a label: all that ``fit`` reads."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # so that texts stay where they are
+        own = F.broadcast(own)
+    return features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id", "left_semi"))
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
@@ -112,8 +125,11 @@ def _array(batch, k: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, fit: Model) -> np.ndarray:
-    """The normal equations of (x, y): Z'Z with Z'y as its last column."""
-    chunks = 16
+    """The normal equations of (x, y): Z'Z with Z'y as its last column.
+
+    Each task sums its rows; tasks are summed by ``FAN`` and these sums again, so that a group holds no more than the root of
+    the number of tasks, in chunks of some rows of the matrix each.
+    """
 
     def part(batches):
         total = None
@@ -123,18 +139,20 @@ def _summed(rows: DataFrame, fit: Model) -> np.ndarray:
             got = z.T @ np.hstack([z, y[:, None]])
             total = got if total is None else total + got
         if total is not None:
-            for k, rows_ in enumerate(np.array_split(total, chunks)):
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([rows_.tobytes()], pa.binary())], names=["chunk", "sums"])
+            task = TaskContext.get().partitionId() // FAN
+            for k, rows_ in enumerate(np.array_split(total, CHUNKS)):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([rows_.tobytes()], pa.binary())], names=["chunk", "task", "sums"])
 
     def add(key, table):
         got = None
-        for s in table["sums"].to_pylist():
+        for s in sorted(table["sums"].to_pylist()):  # in one order, so that reruns agree
             s = np.frombuffer(s)
             got = s if got is None else got + s
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([got.tobytes()], pa.binary())], names=["chunk", "sums"])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([got.tobytes()], pa.binary())], names=["chunk", "task", "sums"])
 
-    schema = "chunk int, sums binary"
-    got = rows.select("x", "y").mapInArrow(part, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    schema = "chunk int, task int, sums binary"
+    sums = rows.select("x", "y").mapInArrow(part, schema)
+    got = sums.groupBy("chunk", "task").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).collect()
     n = len(fit.weights)
     return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(got, key=lambda r: r["chunk"])]).reshape(n, n + 1)
 
