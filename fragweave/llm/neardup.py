@@ -5,32 +5,38 @@
    by universal hashing of (range, try). ``ROWS`` minima make a band; classes with an equal band share a bucket.
 3. Stars: a bucket proposes the edges from its smallest and its largest class to the others: two edges for each
    member at most. Edges are confirmed on the full sets, and connected components are taken.
-4. Rest: in a bucket whose members are still of several components, pairs across components remain. Such a bucket is
-   cut into blocks, block meets block, and pairs whose signatures allow the similarity are confirmed on the full sets.
-   So the star's saving loses no link of any bucket, and pairs inside a component are never formed.
+4. Rest: in a bucket whose members are still of several components, pairs across components remain. Its members are cut by
+   size (sets of two sizes apart cannot be similar enough) and into blocks; blocks meet where a pair is possible, which leaves out
+   the largest component with itself. A pair goes on if the histograms of its hashes, a few hashes to a cell, have enough in
+   common: what they share bounds the intersection from above, so no link is lost, at any size. Sets small enough to travel with
+   their histograms are compared in full where they meet, and two components need one link only; larger survivors are fetched and
+   confirmed. So the star's saving loses no connection of any bucket, and pairs inside a component are never formed.
 
 Two sets are linked if 100 * intersection >= percent * union. Documents without words or text are linked with nothing.
 A row with a null doc_id is linked with nothing, its component is null and it is kept. Repeated doc_ids: every row goes
-by its own text. Ties take the smallest doc_id. Extra columns are ignored.
+by its own text. Ties take the smallest doc_id. Very long texts are taken whole; blocks of large sets have fewer members.
+An empty table gives an empty result. Extra columns are ignored, unless they are carried.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, partitions, tidy
 from .shingles import overlap, scramble, shingles
 
 BINS, ROWS = 200, 5
 PERCENT, WIDTH = 80, 5
-#: Members of a block in step 4.
-BLOCK = 256
-#: Hashes of a set under which step 4 does without its signature.
-SMALL = 4 * BINS
+#: Members of a block in step 4 at most and at least, and hashes of a block at which it has fewer.
+BLOCK, LEAST_BLOCK, BLOCK_HASHES = 256, 8, 1 << 25
+#: Hashes of a set that travels to the blocks whole. Larger ones are fetched for the pairs that their histograms allow.
+WHOLE = 1024
 
 
 def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -54,6 +60,19 @@ def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def histogram(hashes: np.ndarray) -> tuple[bytes, int]:
+    """How many hashes fall into each of 2**k equal ranges, 2 to 4 on average, up to 255; and how many are beyond that."""
+    k = max(0, len(hashes).bit_length() - 2)
+    each = np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) if k else np.array([len(hashes)])
+    few = np.minimum(each, 255)
+    return few.astype(np.uint8).tobytes(), int((each - few).sum())
+
+
+def folded(cells: bytes, n: int) -> np.ndarray:
+    """A histogram by fewer, larger ranges."""
+    return np.frombuffer(cells, np.uint8).astype(np.uint16).reshape(n, -1).sum(axis=1, dtype=np.uint16)
+
+
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band of the signature."""
     m = sig.reshape(-1, rows)
@@ -65,7 +84,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, with_bands: bool, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Of (doc_id, text): doc_id, n_shingles, set_key and bands. Of (doc_id, text, node, set_key): node, the set and a short signature."""
+    """Of (doc_id, text): doc_id, n_shingles, set_key and bands. Of (doc_id, text, node, set_key): node, the set and its histogram."""
 
     def banded(batches):
         for batch in batches:
@@ -86,14 +105,14 @@ def _sets(docs: DataFrame, width: int, with_bands: bool, carry: tuple[str, ...]
                 part = batch.slice(k, 500)
                 sets = [shingles(t.as_py(), width) for t in part.column(1)]
                 mine = pa.array([_key(s) == w for s, w in zip(sets, part.column(3).to_pylist(), strict=True)], pa.bool_())
-                sigs = [(signature(s) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else b"" for s in sets]
-                yield pa.record_batch([part.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["node", "hashes", "sig"]).filter(mine)
+                cells, beyond = zip(*map(histogram, sets), strict=True)
+                yield pa.record_batch([part.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary()), pa.array(beyond, pa.int64())], names=["node", "hashes", "cells", "beyond"]).filter(mine)
         tidy()
 
     if with_bands:
         extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
         return docs.mapInArrow(banded, f"doc_id long, n_shingles long, set_key binary, bands array<long>{extra}")
-    return docs.mapInArrow(whole, "node long, hashes binary, sig binary")
+    return docs.mapInArrow(whole, "node long, hashes binary, cells binary, beyond long")
 
 
 def _key(hashes: np.ndarray) -> bytes | None:
@@ -145,49 +164,68 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return label.select("v", "comp")
 
 
+def _dealt(members: DataFrame, percent: int) -> DataFrame:
+    """members: (key, rep, comp, n). Adds own, lo, hi: a member's block, and the blocks that meet in a cell; a row for each such cell.
+
+    Blocks are of one bucket, size class and side (0: the bucket's largest component). Classes one apart can hold similar sets.
+    """
+    width = max(math.log(100 / percent) * 1.001, 0.01)
+    per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    largest = per.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("largest"))
+    size = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int")
+    rows = members.join(largest, "key").select("key", "rep", "comp", "n", size.alias("c"), (F.col("comp") != F.col("largest")).cast("int").alias("side"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.floor(F.lit(float(BLOCK_HASHES)) / F.exp((F.col("c") + 1) * F.lit(width)))))
+    groups = rows.groupBy("key", "c", "side").agg(F.count(F.lit(1)).alias("m")).select("key", F.struct("c", "side", F.ceil(F.col("m") / block).cast("int").alias("parts")).alias("g"))
+    groups = groups.groupBy("key").agg(F.collect_list("g").alias("groups"))  # as many as there are size classes, twice
+
+    def code(c: Column, side: Column, part: Column) -> Column:
+        return F.shiftleft((c * 2 + side).cast("long"), 32) + part
+
+    mine = F.filter("groups", lambda g: (g["c"] == F.col("c")) & (g["side"] == F.col("side")))[0]["parts"]
+    rows = rows.join(groups, "key").withColumn("own", code(F.col("c"), F.col("side"), F.pmod(F.xxhash64("rep"), mine)))
+    near = F.filter("groups", lambda g: (F.abs(g["c"] - F.col("c")) <= 1) & ((g["side"] == 1) | (F.col("side") == 1)))
+    others = F.flatten(F.transform(near, lambda g: F.transform(F.sequence(F.lit(0), g["parts"] - 1), lambda p: code(g["c"], g["side"], p))))
+    met = rows.select("key", "rep", "comp", "n", "own", F.explode(others).alias("other"))
+    return met.select("key", "rep", "comp", "n", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def _rest(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 4: pairs across components in one bucket, whose signatures allow the similarity."""
-    labelled = buckets.join(comp, buckets["rep"] == comp["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    """Step 4: pairs across components in one bucket that are linked, or may be as far as their histograms tell."""
+    labelled = buckets.join(comp, buckets["rep"] == comp["v"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     labelled = scratch.keep(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = labelled.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # block i meets block j >= i: each member goes to as many cells as its bucket has blocks
-    cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
-    dealt = members.select("key", "rep", "comp", "part", F.explode(cell).alias("cell")).select("key", "cell.i", "cell.j", "rep", "comp", "part")
-    n = (F.octet_length("hashes") / 8).cast("long")
-    # small sets have few minima of their own, so they are compared in full at once
-    slim = sets.select(F.col("node").alias("rep"), "sig", n.alias("n"), F.when(n < SMALL, F.col("hashes")).alias("few"))
-    # five standard deviations of the share of equal minima, and what 16 bits make equal by chance
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("key")
+    members = scratch.keep(labelled.join(mixed, "key", "left_semi"), "members")
+    slim = sets.select(F.col("node").alias("rep"), "cells", "beyond", F.when(F.octet_length("hashes") <= 8 * WHOLE, F.col("hashes")).alias("whole"))
 
     def cells(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        rep, comp, part = (table[c].to_numpy() for c in ("rep", "comp", "part"))
-        n = table["n"].to_numpy().astype(np.float64)
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), -1)
-        few = [None if h is None else np.frombuffer(h, np.uint64) for h in table["few"].to_pylist()]
+        lo, hi = key[1].as_py(), key[2].as_py()
+        rep, comp, n, own, beyond = (table[c].to_numpy() for c in ("rep", "comp", "n", "own", "beyond"))
+        hists = table["cells"].to_pylist()
+        fewest = min(map(len, hists))
+        hists = np.array([folded(h, fewest) for h in hists])
+        whole = [None if h is None else np.frombuffer(h, np.uint64) for h in table["whole"].to_pylist()]
+        group = np.unique(comp, return_inverse=True)[1]  # components, as far as this cell has linked them
+        right = np.flatnonzero(own == hi)
         a_out, b_out = [], []
-        for x in range(len(rep)):
-            if part[x] != i:
-                continue
-            other = (part == j) & (comp != comp[x]) & ((rep > rep[x]) if i == j else True)
-            other &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
-            near = np.flatnonzero(other)
-            if len(near):
-                ok = (sig[near] == sig[x]).mean(axis=1) >= least
-                for k, y in enumerate(near.tolist()):
-                    if few[x] is not None and few[y] is not None:
-                        both = overlap(few[x], few[y])
-                        ok[k] = 100 * both >= percent * (len(few[x]) + len(few[y]) - both)
-                    elif few[x] is not None or few[y] is not None:
-                        ok[k] = True
-                for y in near[ok]:
-                    a_out.append(min(rep[x], rep[y]))
-                    b_out.append(max(rep[x], rep[y]))
+        for x in np.flatnonzero(own == lo).tolist():
+            other = group[right] != group[x]
+            other &= np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent
+            if lo == hi:
+                other &= rep[right] > rep[x]
+            near = right[other]
+            both = np.minimum(hists[near], hists[x]).sum(axis=1, dtype=np.int64) + beyond[near] + beyond[x]
+            for y in near[both * (100 + percent) >= percent * (n[near] + n[x])].tolist():
+                if whole[x] is not None and whole[y] is not None:
+                    if group[x] == group[y] or overlap(whole[x], whole[y]) * (100 + percent) < percent * (n[x] + n[y]):
+                        continue
+                    group[group == group[y]] = group[x]
+                a_out.append(min(rep[x], rep[y]))
+                b_out.append(max(rep[x], rep[y]))
         return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return dealt.join(slim, "rep").groupBy("key", "i", "j").applyInArrow(cells, "a long, b long").distinct()
+    # as many tasks as there are partitions, however few bytes the cells are: their work is in the pairs
+    dealt = _dealt(members, percent).join(slim, "rep").repartition(partitions(scratch.spark), "key", "lo", "hi")
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(cells, "a long, b long").distinct()
 
 
 def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -200,7 +238,7 @@ def near_dups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, scrat
     classes = shingled.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, when written
     heads = shingled.join(classes, "set_key").filter("doc_id = first_id")
-    rows = heads.select(F.explode("bands").alias("key"), "rep")
+    rows = heads.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     stars = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     buckets = scratch.keep(rows.join(stars, "key").distinct(), "buckets")
     ends = F.explode(F.array("lo", "hi")).alias("c")

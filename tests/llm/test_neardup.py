@@ -58,8 +58,9 @@ def made(rng):
     return rows
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_components_are_those_of_all_pairs(spark, sf, percent):
+@pytest.mark.parametrize("percent,whole", [(80, neardup.WHOLE), (85, neardup.WHOLE), (80, 20)])
+def test_components_are_those_of_all_pairs(spark, sf, monkeypatch, percent, whole):
+    monkeypatch.setattr(neardup, "WHOLE", whole)
     rng = random.Random(3)
     rows = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()] + made(rng)
     rows += [(None, rows[5][1]), (None, None), (7000, None), (7001, ""), (7002, " \n"), (7003, "A b"), (7004, "a  B"), (7005, rows[5][1]), (7005, "unlike"), (7006, rows[5][1])]
@@ -79,6 +80,65 @@ def test_signature_agrees_with_similarity():
         assert abs(same - true) < 0.25 if n == 30 else abs(same - true) < 0.12
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_histograms_never_bound_below_the_intersection(percent):
+    """Of sets of any size that are linked, none is turned away; of unlike ones, most are."""
+    rng = np.random.default_rng(2)
+    turned = 0
+    for n in [1, 2, 3, 5, 9, 40, 399, 400, 799, 800, 801, 5000, 90_000] * 4:
+        pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+        if rng.random() < 0.3:
+            pool = np.unique(pool & np.uint64((1 << 58) - 1))  # crowded into few ranges
+        rng.shuffle(pool)
+        for size in (n, -(-n * percent // 100)):
+            a, b = np.sort(pool[:n]), np.sort(pool[rng.integers(0, max(1, n // 6)) :][:size])
+            (x, over_x), (y, over_y) = neardup.histogram(a), neardup.histogram(b)
+            cells = min(len(x), len(y))
+            bound = int(np.minimum(neardup.folded(x, cells), neardup.folded(y, cells)).sum()) + over_x + over_y
+            assert bound >= overlap(a, b) and sum(x) + over_x == len(a)
+        c = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        z, over = neardup.histogram(c)
+        cells = min(len(x), len(z))
+        turned += n > 30 and 100 * int(np.minimum(neardup.folded(x, cells), neardup.folded(z, cells)).sum()) + over < percent * n
+    assert turned >= 20
+
+
+def test_blocks_meet_where_a_pair_is_possible(spark, monkeypatch):
+    """Each possible pair shares a cell exactly once; members of the largest component never meet; blocks are bounded."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(4)
+    rows = [(k % 2, k, 0 if k % 3 else k, rng.choice([1, 2, 7, 99, 100, 117, 118, 125, 1_000_000, 40_000_000])) for k in range(300)]
+    got = neardup._dealt(spark.createDataFrame(rows, "key long, rep long, comp long, n long"), 85).collect()
+    cells, met = {}, {}
+    for r in got:
+        cells.setdefault((r["key"], r["lo"], r["hi"]), []).append(r)
+    for (_, lo, hi), members in cells.items():
+        assert len(members) <= 3 * 32
+        for a in members:
+            for b in members:
+                if a["own"] == lo and b["own"] == hi and (lo != hi or a["rep"] < b["rep"]):
+                    pair = min(a["rep"], b["rep"]), max(a["rep"], b["rep"])
+                    met[pair] = met.get(pair, 0) + 1
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and min(a[3], b[3]) * 100 >= max(a[3], b[3]) * 85}
+    assert want <= set(met) and set(met.values()) == {1}
+    assert not any(rows[a][2] == 0 and rows[b][2] == 0 for a, b in met)
+
+
+def test_very_long_and_frequent(spark):
+    """A long text and its near copy, and a crowd around one passage with strays."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[3000:])), (3, " ".join(long[40_000:]))]
+    base = [f"p{k}" for k in range(60)]
+    for k in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(60)] = f"q{rng.randrange(200)}"
+        rows.append((10 + k, " ".join(text)))
+    got = sorted(map(tuple, neardup.near_dups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    assert got == brute(rows, 80) and [r[2] for r in got if r[0] in (1, 2, 3)] == [1, 1, 3]
+
+
 def test_empty(spark):
     assert neardup.near_dups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert len(shingles(None)) == len(shingles(" ")) == 0
