@@ -1,37 +1,42 @@
 """A corpus pipeline over ``documents``: each stage's output is written as Parquet and read as the next one's input.
 
-A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of documents.
-Rows are told apart by all their columns; null doc_ids and null or empty texts pass as the operators define.
+A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of documents,
+and any further ones, whatever their names. Rows are told apart by all their columns; null doc_ids and null, empty or very long
+texts pass as the operators define; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from fragweave.llm import bpe, lines, mixing, neardup, quality
-from fragweave.llm.common import Scratch, read
+from fragweave.llm.common import Scratch, read, rows_as_structs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """A digest of all columns."""
-    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in docs.columns]))
+def _digest(row: Column, names: list[str]) -> Column:
+    """Of all columns: each as its length and value, or a mark for null, so that unlike rows never spell the same."""
+    value = [row[c].cast("string") for c in names]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in value]), 256)
 
 
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["_id"]) & (left["_row"] == right["_row"])
+def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(row, digest, n): whole rows under numbers of their own, which are given once, when written."""
+    held = rows_as_structs(docs)
+    return scratch.keep(held.select("row", _digest(F.col("row"), docs.columns).alias("digest"), F.monotonically_increasing_id().alias("n")), "numbered")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those that score under the threshold."""
     scratch = Scratch(spark, "classify")
-    feats = scratch.keep(quality.features(docs), "features")
-    return quality.accepted(docs, quality.fit(feats, read(spark, sf_dir, "labels"), scratch))
+    labels = read(spark, sf_dir, "labels")
+    return quality.accepted(docs, quality.fit(quality.labelled_features(docs, labels), labels, scratch))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's boilerplate lines out of its documents; every document stays."""
-    out = lines.dedup(docs, "source")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = lines.dedup(rows_as_structs(docs).select("row", "row.text", "row.source"), "source")
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,25 +45,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are judged under numbers of their own, so null and repeated doc_ids are grouped by their texts as well. A null
     doc_id comes after all others, and rows of one doc_id go by their digest.
     """
-    scratch = Scratch(spark, "nearcopies")
-    # numbered once, when written
-    numbered = scratch.keep(docs.withColumn("_row", _row_key(docs)).withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    named = numbered.select(F.col("_n").alias("doc_id"), "text", F.col("doc_id").alias("_id"), "_row")
-    judged = neardup.near_dups(named, carry=("_id", "_row"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", F.col("doc_id").alias("n"))).alias("first")
+    numbered = _numbered(Scratch(spark, "nearcopies"), docs)
+    judged = neardup.near_dups(numbered.select(F.col("n").alias("doc_id"), "row.text", F.col("row.doc_id").alias("id"), "digest"), carry=("id", "digest"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", F.col("doc_id").alias("n"))).alias("first")
     of_group = judged.groupBy("component_id").agg(first).select("first.*")
     # documents without words are groups of their own, so equal rows among them are left
-    kept = of_group.groupBy("_id", "_row").agg(F.min("n").alias("_kept"))
-    return numbered.join(kept, F.col("_n") == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = of_group.groupBy("id", "digest").agg(F.min("n").alias("n"))
+    return numbered.join(kept.select("n"), "n", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    keyed = docs.withColumn("_row", _row_key(docs))
-    mixed = mixing.mix(keyed, carry=("_row",)).withColumn("times", F.col("epochs") + F.col("chosen").cast("long"))
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.sum("times").alias("times")).filter("times > 0")
-    one = keyed.dropDuplicates(["doc_id", "_row"])
-    return one.join(times, _same(one, times)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*[one[c] for c in docs.columns])
+    numbered = _numbered(Scratch(spark, "mix"), docs)
+    mixed = mixing.mix(numbered.select("row.doc_id", "row.text", "row.source", "digest", "n"), carry=("digest", "n"))
+    times = mixed.select("n", (F.col("epochs") + F.col("chosen").cast("long")).alias("times")).filter("times > 0")
+    return numbered.join(times, "n").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
