@@ -84,6 +84,33 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert [sum(r in got for r in g) for g in groups] == [1] * len(groups) and len(got) == len(groups)
 
 
+NAMES = ["_row", "_id", "_copy", "row", "digest", "n", "times", "copy", "doc", "size", "key", "n_lines", "cells", "target", "x"]
+
+
+def test_columns_of_any_name_and_odd_texts(spark):
+    """Every further column comes through every stage but the last; very long texts, nulls in any column, repeated rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    made = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], *[f"{n} {r['doc_id']}" for n in NAMES]) for r in read(spark, SF, "documents").collect()]
+    made += [(9000, " ".join(f"w{k % 5000} stands" for k in range(150_000)), "en", "src0", 1, *NAMES), (None, None, None, None, None, *[None] * len(NAMES)), made[0], made[0]]
+    docs = spark.createDataFrame(made, schema).repartition(3)
+    by = {}
+    for r in made:
+        by.setdefault((r[0], r[5]), r)
+    scratch = Scratch(spark, "t")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *NAMES]
+        out = rows(docs)
+        assert out and all(r[5:] == by[r[0], r[5]][5:] for r in out)
+    assert corpus_pipeline.tokenize(spark, docs, SF).count() == docs.count()
+
+
+def test_rows_that_spell_the_same_are_not_one(spark):
+    made = [(1, "", "a", "b\x1fc", 1), (1, "", "a\x1fb", "c", 1), (1, "", "a", None, 1), (1, "", "a", "-", 1), (1, "", None, "a", 1)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(rows(corpus_pipeline.drop_near_copies(spark, docs, SF))) == Counter(made)
+
+
 def test_empty(spark):
     none = read(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
