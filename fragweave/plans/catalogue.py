@@ -928,7 +928,7 @@ def _matched(spark, sf, left: bool) -> tuple[kernels.Bins, list[int]]:
 
 
 #: Limits of the matching on customers: weights to join and open, vertices of a path, and the leftovers' weight.
-MATCH_LIMIT, MATCH_FAR, LEFT_LIMIT = scoring.threshold(0.1) * 4, 8, scoring.threshold(0.05) * 4
+MATCH_LIMIT, MATCH_FAR, LEFT_LIMIT = scoring.threshold(0.1) * 4, 1, scoring.threshold(0.05) * 4
 
 
 def _frame(spark, bins: kernels.Bins) -> DataFrame:
