@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -40,7 +41,11 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     args = vars(arguments(sys.argv[1:] if argv is None else argv))
     command, output = args.pop("command"), args.pop("output")
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if "://" not in output:  # a folder of the driver's machine: the log goes there too
+        os.makedirs(output, exist_ok=True)
+        handlers.append(logging.FileHandler(os.path.join(output, f"{args.get('prefix') or ''}fragweave.log")))
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", handlers=handlers, force=True)
     spark = SparkSession.builder.appName(f"fragweave {command}").getOrCreate()
     if command == "bin":
         try:

@@ -537,9 +537,10 @@ def marker_hits(spark, sf):
     return hits(spark, sf).select("line_no", "contig_id", "marker")
 
 
-@query(f"SELECT count(*) AS n FROM lineitem WHERE l_quantity::INT > 50 * {SHARE}::DOUBLE")
+@query(f"""SELECT l_orderkey * 10 + l_linenumber AS line_no, c_name AS contig, p_brand AS marker FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity::INT > 50 * {SHARE}::DOUBLE""")
 def marker_hits_any_length(spark, sf):
-    return markers.passing_hits(raw_hits(spark, sf), None, 0, SHARE).agg(F.count(F.lit(1)).alias("n"))
+    return markers.passing_hits(raw_hits(spark, sf), None, 0, SHARE).select("line_no", "contig", "marker")
 
 
 @query(f"""WITH {_HITS}, q AS (SELECT marker, contig_id, min(line_no) AS seen FROM h GROUP BY 1, 2)
@@ -657,9 +658,26 @@ def set_difference(spark, sf):
     return assign.unbinned(markers.contig_markers(h).select("contig_id"), seed_of(h))
 
 
-@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey")
+@query(f"WITH {_SEEDS} SELECT contig_id FROM z WHERE contig_id IN (SELECT contig_id FROM sb)")
 def set_intersection(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    """Marker contigs that are seeds."""
+    h = Tables(spark, "intersection").keep(hits(spark, sf), "hits")
+    return assign.binned(markers.contig_markers(h).select("contig_id"), seed_of(h))
+
+
+@query("SELECT c_custkey AS contig_id, c_name AS name, c_acctbal + 1000 AS length FROM customer")
+def unique_names(spark, sf):
+    """Rows pass if no name is repeated; else it is an error."""
+    from . import binning
+
+    return binning.unique_names(customers(spark, sf))
+
+
+@query("SELECT n_nationkey AS k, round(-log10((n_nationkey + 1) / 25.0::DOUBLE), 9) AS weight FROM nation")
+def thresholds(spark, sf):
+    """Weights of probabilities, one for each nation."""
+    keys = [r["n_nationkey"] for r in read(spark, sf, "nation").select("n_nationkey").collect()]  # 25 rows
+    return spark.createDataFrame([(k, round(scoring.threshold((k + 1) / 25), 9)) for k in keys], "k int, weight double")
 
 
 @query(f"WITH {_GROUPS} SELECT quality, 'bin_' || clique AS bin, c_name AS record_id, c_mktsegment AS seq FROM mb JOIN d USING (brand) JOIN gr USING (bin_id) JOIN cl USING (gid) JOIN ju USING (clique) JOIN customer ON c_custkey = mb.contig_id")
