@@ -1,0 +1,104 @@
+"""Product quantization in whole numbers against a plain version and SQL; the bounds keep every nearest entry."""
+
+import hashlib
+import math
+import random
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+from fragweave.llm import codes
+from fragweave.llm.common import read
+
+
+def plain(rows, parts=8, entries=16, rounds=6):
+    """rows: (id, label, vector). Everything in Python's integers."""
+    kept = [r for r in rows if r[2] is not None and all(x is not None and math.isfinite(x) for x in r[2])]
+    if not kept:
+        return [], None
+    width = max(1, -(-max(len(r[2]) for r in kept) // parts))
+    whole = [[math.floor(Fraction(x) * 4096) for x in r[2]] + [0] * (width * parts - len(r[2])) for r in kept]
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][2]))[:entries]
+    cut = [[v[p * width : (p + 1) * width] for v in whole] for p in range(parts)]
+    books = [[cut[p][k] for k in order] for p in range(parts)]
+
+    def assign():
+        return [[min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), j) for j, e in enumerate(books[p])) for x in cut[p]] for p in range(parts)]
+
+    for _ in range(rounds):
+        for p, own in enumerate(assign()):
+            for j in range(len(books[p])):
+                mine = [cut[p][k] for k, (_, at) in enumerate(own) if at == j]
+                if mine:
+                    books[p][j] = [sum(c) // len(mine) for c in zip(*mine, strict=True)]
+    last = assign()
+    out = [(r[0], r[1], "".join(f"{last[p][k][1]:02x}" for p in range(parts)), sum(last[p][k][0] for p in range(parts))) for k, r in enumerate(kept)]
+    return out, hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+
+
+def check(spark, rows):
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, label int, embedding array<double>, error int, code string").repartition(3)
+    got = codes.query(spark, table).collect()
+    want, digest = plain(rows)
+    per = {}
+    for _, label, _, e in want:
+        per[label] = per.get(label, 0) + e
+    limit = (1 << 63) - 1
+    over = {label for _, label, _, e in want if e > limit}
+    bad = {label for label, e in per.items() if e > limit} | over
+    named = sorted(((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got), key=str)
+    assert named == sorted(((i, c, e if e <= limit else None, None if label in bad else per[label]) for i, label, c, e in want), key=str)
+    assert {r["codebooks_sha256"] for r in got} == {digest}
+    return got
+
+
+def made(n, dims, rng, scale=1.0):
+    return [(k, rng.choice([None, 1, 2]), [rng.gauss(0, scale) for _ in range(dims)]) for k in range(n)]
+
+
+def test_equals_plain(spark):
+    rng = random.Random(6)
+    rows = made(120, 16, rng)
+    rows += [(200, 1, None), (201, 1, [None, *[0.5] * 15]), (202, 1, [math.nan, *[0.5] * 15]), (203, 1, [math.inf, *[0.5] * 15]), (None, 3, [0.25] * 16), (0, None, rows[0][2]), (5, 2, rows[9][2]), (5, 2, rows[9][2]), (204, 1, []), (205, 1, [0.5, -0.5])]
+    check(spark, rows)
+
+
+@pytest.mark.parametrize(("n", "dims"), [(7, 8), (40, 13), (20, 3)])
+def test_few_vectors_and_odd_lengths(spark, n, dims):
+    check(spark, made(n, dims, random.Random(n)))
+
+
+@pytest.mark.parametrize("scale", [3e4, 1e12, 1e300])
+def test_components_of_any_finite_size(spark, scale):
+    rng = random.Random(7)
+    rows = made(30, 8, rng) + [(100 + k, 4, [rng.gauss(0, scale) for _ in range(8)]) for k in range(6)]
+    got = check(spark, rows)
+    assert scale < 1e5 or any(r["error"] is None for r in got)
+
+
+def test_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(map(tuple, codes.query(spark, read(spark, sf, "embeddings")).collect())) == sorted(con.execute(codes.codes_sql("embeddings")).fetchall())
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 32])
+def test_bounds_keep_the_nearest(width):
+    rng = np.random.default_rng(width)
+    for spread in (1, 50, 3000, codes.SAFE - 1):
+        entries = rng.integers(-spread, spread + 1, (16, width))
+        entries[5], entries[9] = entries[3], 0
+        x = np.vstack([rng.integers(-spread, spread + 1, (400, width)), entries, entries[rng.integers(0, 16, 400)] + rng.integers(-1, 2, (400, width))])
+        formed = []
+        at, d = codes.nearest(x, entries, formed)
+        full = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
+        assert (at == full.argmin(axis=1)).all() and (d == full.min(axis=1)).all()
+        if width > 1 and spread == 3000:
+            assert formed[0] < 0.75 * full.size  # entries do leave
+
+
+def test_empty(spark, sf):
+    none = codes.query(spark, read(spark, sf, "embeddings").limit(0))
+    assert none.collect() == [] and none.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert codes.query(spark, spark.createDataFrame([(1, 1, None)], "vec_id long, label int, embedding array<float>")).collect() == []

@@ -1,0 +1,85 @@
+"""Buckets against the standard library's CRC, the draw against a plain one and against SQL."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from fragweave.llm import resample
+from fragweave.llm.common import read
+
+WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LONG = "x" * 5000 + " " + "é" * 301 + " " + " ".join("a" * n for n in (63, 64, 65, 127, 128, 129))
+
+
+def plain_words(text):
+    return WORDS.findall((text or "").translate(LOWER))
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 50])
+def test_buckets(monkeypatch, piece):
+    monkeypatch.setattr(resample, "SLICE", piece)
+    rng = random.Random(3)
+    texts = ["", None, "Abc déf 12x-y", LONG, "word", "word", "-", "Zz", "ÀB"] + ["".join(rng.choice("aB9é -\n中😀") for _ in range(rng.randrange(300))) for _ in range(300)]
+    want = [[zlib.crc32(w.encode()) % 10_000 for w in plain_words(t)] for t in texts]
+    for a, b in ((0, len(texts)), (2, 9), (0, 2), (5, 5)):
+        got, counts = resample.buckets(pa.array(texts, pa.string())[a:b])
+        assert counts.tolist() == [len(w) for w in want[a:b]] and got.tolist() == [x for w in want[a:b] for x in w]
+
+
+def plain(docs, target, percent=10, least=20):
+    n = 10_000
+    own = [[zlib.crc32(w.encode()) % n for w in plain_words(t)] for _, t in docs]
+    s = np.bincount([b for w in own for b in w], minlength=n)
+    t = np.bincount([zlib.crc32(w.encode()) % n for x in target for w in plain_words(x)], minlength=n)
+    gain = [math.floor(1000 * math.log((int(b) + 1) * (int(s.sum()) + n) / ((int(a) + 1) * (int(t.sum()) + n)))) for a, b in zip(s, t, strict=True)]
+    rows = []
+    for (i, _), w in zip(docs, own, strict=True):
+        weight = sum(gain[b] for b in w) // len(w) if w else 0
+        score = None
+        if i is not None:
+            u = (int(hashlib.sha256(f"2024:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+            score = weight + math.floor(-1000 * math.log(-math.log(u)))
+        rows.append((i, len(w), weight, score))
+    may = sorted((r for r in rows if r[1] >= least and r[3] is not None), key=lambda r: (-r[3], r[0], -r[1]))
+    rank = {}
+    for k, r in enumerate(may[: percent * len(may) // 100]):
+        rank.setdefault(r, []).append(k + 1)
+    return [(*r, rank[r].pop() if rank.get(r) else None) for r in rows]
+
+
+def key(row):
+    return tuple((x is None, x or 0) for x in row)
+
+
+def test_odd_rows_and_ties(spark, sf):
+    made = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()]
+    some = next(t for _, t in made if len(plain_words(t)) > 30)
+    made += [(None, some), (None, None), (9000, ""), (9001, None), (9002, LONG * 40), (9003, some), (9003, some), (9003, some + " more"), (9004, " \t-")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in made], "doc_id long, text string, n_features int, score int, id int").repartition(3)
+    target = spark.createDataFrame([(None,), ("",), (some,), ("own words 12",)], "text string")
+    got = sorted((tuple(r) for r in resample.resample(docs, target, percent=90).collect()), key=key)
+    want = sorted(plain(made, [None, "", some, "own words 12"], 90), key=key)
+    assert got == want and sum(r[4] is not None for r in got) > 100
+    assert [n for n, _ in resample.query(spark, docs, target).dtypes] == ["doc_id", "n_features", "weight", "score", "rank"]
+
+
+def test_equals_sql(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = sorted((tuple(r) for r in resample.query(spark, read(spark, sf, "documents"), read(spark, sf, "benchmark")).collect()), key=key)
+    assert got == sorted(con.execute(resample.draw_sql("documents", "benchmark")).fetchall(), key=key)
+
+
+def test_empty(spark, sf):
+    docs, target = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    assert resample.query(spark, docs.limit(0), target).collect() == []
+    made = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, resample.query(spark, docs, target.limit(0)).collect()), key=key) == sorted(plain(made, []), key=key)
