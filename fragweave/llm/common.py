@@ -53,15 +53,17 @@ def uniform(*cols: Column, seed: int = 0) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def ordered_sums(scratch: Scratch, df: DataFrame, order: list, sums: dict[str, str], group: list[str] = ()) -> DataFrame:
+def ordered_sums(scratch: Scratch, df: DataFrame, order: list, sums: dict[str, str], group: list[str] = (), range_name: str | None = None) -> DataFrame:
     """Adds running sums (this row included) over the order of all rows.
 
     ``sums``: output name to summed column. With ``group`` (which must lead the order) the sums
-    restart for each group; hot groups may span many tasks. Rows are dealt by range of the whole
+    restart for each group; hot groups may span many tasks. ``range_name`` keeps the number of a row's range under that name. Rows are dealt by range of the whole
     order, summed in each range, and get the sum of the ranges before. Native operators only.
     Dealing by range reads ``df`` twice (it looks for the bounds first), so what is dear to compute is written before.
     """
     n = partitions(scratch.spark)
+    # rows that are equal in the order are told apart by where they stand, so that they too spread over ranges
+    df, order = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
     ranged = scratch.keep(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
     group = list(group)
     keys = [*group, "_pid"]
@@ -83,7 +85,9 @@ def ordered_sums(scratch: Scratch, df: DataFrame, order: list, sums: dict[str, s
     out = inner.join(start, match, "left")
     for o in sums:
         out = out.withColumn(o, F.col(f"_r_{o}") + F.col(f"_b_{o}"))
-    drop = ["_pid", *[f"_k_{k}" for k in keys], *[f"_b_{o}" for o in sums], *[f"_r_{o}" for o in sums]]
+    drop = ["_pid", "_tie", *[f"_k_{k}" for k in keys], *[f"_b_{o}" for o in sums], *[f"_r_{o}" for o in sums]]
+    if range_name:
+        out = out.withColumn(range_name, F.col("_pid"))
     return out.drop(*drop)
 
 

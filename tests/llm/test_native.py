@@ -122,7 +122,7 @@ def plain_key(doc_id, text, weight, seed=17):
 
 
 def test_the_chosen_set_is_that_of_the_plain_method(spark):
-    """Sorted by exponential keys, taken while they fit, the gap offered twice to later ones that fit."""
+    """Sorted by exponential keys, taken while they fit, the gap offered to later ones that fit until none does, then the nearest end."""
     docs = [(i, " ".join(["w"] * (1 + (i * 7919) % 60)), "abc"[i % 3], 0.05 + (i % 11) / 5) for i in range(400)]
     docs += [(900, " ".join(["w"] * 900), "a", 50.0), (901, "", "b", 1.0), (902, "w", "c", float("nan")), (903, "w w", "c", None)]
     table = spark.createDataFrame(docs, "doc_id long, text string, source string, weight double").repartition(5)
@@ -139,19 +139,88 @@ def test_the_chosen_set_is_that_of_the_plain_method(spark):
             used += n
             if n and epochs < 2 and used <= left:
                 chosen.add(i)
-        for last in (False, True):
-            gap, used = left - sum(n for _, i, n in own if i in chosen), 0
+        gap = left - sum(n for _, i, n in own if i in chosen)
+        while epochs < 2:
+            more, used = set(), 0
             for _, i, n in sorted(own):
-                if n and epochs < 2 and i not in chosen and n <= gap:
+                if n and i not in chosen and n <= gap:
                     used += n
-                    if used - (n / 2 if last else 0) <= gap:
-                        chosen = chosen | {i}
+                    if used <= gap:
+                        more.add(i)
+            if not more:
+                break
+            chosen |= more
+            gap -= sum(n for _, i, n in own if i in more)
+        rest = sorted((n, k, i) for k, i, n in own if n and i not in chosen and epochs < 2)
+        if rest and rest[0][0] - gap < gap:
+            chosen.add(rest[0][2])
         assert {i for _, i, _ in own if got[i]["chosen"]} == chosen
         partly += 0 < len(chosen) < len(own)
         assert all(got[i]["epochs"] == epochs and got[i]["taken"] == n * (epochs + (i in chosen)) for _, i, n in own)
     assert partly >= 2
 
 
+def ends(rows):
+    """By source: target, taken, and twice how far they may be apart: the smallest document that could be taken once more.
+
+    Where none is left, the last one taken is meant, which is not larger than the largest of them.
+    """
+    out = {}
+    for r in rows:
+        out.setdefault(r["source"], []).append(r)
+    for s, own in out.items():
+        open_ = [r for r in own if r["size"] and r["epochs"] < 2]
+        left, had = [r["size"] for r in open_ if not r["chosen"]], [r["size"] for r in open_]
+        out[s] = own[0]["target"], sum(r["taken"] for r in own), min(left) if left else max(had, default=0)
+    return out
+
+
+@pytest.mark.parametrize("where", ["sf0.001", "sf0.01"])
+def test_every_source_ends_near_its_target(spark, where):
+    got = ends(mixing.mix(read(spark, f"/root/testdata/{where}", "documents")).collect())
+    assert len(got) == 20
+    for target, taken, least in got.values():
+        assert abs(taken - target) <= ((least or 0) + 1e-6) / 2
+
+
+def test_small_sources_take_the_nearer_end(spark):
+    one = [(k, " ".join(["w"] * n), s) for s, sizes in {"a": [200], "b": [100, 100], "c": [400, 1], "d": [1000] + [10] * 300}.items() for k, n in enumerate(sizes)]
+    table = spark.createDataFrame(one, "doc_id long, text string, source string")
+    for share in (0.2, 0.7, 1.5):
+        for target, taken, least in ends(mixing.mix(table, share=share).collect()).values():
+            assert abs(taken - target) <= ((least or 0) + 1e-6) / 2
+    two = spark.createDataFrame([(1, "w " * 200, "a"), (2, "w " * 100, "b"), (3, "w " * 100, "b")], "doc_id long, text string, source string")
+    got = ends(mixing.mix(two, weights=(1.0,), share=0.75).collect())
+    assert got["a"][1] == 200 and got["b"][1] in (100, 200)  # targets of 150: 200 is as near as 100, and nearer than nothing
+
+
+def test_even_shards(spark):
+    rng = random.Random(1)
+    some = [([1] * 9, 8), ([1] * 20, 8), ([3, 3, 3], 8), ([500] + [1] * 1000, 8), ([1] * 500 + [500] + [1] * 500, 8)]
+    some += [([rng.choice([1, 5, rng.randrange(1, 1000)]) for _ in range(rng.randrange(1, 300))], shards) for shards in (1, 2, 8, 13)]
+    for sizes, shards in some:
+        for cells in (20,) if len(sizes) < 300 else (sharding.CELLS,):
+            at = list(itertools.accumulate(sizes))
+            groups = spark.createDataFrame(list(zip(sizes, at, strict=True)), "size long, end long")
+            capacity, got = sharding.even_cuts(groups, shards, cells)
+            parts = [b - a for a, b in zip([0, *got], got, strict=False)]
+            assert set(got) <= set(at) and got[-1] == at[-1] and max(parts) <= capacity and feasible(sizes, shards, capacity)
+            assert capacity == max(sizes) or not feasible(sizes, shards, capacity - 1)
+            assert sum(p > 0 for p in parts) == min(shards, len(sizes))
+            if set(sizes) == {1}:
+                assert max(parts) - min(parts) <= 1
+
+
+def test_equal_texts_fill_every_shard(spark):
+    for n, want in ((9, [1] * 7 + [2]), (20, [2, 2, 2, 2, 3, 3, 3, 3])):
+        table = spark.createDataFrame([(k, f"{k:02d}", *[0] * 6) for k in range(n)], "doc_id long, text string, slot int, size int, end int, n int, rank int, _tie int")
+        rows = sharding.query(spark, table).collect()
+        assert sorted(sum(r["shard"] == s for r in rows) for s in range(8)) == want
+    same = spark.createDataFrame([(None, "same")] * 50 + [(1, None)] * 3, "doc_id long, text string")
+    rows = sharding.query(spark, same).collect()
+    assert sorted(r["slot"] for r in rows if r["size"] == 5) == list(range(50)) and {r["shard"] for r in rows} == {0, 1}
+
+
 def test_mix_prefers_heavier_documents(spark):
     docs = spark.createDataFrame([(i, ("a word of some ten more " * 4) if i % 2 else ("1$ 2# " * 12), "s" if i < 600 else "t") for i in range(800)], "doc_id long, text string, source string")
     rows = mixing.mix(docs, weights=(1.0, 2.0), share=0.9).collect()

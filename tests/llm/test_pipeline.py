@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
-from fragweave.llm import bpe, lines, quality
+from fragweave.llm import bpe, lines, mixing, quality
 from fragweave.llm.common import Scratch, read
 from test_neardup import brute
 
@@ -52,6 +52,14 @@ def test_stages(spark):
     words = {r: len((r[1] or "").encode().split()) for r in out["drop_near_copies"]}
     total = sum(words.values())
     assert abs(sum(words[r] * n for r, n in taken.items()) - 1.5 * total) < 0.25 * total
+    # each source as the operator's targets have it, within half of its largest document
+    per = {}
+    for r, n in words.items():
+        per[r[3]] = per.get(r[3], 0) + n
+    want = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(per.items()), "source string, source_size long")).collect()}
+    for s, target in want.items():
+        own = {r: n for r, n in words.items() if r[3] == s}
+        assert abs(sum(n * taken[r] for r, n in own.items()) - target) <= max(own.values()) / 2 + 1e-6
 
     import tiktoken
 
