@@ -95,3 +95,8 @@ def threshold(p: float) -> float:
     if not 0 < p <= 1:
         raise ValueError("a probability in (0, 1] is needed")
     return -math.log10(p)
+
+
+def threshold_column(p: Column) -> Column:
+    """The same of a column; values outside (0, 1] are an error."""
+    return F.when((p > 0) & (p <= 1), -F.log10(p)).otherwise(F.raise_error(F.lit("a probability in (0, 1] is needed")).cast("double"))

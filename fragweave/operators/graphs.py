@@ -2,11 +2,18 @@
 
 Edges are (src, dst) with src < dst, distinct. Searches keep a frontier table and a visited table; each round is one
 join with the edges and one anti-join, and is written, so that lineage stays short.
+
+A segment on many contigs means a pair of contigs for each two of them. ``Incidence`` keeps (contig, segment) in place of pairs: a search goes from contigs
+to segments and from segments to contigs, and enters a segment once, so a segment on n contigs costs n rows. Searches from many sources
+carry sets of them as bits, 64 to a long, merged by ``bit_or`` before they are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reversed_segment
@@ -85,22 +92,203 @@ def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(id, component): the smallest id that is connected. Isolated vertices are components of their own.
 
-    Each round takes the smallest label among neighbours and then the label of that label, which halves long chains.
+    Each round points every vertex at its smallest neighbour, if that is smaller, follows the pointers to their ends by doubling, and merges
+    each tree into its end, which is its smallest vertex. Only edges between trees go on, each once, so edges shrink from round to round.
+    The pointers of the rounds are put together at the end, the last and smallest first.
     """
     tables = tables or Tables(vertices.sparkSession, "components")
-    both = tables.keep(symmetric(edges), "edges")
-    label = tables.keep(vertices.select("id", F.col("id").alias("component")).distinct(), "label")
-    while True:
-        near = both.join(label, both["dst"] == label["id"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("_n"))
-        low = label.join(near, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_n", "component")).alias("_c"))
-        low = tables.keep(low, "low")
-        of = low.select(F.col("id").alias("_c"), F.col("_c").alias("_cc"))
-        after = tables.keep(low.join(of, "_c", "left").select("id", "_old", F.least("_c", F.coalesce("_cc", "_c")).alias("component")), "after")
-        tables.drop(label)
-        tables.drop(low)
-        label = after
-        if not after.filter("component <> _old").limit(1).count():
-            return label.select("id", "component")
+    live, rounds = tables.keep(simple_edges(edges, "src", "dst"), "live"), []
+    while live.limit(1).count():
+        least = symmetric(live).groupBy("src").agg(F.min("dst").alias("m"))
+        to = tables.keep(least.select(F.col("src").alias("id"), F.least("src", "m").alias("to")), "to")
+        while True:
+            over = to.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            after = tables.keep(to.join(over, "to").select("id", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "to")
+            tables.drop(to)
+            to = after
+            if not to.filter("moved").limit(1).count():
+                break
+        rounds.append(to.select("id", "to"))
+        ends = [to.select(F.col("id").alias(side), F.col("to").alias(f"{side}_to")) for side in ("src", "dst")]
+        merged = live.join(ends[0], "src").join(ends[1], "dst")
+        after = tables.keep(simple_edges(merged, "src_to", "dst_to"), "live")
+        tables.drop(live)
+        live = after
+    if not rounds:
+        return vertices.select("id", F.col("id").alias("component")).distinct()
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("id").alias("to"), F.col("to").alias("end"))
+        found = rounds.pop().join(later, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+    return vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("to", "id").alias("component"))
+
+
+@dataclass
+class Incidence:
+    """Contigs a and b have an edge if some segment has a in ``left`` and b in ``right``; both are (id, segment), distinct.
+
+    Where the two are the same table, give it once.
+    """
+
+    left: DataFrame
+    right: DataFrame | None = None
+
+    def _ways(self) -> tuple[DataFrame, DataFrame]:
+        """(id, way, segment) to go to a segment by, and to come from it by: from left to right and from right to left."""
+        if self.right is None:
+            both = self.left.select("id", F.lit(0).alias("way"), "segment")
+            return both, both
+        sides = [t.select("id", F.lit(way).alias("way"), "segment") for t in (self.left, self.right) for way in (0, 1)]
+        return sides[0].union(sides[3]), sides[2].union(sides[1])
+
+    def pairs(self) -> DataFrame:
+        """The edges (src, dst): a row for each two contigs of a segment."""
+        right = self.left if self.right is None else self.right
+        return simple_edges(self.left.select(F.col("id").alias("a"), "segment").join(right.select(F.col("id").alias("b"), "segment"), "segment"))
+
+    def stars(self) -> DataFrame:
+        """Edges that connect the same contigs: of each segment, from its smallest contig to the others.
+
+        A segment with contigs on both sides connects them all; a contig has an edge if and only if it has one here.
+        """
+        if self.right is None:
+            every = self.left.select("id", "segment")
+            least = every.groupBy("segment").agg(F.min("id").alias("least"))
+        else:
+            every = self.left.select("id", "segment", F.lit(1).alias("l"), F.lit(0).alias("r")).union(self.right.select("id", "segment", F.lit(0), F.lit(1)))
+            least = every.groupBy("segment").agg(F.min("id").alias("least"), F.max("l").alias("l"), F.max("r").alias("r")).filter("l = 1 AND r = 1").select("segment", "least")
+            every = every.select("id", "segment").distinct()
+        return simple_edges(every.join(least, "segment"), "least", "id")
+
+    def isolated(self, vertices: DataFrame) -> DataFrame:
+        return isolated(vertices, self.stars())
+
+    def components(self, vertices: DataFrame, tables: Tables | None = None) -> DataFrame:
+        return components(vertices, self.stars(), tables)
+
+
+def spades_incidence(paths: DataFrame, links: DataFrame, last_only: bool = True) -> Incidence:
+    """The graph of ``spades_edges``."""
+    first = paths.groupBy("contig_id").agg(F.min("record").alias("record"))
+    own = paths.join(first, ["contig_id", "record"], "left_semi")
+    last = own.groupBy("contig_id").agg(F.max_by("segment", "pos").alias("segment")) if last_only else own
+    left = _turned(last, "suffix").union(_reached(own, links, "suffix"))
+    return Incidence(left.distinct(), paths.select(F.col("contig_id").alias("id"), "segment").distinct())
+
+
+def flye_incidence(paths: DataFrame, links: DataFrame) -> Incidence:
+    """The graph of ``flye_edges``; segments without their sign are segments of their own."""
+    bare = paths.select(F.col("contig_id").alias("id"), F.concat(F.lit("bare "), F.regexp_replace("segment", "^-", "")).alias("segment"))
+    reached = _reached(paths, links, "prefix")
+    reached = reached.union(reached.select("id", F.regexp_replace("segment", "^-", "").alias("segment")))
+    left = _turned(paths, "prefix").union(reached).union(bare)
+    return Incidence(left.distinct(), paths.select(F.col("contig_id").alias("id"), "segment").union(bare).distinct())
+
+
+def _turned(paths: DataFrame, style: str) -> DataFrame:
+    rows = paths.select(F.col("contig_id").alias("id"), "segment").distinct()
+    return rows.union(rows.select("id", reversed_segment(F.col("segment"), style).alias("segment")))
+
+
+def _reached(paths: DataFrame, links: DataFrame, style: str) -> DataFrame:
+    to = links.select(F.col("a").alias("segment"), F.col("b").alias("to"))
+    return _turned(paths, style).join(to, "segment").select("id", F.col("to").alias("segment"))
+
+
+class Search:
+    """Breadth-first from all sources at once. ``found`` is (word, id, bits): which sources met a vertex on the last level.
+
+    Source k of word w is bit k of the rows of that word. A level writes at most vertices x sources / 64 rows, and segments likewise.
+    """
+
+    def __init__(self, graph: Incidence | DataFrame, sources: DataFrame, tables: Tables):
+        self.tables = tables
+        if isinstance(graph, Incidence):
+            to, back = graph._ways()
+            self.to, self.back = tables.keep(to, "to"), None
+            self.back = self.to if graph.right is None else tables.keep(back, "back")
+        else:
+            self.to, self.back = tables.keep(symmetric(graph), "edges"), None
+        numbered = sources.select("id").distinct().select("id", F.monotonically_increasing_id().alias("k"))
+        #: (source, word, bit), numbered once, when written
+        self.sources = tables.keep(numbered.select(F.col("id").alias("source"), F.shiftright("k", 6).alias("word"), (F.col("k") % 64).cast("int").alias("bit")), "sources")
+        self.found = tables.keep(self.sources.groupBy("word", F.col("source").alias("id")).agg(F.bit_or(one("bit")).alias("bits")), "found")
+        self.seen = [self.found]
+        self.entered: list[DataFrame] = []
+        self.level = 0
+
+    def _new(self, met: DataFrame, seen: list[DataFrame], key: list[str], label: str) -> DataFrame:
+        """Of (key, bits) what has not been seen; one shuffle, in which tasks merge before they send."""
+        zero = F.lit(0).cast("long")
+        rows = met.select(*key, F.col("bits").alias("n"), zero.alias("s"))
+        for t in seen:
+            rows = rows.union(t.select(*key, zero, "bits"))
+        merged = rows.groupBy(*key).agg(F.bit_or("n").alias("n"), F.bit_or("s").alias("s"))
+        bits = F.col("n").bitwiseAND(F.bitwise_not("s"))
+        return self.tables.keep(merged.select(*key, bits.alias("bits")).filter("bits <> 0"), label)
+
+    def _folded(self, seen: list[DataFrame], key: list[str]) -> list[DataFrame]:
+        """Many tables of what was seen become one now and then."""
+        if len(seen) < 8:
+            return seen
+        rows = seen[0]
+        for t in seen[1:]:
+            rows = rows.union(t)
+        return [self.tables.keep(rows.groupBy(*key).agg(F.bit_or("bits").alias("bits")), "seen")]
+
+    def step(self, go: DataFrame | None = None) -> bool:
+        """One hop from ``go``, or from all that was found last; False if nothing new is met."""
+        go = self.found if go is None else go
+        self.level += 1
+        if self.back is None:
+            met = go.join(self.to, go["id"] == self.to["src"]).select("word", F.col("dst").alias("id"), "bits")
+        else:
+            key = ["word", "way", "segment"]
+            segments = self._new(go.join(self.to, "id").select(*key, "bits"), self.entered, key, "segments")
+            met = segments.join(self.back, ["way", "segment"]).select("word", "id", "bits")
+            self.entered = self._folded([*self.entered, segments], key)
+        self.found = self._new(met, self.seen, ["word", "id"], "found")
+        self.seen = self._folded([*self.seen, self.found], ["word", "id"])
+        return self.found.limit(1).count() > 0
+
+    def levels(self, depth: int | None = None, stop: DataFrame | None = None) -> Iterator[DataFrame]:
+        """(word, id, bits) of each level, the sources first. Vertices in ``stop`` (id) are met and not passed, unless they are the source."""
+        yield self.found
+        while depth is None or self.level < depth:
+            go = self.found if stop is None or not self.level else self.found.join(stop.select("id").distinct(), "id", "left_anti")
+            if not self.step(go):
+                return
+            yield self.found
+
+    def told(self, rows: DataFrame) -> DataFrame:
+        """(source, id): a row for each bit."""
+        return rows.join(self.sources, "word").filter(has("bits", "bit")).select("source", "id")
+
+    def only(self, open_: DataFrame) -> DataFrame:
+        """What was found last, for the sources in ``open_`` (word, bit) alone."""
+        mask = open_.groupBy("word").agg(F.bit_or(one("bit")).alias("mask"))
+        return self.found.join(mask, "word").select("word", "id", F.col("bits").bitwiseAND(F.col("mask")).alias("bits")).filter("bits <> 0")
+
+
+def one(bit: str) -> Column:
+    return F.expr(f"shiftleft(1L, {bit})")
+
+
+def has(bits: str, bit: str) -> Column:
+    return F.expr(f"shiftright({bits}, {bit}) & 1L = 1L")
+
+
+def reach(graph: Incidence | DataFrame, sources: DataFrame, depth: int | None = None, stop: DataFrame | None = None, tables: Tables | None = None) -> DataFrame:
+    """(id, dist, n): how many sources are so many hops from a vertex, 0 for themselves; nothing is formed for each pair of them.
+
+    ``stop`` as in ``hops``.
+    """
+    tables = tables or Tables(sources.sparkSession, "reach")
+    rows = [found.groupBy("id").agg(F.sum(F.bit_count("bits")).cast("long").alias("n")).select("id", F.lit(k).alias("dist"), "n") for k, found in enumerate(Search(graph, sources, tables).levels(depth, stop))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
 
 
 def with_labelled(parts: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -131,28 +319,48 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None, stop: DataFram
     return seen
 
 
-def distances(edges: DataFrame, pairs: DataFrame, tables: Tables | None = None) -> DataFrame:
+def distances(graph: Incidence | DataFrame, pairs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(source, target, dist) of the pairs (source, target) that a path joins: the pairs asked for and no others.
 
-    A source searches until it has met its targets or its component ends.
+    All sources search together, as bits; one that has met its targets leaves.
     """
-    tables = tables or Tables(edges.sparkSession, "distances")
-    both = tables.keep(symmetric(edges), "edges")
-    open_ = tables.keep(pairs.select("source", F.col("target").alias("id")).filter("source <> id").distinct(), "asked")
-    front = tables.keep(open_.select("source", F.col("source").alias("id")).distinct(), "front")
-    seen, found, level = front, open_.select("source", F.col("id").alias("target"), F.lit(0).alias("dist")).limit(0), 0
-    while True:
-        level += 1
-        step = front.join(both, front["id"] == both["src"]).select("source", F.col("dst").alias("id")).distinct()
-        step = tables.keep(step.join(seen, ["source", "id"], "left_anti"), "step")
-        if not step.limit(1).count():
-            return found
-        hit = tables.keep(open_.join(step, ["source", "id"], "left_semi").select("source", F.col("id").alias("target"), F.lit(level).alias("dist")), "hit")
-        found = found.union(hit)
-        open_ = tables.keep(open_.join(hit.select("source", F.col("target").alias("id")), ["source", "id"], "left_anti"), "open")
-        front = step.join(open_.select("source").distinct(), "source", "left_semi")
-        # a union of many tables is written as one now and then
-        seen, found = (tables.keep(seen.union(step), "seen"), tables.keep(found, "found")) if level % 8 == 0 else (seen.union(step), found)
+    tables = tables or Tables(pairs.sparkSession, "distances")
+    asked = pairs.select("source", "target").filter("source <> target").distinct()
+    search = Search(graph, asked.select(F.col("source").alias("id")), tables)
+    open_ = tables.keep(asked.join(search.sources, "source").select("source", "word", "bit", F.col("target").alias("id")), "open")
+    found, go = open_.select("source", F.col("id").alias("target"), F.lit(0).alias("dist")).limit(0), search.found
+    while search.step(go):
+        hit = open_.join(search.found, ["word", "id"]).filter(has("bits", "bit")).select("source", "id")
+        hit = tables.keep(hit, "hit")
+        found = found.union(hit.select("source", F.col("id").alias("target"), F.lit(search.level).alias("dist")))
+        after = tables.keep(open_.join(hit, ["source", "id"], "left_anti"), "open")
+        tables.drop(open_)
+        open_ = after
+        go = search.only(open_)
+    return found
+
+
+def mean_vertices(graph: Incidence | DataFrame, pairs: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(source, avg_vertices): of the vertices on shortest paths to all asked targets; without a path 0, to itself 1."""
+    tables = tables or Tables(pairs.sparkSession, "means")
+    asked = tables.keep(pairs.select("source", "target").distinct(), "pairs")
+    lengths = asked.join(distances(graph, asked, tables), ["source", "target"], "left").withColumn("dist", F.when(F.col("source") == F.col("target"), 0).otherwise(F.col("dist")))
+    return mean_path_length(lengths.join(asked.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source"), ["source"], "n")
+
+
+def nearest(graph: Incidence | DataFrame, sources: DataFrame, wanted: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """As ``nearest_level``, with all sources searching together."""
+    tables = tables or Tables(sources.sparkSession, "nearest")
+    search = Search(graph, sources, tables)
+    wanted = tables.keep(wanted.select("id").distinct(), "wanted")
+    open_ = search.sources
+    found, go = open_.select("source", F.col("source").alias("id"), F.lit(0).alias("dist")).limit(0), search.found
+    while search.step(go):
+        hit = tables.keep(search.told(search.only(open_).join(wanted, "id", "left_semi")), "hit")
+        found = found.union(hit.select("source", "id", F.lit(search.level).alias("dist")))
+        open_ = tables.keep(open_.join(hit.select("source").distinct(), "source", "left_anti"), "open")
+        go = search.only(open_)
+    return found
 
 
 def first_labelled(edges: DataFrame, sources: DataFrame, labelled: DataFrame, depth: int | None, tables: Tables | None = None) -> DataFrame:

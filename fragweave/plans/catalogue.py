@@ -430,6 +430,107 @@ def asked_distances(spark, sf):
     return graphs.distances(kept.keep(order_edges(spark, sf), "edges"), pairs.distinct(), kept)
 
 
+# ---- the graph of all parts that share an order, searched by (part, order) and from all parts at once
+
+#: Levels that the SQL unrolls; every search on this graph ends before.
+_FAR = 8
+_PARTS = f"""{_LINKS}, v AS (SELECT p_partkey AS id, p_brand, p_size, p_brand LIKE 'Brand#1%' AS labelled, p_size > 45 AND p_brand NOT LIKE 'Brand#1%' AS wanted FROM part),
+nb AS (SELECT max(id)::INT + 1 AS n FROM v)"""
+
+
+def _bits(sources: str, depth: int, stop: str = "false") -> str:
+    """CTEs f0, f1, ...: (id, b), the sources that meet a vertex on this level, as bits by their ids."""
+    steps = [f"{_PARTS}, f0 AS MATERIALIZED (SELECT id, set_bit(bitstring('0', n), id::INT, 1) AS b FROM v CROSS JOIN nb WHERE {sources})", "s0 AS MATERIALIZED (SELECT * FROM f0)"]
+    for k in range(1, depth + 1):
+        go = f"f{k - 1}" if k == 1 else f"(SELECT f{k - 1}.* FROM f{k - 1} JOIN v USING (id) WHERE NOT ({stop}))"
+        steps.append(f"m{k} AS MATERIALIZED (SELECT g.dst AS id, bit_or(f.b) AS b FROM {go} f JOIN g ON g.src = f.id GROUP BY g.dst)")
+        steps.append(f"f{k} AS MATERIALIZED (SELECT id, b FROM (SELECT m.id, CASE WHEN s.b IS NULL THEN m.b ELSE m.b & ~s.b END AS b FROM m{k} m LEFT JOIN s{k - 1} s USING (id)) WHERE bit_count(b) > 0)")
+        steps.append(f"s{k} AS MATERIALIZED (SELECT id, bit_or(b) AS b FROM (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM f{k}) GROUP BY id)")
+    return "WITH " + ",\n".join(steps)
+
+
+def _levels(depth: int, first: int = 0) -> str:
+    return " UNION ALL ".join(f"SELECT id, {k} AS dist, b FROM f{k}" for k in range(first, depth + 1))
+
+
+def part_graph(spark, sf) -> graphs.Incidence:
+    return graphs.Incidence(segments(spark, sf).select(F.col("contig_id").alias("id"), F.col("segment")))
+
+
+def _part_ids(spark, sf, where: str = "true") -> DataFrame:
+    return read(spark, sf, "part").filter(where).select(F.col("p_partkey").alias("id"))
+
+
+_LABELLED, _WANTED = "p_brand LIKE 'Brand#1%'", "p_size > 45 AND p_brand NOT LIKE 'Brand#1%'"
+
+
+def _least() -> str:
+    """CTE c: the smallest id that is connected; labels go around until they no longer change, long before the last round."""
+    steps = [f"{_PARTS}, c0 AS (SELECT id, id AS c FROM v)"]
+    for k in range(1, _FAR + 1):
+        steps.append(f"c{k} AS MATERIALIZED (SELECT id, least(c{k - 1}.c, coalesce(x.m, c{k - 1}.c)) AS c FROM c{k - 1} LEFT JOIN (SELECT g.src AS id, min(c) AS m FROM g JOIN c{k - 1} y ON y.id = g.dst GROUP BY 1) x USING (id))")
+    return "WITH " + ",\n".join(steps) + f", c AS (SELECT * FROM c{_FAR})"
+
+
+@query(f"{_least()} SELECT id, c AS component FROM c")
+def part_components(spark, sf):
+    kept = Tables(spark, "components")
+    return part_graph(spark, sf).components(_part_ids(spark, sf), kept)
+
+
+@query(f"{_least()} SELECT id, c AS component FROM c WHERE c IN (SELECT c FROM c JOIN v USING (id) WHERE labelled)")
+def part_labelled_components(spark, sf):
+    return graphs.with_labelled(part_components(spark, sf), _part_ids(spark, sf, _LABELLED))
+
+
+@query(f"WITH {_LINKS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g)")
+def part_isolated(spark, sf):
+    return part_graph(spark, sf).isolated(_part_ids(spark, sf))
+
+
+@query(f"{_bits('true', DEPTH)} SELECT id, dist, bit_count(b)::BIGINT AS n FROM ({_levels(DEPTH)})")
+def part_reach(spark, sf):
+    """Bounded paths from every part to every part, as the number of sources at each distance of a part."""
+    return graphs.reach(part_graph(spark, sf), _part_ids(spark, sf), DEPTH)
+
+
+@query(f"{_bits('NOT labelled', DEPTH, 'labelled')} SELECT id, dist, bit_count(b)::BIGINT AS n FROM ({_levels(DEPTH, 1)}) JOIN v USING (id) WHERE labelled")
+def part_first_labelled(spark, sf):
+    """From every part without the label, not passing a labelled one: how many meet each labelled part, and how far from it."""
+    labelled = Tables(spark, "labelled").keep(_part_ids(spark, sf, _LABELLED), "labelled")
+    met = graphs.reach(part_graph(spark, sf), _part_ids(spark, sf, f"NOT ({_LABELLED})"), DEPTH, labelled)
+    return met.filter("dist > 0").join(labelled, "id", "left_semi")
+
+
+@query(f"""{_bits('labelled', _FAR)}, h AS (SELECT s.id AS source, f.id, dist FROM ({_levels(_FAR, 1)}) f JOIN v w ON w.id = f.id AND w.wanted JOIN v s ON s.labelled AND get_bit(f.b, s.id::INT) = 1)
+SELECT source, id, dist FROM h QUALIFY dense_rank() OVER (PARTITION BY source ORDER BY dist) = 1""")
+def part_nearest_level(spark, sf):
+    """From every labelled part."""
+    return graphs.nearest(part_graph(spark, sf), _part_ids(spark, sf, _LABELLED), _part_ids(spark, sf, _WANTED))
+
+
+_ASKED = "asked AS (SELECT a.id AS source, b.id AS target FROM v a JOIN v b ON a.p_brand = b.p_brand AND a.p_size = b.p_size)"
+
+
+def _asked(spark, sf) -> DataFrame:
+    """Parts of one brand and size, each with itself too."""
+    a = read(spark, sf, "part").select(F.col("p_partkey").alias("source"), "p_brand", "p_size")
+    return a.join(a.withColumnRenamed("source", "target"), ["p_brand", "p_size"]).select("source", "target")
+
+
+@query(f"{_bits('true', _FAR)}, {_ASKED} SELECT source, target, dist FROM asked JOIN ({_levels(_FAR, 1)}) f ON f.id = target AND get_bit(f.b, source::INT) = 1")
+def part_distances(spark, sf):
+    kept = Tables(spark, "asked")
+    return graphs.distances(part_graph(spark, sf), kept.keep(_asked(spark, sf), "asked"), kept)
+
+
+@query(f"""{_bits('true', _FAR)}, {_ASKED}, d AS (SELECT source, target, dist + 1 AS n FROM asked JOIN ({_levels(_FAR)}) f ON f.id = target AND get_bit(f.b, source::INT) = 1)
+SELECT source, floor(sum(coalesce(n, 0)) / count(*))::BIGINT AS avg_vertices FROM asked LEFT JOIN d USING (source, target) GROUP BY source""")
+def part_mean_vertices(spark, sf):
+    """Parts that no path joins count 0."""
+    return graphs.mean_vertices(part_graph(spark, sf), _asked(spark, sf))
+
+
 _SIGN = "CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END"
 _SPADES = f"""{_ORDER_LINKS}, k AS (SELECT x || '+' AS a, y || '-' AS b FROM l WHERE y IS NOT NULL), kk AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
 p AS (SELECT l_partkey AS c, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS record, l_orderkey || {_SIGN} AS s,
@@ -676,8 +777,8 @@ def unique_names(spark, sf):
 @query("SELECT n_nationkey AS k, round(-log10((n_nationkey + 1) / 25.0::DOUBLE), 9) AS weight FROM nation")
 def thresholds(spark, sf):
     """Weights of probabilities, one for each nation."""
-    keys = [r["n_nationkey"] for r in read(spark, sf, "nation").select("n_nationkey").collect()]  # 25 rows
-    return spark.createDataFrame([(k, round(scoring.threshold((k + 1) / 25), 9)) for k in keys], "k int, weight double")
+    p = (F.col("n_nationkey") + 1) / F.lit(25.0)
+    return read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("k"), (-F.round(-scoring.threshold_column(p), 9)).alias("weight"))
 
 
 @query(f"WITH {_GROUPS} SELECT quality, 'bin_' || clique AS bin, c_name AS record_id, c_mktsegment AS seq FROM mb JOIN d USING (brand) JOIN gr USING (bin_id) JOIN cl USING (gid) JOIN ju USING (clique) JOIN customer ON c_custkey = mb.contig_id")
