@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import pair_weight
-from ..scratch import spread
+from ..scratch import Tables
+from . import nearest
 
-#: Bins that meet each other at most; more is an error, never a cut.
-BINS = 20_000
-
-
-def merge_neighbours(bins: DataFrame, w_intra: float, limit: int = BINS) -> DataFrame:
+def merge_neighbours(bins: DataFrame, w_intra: float, kept: Tables | None = None) -> DataFrame:
     """(bin_id, partner, weight): the most similar bin without a common marker, the smaller id on ties.
 
-    bins: (bin_id, markers, profile, coverage). All bins travel as one array of checked size, so that a bin's row is scored in
-    place and pairs are never rows.
+    bins: (bin_id, markers, profile, coverage), any number of them (``nearest.best``).
     """
-    n = bins.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} bins")
-    every = bins.agg(F.collect_list(F.struct("bin_id", "markers", "profile", "coverage")).alias("_bins"))
-    others = F.filter("_bins", lambda b: (b["bin_id"] != F.col("bin_id")) & ~F.arrays_overlap(b["markers"], F.col("markers")))
-    scored = F.transform(others, lambda b: F.struct(pair_weight(F.col("profile"), F.col("coverage"), b["profile"], b["coverage"]).alias("weight"), b["bin_id"].alias("partner")))
-    best = spread(bins).join(F.broadcast(every)).select("bin_id", F.array_min(F.filter(scored, lambda s: s["weight"] <= w_intra)).alias("b"))
-    return best.filter("b IS NOT NULL").select("bin_id", "b.partner", "b.weight")
+    rows = bins.select(F.col("bin_id").alias("own"), F.col("markers").alias("own_markers"), "profile", "coverage")
+
+    def apart(b):
+        return (b["bin_id"] != F.col("own")) & ~F.arrays_overlap(b["markers"], F.col("own_markers"))
+
+    found = nearest.best(rows, "own", bins.select("bin_id", "markers", "profile", "coverage"), kept, w_intra, apart)
+    return found.select(F.col("own").alias("bin_id"), F.col("bin_id").alias("partner"), "weight")
 
 
 def cliques(bins: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -67,5 +61,5 @@ def final_of(rows: DataFrame) -> DataFrame:
 
 
 def with_sequences(sequences: DataFrame, finals: DataFrame) -> DataFrame:
-    """(quality, bin, record_id, seq) of the sequences that are in an output bin. sequences: (contig_id, record_id, seq)."""
-    return sequences.join(finals, "contig_id").select("quality", F.concat(F.lit("bin_"), F.col("clique")).alias("bin"), "record_id", "seq")
+    """(quality, bin, record_id, seq) of the sequences that are in an output bin. sequences: (contig_id, record_id, seq), further columns stay."""
+    return sequences.join(finals, "contig_id").select("quality", F.concat(F.lit("bin_"), F.col("clique")).alias("bin"), *[c for c in sequences.columns if c != "contig_id"])
