@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import binning
-from .sources import fasta, graphs, tables
+from .sources import fasta, graphs, named, tables
+from .sources.lines import PLACE
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -57,11 +58,19 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "combine-coverage":
         rows = tables.read_coverage(spark, f"{args['covpath'].rstrip('/')}/*.tsv")
         samples = [r["sample"] for r in rows.select("sample").distinct().orderBy("sample").collect()]  # one for each file
-        out = tables.combine_coverage(rows, samples, args["by"]).withColumnRenamed("contig", "Contig")
-        tables.write_table(out.coalesce(1), f"{output}/coverage", "\t")
-        tables.write_table(out.coalesce(1), f"{output}/coverage_with_header", "\t", header=True)
+        out = tables.combine_coverage(rows, samples, args["by"], keep_pos=True).withColumnRenamed("contig", "Contig")
+        columns = ["Contig", *samples]
+        for name, header in (("coverage", False), ("coverage_with_header", True)):
+            if named.usable(output):
+                tables.write_table_file(out, output, f"{name}.tsv", ["_pos"], "\t", header, columns=columns)
+            else:
+                tables.write_table(out.select(columns), f"{output}/{name}", "\t", header)
     else:
-        fasta.write_fasta(graphs.segments_to_fasta(spark, args["graph"]).filter(F.col("seq") != ""), f"{output}/edges", width=60)
+        rows = graphs.segments_to_fasta(spark, args["graph"], place=True).filter(F.col("seq") != "")
+        if named.usable(output):
+            fasta.write_fasta_file(rows, output, "edges.fasta", list(PLACE), width=60)
+        else:
+            fasta.write_fasta(rows, f"{output}/edges", width=60)
     return 0
 
 

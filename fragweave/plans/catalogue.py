@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, sequences
 from ..operators import assign, features, graphs, kernels, markers, merge
 from ..scratch import Tables
-from ..sources import fasta, tables
+from ..sources import fasta, named, tables
 from ..sources import graphs as graph_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -984,6 +984,37 @@ def bins_sink(spark, sf):
     return spark.read.option("lineSep", "\n>").text(path).select("quality", "bin", lines[0].alias("record_id"), F.trim(lines[1]).alias("seq"))
 
 
+def _bin_records(spark, sf) -> DataFrame:
+    """Sequences by quality and bin; one bin holds most of them."""
+    n = F.when(F.col("doc_id") % 3 > 0, 0).otherwise(F.col("doc_id") % 10).cast("string")
+    quality = F.when(F.col("doc_id") % 2 == 0, "final").otherwise("low").alias("quality")
+    return bases(spark, sf).select(quality, F.concat(F.lit("bin_"), n).alias("bin"), F.col("doc_id").cast("string").alias("record_id"), F.concat(F.lit("A"), "seq").alias("seq"), F.col("doc_id").alias("pos"))
+
+
+_FILES = f"""{_SEQ}, t AS (
+  SELECT CASE WHEN doc_id % 2 = 0 THEN 'bins/' ELSE 'low_quality_bins/' END || 'bin_' || (CASE WHEN doc_id % 3 > 0 THEN 0 ELSE doc_id % 10 END) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '_seqs' END || '.fasta' AS file,
+    doc_id, '>' || doc_id || chr(10) || 'A' || seq || chr(10) AS value FROM s)"""
+
+
+@query(f"""WITH {_FILES} SELECT file, md5(value) AS digest, strlen(value)::BIGINT AS n_bytes,
+  coalesce(sum(strlen(value)) OVER (PARTITION BY file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM t""")
+def file_places(spark, sf):
+    """Where in its file each record begins, files of exact names."""
+    text = F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.col("seq"), F.lit("\n"))
+    rows = _bin_records(spark, sf).select(fasta.bin_file().alias("file"), text.alias("value"), "pos")
+    got = named.placed(rows, ["pos"], Tables(spark, "places"))
+    return got.select("file", F.md5("value").alias("digest"), F.octet_length("value").cast("long").alias("n_bytes"), F.col("at").alias("place"))
+
+
+@query(f"WITH {_FILES} SELECT file, md5(string_agg(value, '' ORDER BY doc_id)) AS digest, sum(strlen(value))::BIGINT AS n_bytes FROM t GROUP BY file")
+def bin_files(spark, sf):
+    """One file for each bin, written by many tasks at once under its exact name, and the bytes that are in it."""
+    path = Tables(spark, "bin_files").path("out")
+    fasta.write_bin_files(_bin_records(spark, sf), path, ["pos"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fasta").load(path)
+    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.md5("content").alias("digest"), F.col("length").alias("n_bytes"))
+
+
 @query(f"""SELECT user_id::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id
 HAVING {' AND '.join(f"count(*) FILTER (event_type = '{t}') > 0" for t in TYPES)}""")
 def coverage_sink(spark, sf):

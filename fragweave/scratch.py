@@ -90,6 +90,12 @@ class Tables:
         if place:
             self._gone(*place[1:])
 
+    def clear(self) -> None:
+        """All tables go now, as no plan reads them any more."""
+        self._clean()
+        self.places.clear()
+        atexit.unregister(self._clean)
+
     def _gone(self, path: str, name: str | None) -> None:
         if name:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")

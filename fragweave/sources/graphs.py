@@ -108,7 +108,7 @@ def read_flye_paths(spark: SparkSession, path) -> DataFrame:
     return rows.select(words[0].alias("name"), F.posexplode(F.split(joined, ",")).alias("pos", "segment"))
 
 
-def segments_to_fasta(spark: SparkSession, path) -> DataFrame:
-    """(record_id, seq): the sanitized segments of every line that holds an S, as a FASTA writer takes them."""
+def segments_to_fasta(spark: SparkSession, path, place: bool = False) -> DataFrame:
+    """(record_id, seq): the sanitized segments of every line that holds an S, as a FASTA writer takes them; with their ``place`` if asked."""
     rows = records(spark, path).filter(F.contains("value", F.lit("S")) & F.get(F.split("value", "\t"), F.lit(2)).isNotNull())
-    return rows.select(_tab(1).alias("record_id"), sanitize(_tab(2)).alias("seq"))
+    return rows.select(_tab(1).alias("record_id"), sanitize(_tab(2)).alias("seq"), *(PLACE if place else ()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import contig_of_gene
+from . import named
 from .lines import PLACE, numbered, records
 
 
@@ -45,13 +46,17 @@ def read_coverage(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def combine_coverage(rows: DataFrame, samples: list[str], by: str = "contig") -> DataFrame:
-    """One column for each sample. ``pos`` joins by row number (names are those of the first sample), ``contig`` by name."""
+def combine_coverage(rows: DataFrame, samples: list[str], by: str = "contig", keep_pos: bool = False) -> DataFrame:
+    """One column for each sample. ``pos`` joins by row number (names are those of the first sample), ``contig`` by name.
+
+    ``keep_pos``: with ``_pos``, the row number (by name: that of the first sample), which orders the result.
+    """
     if by == "contig":
-        return rows.groupBy("contig").pivot("sample", samples).agg(F.first("coverage")).dropna()
+        wide = rows.groupBy("contig").pivot("sample", samples).agg(F.first("coverage")).dropna()
+        return wide.join(rows.filter(F.col("sample") == samples[0]).groupBy("contig").agg(F.min("pos").alias("_pos")), "contig") if keep_pos else wide
     wide = rows.groupBy("pos").pivot("sample", samples).agg(F.first("coverage")).dropna()
     names = rows.filter(F.col("sample") == samples[0]).select("pos", "contig")
-    return names.join(wide, "pos").select("contig", *samples)
+    return names.join(wide, "pos").select("contig", *samples, *([F.col("pos").alias("_pos")] if keep_pos else []))
 
 
 def _cell(value, delimiter: str):
@@ -61,10 +66,24 @@ def _cell(value, delimiter: str):
     return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def table_lines(columns: list[str], delimiter: str = ",", crlf: bool = False):
+    """A row's columns as a line with minimal quoting and its line end."""
+    return F.concat(F.concat_ws(delimiter, *[_cell(F.col(c), delimiter) for c in columns]), F.lit("\r\n" if crlf else "\n"))
+
+
 def write_table(rows: DataFrame, path: str, delimiter: str = ",", header: bool = False, crlf: bool = False) -> None:
-    """Delimited text with minimal quoting; ``crlf``: lines end in carriage return and line feed."""
+    """A folder of parts of delimited text with minimal quoting; ``crlf``: lines end in carriage return and line feed."""
     if header:
         rows.write.csv(path, sep=delimiter, header=True)
         return
     cells = F.concat_ws(delimiter, *[_cell(F.col(c), delimiter) for c in rows.columns])
     rows.select(F.concat(cells, F.lit("\r" if crlf else "")).alias("value")).write.text(path)
+
+
+def write_table_file(rows: DataFrame, folder: str, name: str, order: list, delimiter: str = ",", header: bool = False, crlf: bool = False, columns: list[str] | None = None) -> None:
+    """One file of this name with all or the given columns, rows in ``order``; ``header`` puts the columns' names before them."""
+    columns = columns or rows.columns
+    end = "\r\n" if crlf else "\n"
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_order{k}") for k, c in enumerate(order)]
+    lines = rows.select(F.lit(name).alias("file"), table_lines(columns, delimiter, crlf).alias("value"), *keys)
+    named.write(lines, [f"_order{k}" for k in range(len(keys))], folder, {name: delimiter.join(columns) + end if header else ""})

@@ -75,9 +75,12 @@ def test_commands(spark, tmp_path):
     for k in (1, 2):
         (tmp_path / f"s{k}.tsv").write_text(f"Contig\tS{k}\nx\t{k}\ny\t{2 * k}\n")
     assert commands.main(["combine-coverage", "--covpath", str(tmp_path), "--output", str(tmp_path / "cc")]) == 0
-    assert [r[0] for r in spark.read.text(str(tmp_path / "cc/coverage_with_header")).collect()] == ["Contig\tS1\tS2", "x\t1.0\t2.0", "y\t2.0\t4.0"]
+    body = "x\t1.0\t2.0\ny\t2.0\t4.0\n"
+    assert ((tmp_path / "cc/coverage.tsv").read_text(), (tmp_path / "cc/coverage_with_header.tsv").read_text()) == (body, "Contig\tS1\tS2\n" + body)
+    assert commands.main(["combine-coverage", "--covpath", str(tmp_path), "--output", str(tmp_path / "cn"), "--by", "contig"]) == 0
+    assert (tmp_path / "cn/coverage.tsv").read_text() == body
     (tmp_path / "g.gfa").write_text("S\t1\tac" + "G" * 70 + "n\nL\t1\t+\t2\t+\t0M\n")
     assert commands.main(["gfa-to-fasta", "--graph", str(tmp_path / "g.gfa"), "--output", str(tmp_path / "gf")]) == 0
-    assert [r[0] for r in spark.read.text(str(tmp_path / "gf/edges")).collect()] == [">1", "AC" + "G" * 58, "G" * 12]
+    assert (tmp_path / "gf/edges.fasta").read_text() == ">1\nAC" + "G" * 58 + "\n" + "G" * 12 + "\n"
     args = commands.arguments(["bin", "--assembler", "custom", "--graph", "g", "--contigs", "c", "--abundance", "a", "--hits", "h", "--output", "o", "--no-compat", "--d-limit", "7"])
     assert (args.d_limit, args.compat, args.p_intra) == (7, False, 0.1)
