@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, sequences
-from ..operators import assign, features, graphs, kernels, markers, merge
+from ..operators import assign, features, graphs, kernels, markers, merge, nearest
 from ..scratch import Tables
 from ..sources import fasta, named, tables
 from ..sources import graphs as graph_files
@@ -228,6 +228,28 @@ def nearest_profile_assign(spark, sf):
     return assign.nearest_profile(user_features(spark, sf).drop("bin_id"), user_bins(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
+_OTHERS = f"""{_USERS}, s AS (SELECT x.contig_id, y.contig_id AS other, {_weight('x', 'y')} AS weight FROM u x JOIN u y ON x.contig_id <> y.contig_id)"""
+
+
+def _user_bins_each(spark, sf) -> DataFrame:
+    """Every user as a bin of its own."""
+    return user_features(spark, sf).select(F.col("contig_id").alias("bin_id"), "profile", "coverage", F.array((F.col("contig_id") % 3).cast("string")).alias("markers"))
+
+
+@query(f"WITH {_OTHERS} SELECT contig_id, round(min(weight), 6) AS weight FROM s WHERE weight < {scoring.MAX_WEIGHT!r} GROUP BY contig_id")
+def nearest_user(spark, sf):
+    """The weight of each user's nearest other user, by the index over all of them."""
+    bins = _user_bins_each(spark, sf).drop("markers")
+    got = nearest.best(user_features(spark, sf).drop("bin_id"), "contig_id", bins, allowed=lambda b: b["bin_id"] != F.col("contig_id"))
+    return got.select("contig_id", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_OTHERS} SELECT contig_id AS bin_id, round(min(weight), 6) AS weight FROM s WHERE weight <= {W_INTRA!r} AND contig_id % 3 <> other % 3 GROUP BY contig_id")
+def user_merge_neighbours(spark, sf):
+    """As ``bin_merge_neighbours``, with every user as a bin."""
+    return merge.merge_neighbours(_user_bins_each(spark, sf), W_INTRA).select("bin_id", F.round("weight", 6).alias("weight"))
+
+
 def _bin_weights(spark, sf, possible: bool) -> DataFrame:
     f = user_features(spark, sf)
     members = assign.checked(f.select("bin_id", "profile", "coverage"), assign.MARKER_CONTIGS, "members")
