@@ -1,6 +1,6 @@
 """The sequential steps against plain versions written from their definitions, on whole tables and on small random graphs.
 
-Nothing here calls the engine's kernels: weights, matchings, searches and queues are this file's own.
+The plain versions call none of the engine's kernels: weights, matchings, searches and queues are this file's own.
 """
 
 import math
@@ -8,8 +8,9 @@ import random
 from collections import defaultdict, deque
 
 import duckdb
+import numpy as np
 import pytest
-from fragweave.operators import assign
+from fragweave.operators import assign, kernels
 from fragweave.plans import catalogue
 
 MAX = 1.7976931348623157e308
@@ -155,6 +156,45 @@ def test_matching_and_leftovers(spark, sf, duck):
     assert left and dict(map(tuple, catalogue.leftover_assign(spark, sf).select("contig_id", "bin_id").collect())) == left
 
 
+@pytest.mark.parametrize("held", [None, 30])
+def test_a_weight_is_formed_once(monkeypatch, held):
+    """Over steps in which contigs come back and bins grow; with little room some are formed again, and bins stay the same."""
+    if held is not None:
+        monkeypatch.setattr(kernels, "HELD", held)
+    again = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        n = 60
+        at = [(rng.random(), rng.random()) for _ in range(n)]
+        own = {c: {f"m{k}" for k in rng.sample(range(9), rng.randrange(1, 4))} for c in range(n)}
+        steps = [[c for c in range(n) if f"m{k}" in own[c]] for k in range(9)]
+        lengths = {c: rng.randrange(1000, 9000) for c in range(n)}
+        asked = defaultdict(int)
+
+        def weight(a, b, at=at, asked=asked):
+            for x in a:
+                for y in b:
+                    asked[x, y] += 1
+            return np.array([[10 * math.dist(at[x], at[y]) for y in b] for x in a]).reshape(len(a), len(b))
+
+        class Afresh(kernels.Means):
+            def of(self, contigs):
+                return np.array([[sum(10 * math.dist(self.at[c], self.at[d]) for d in m) / len(m) for m in self.bins.members] for c in contigs])
+
+        def both(seen, means, at=at, own=own, steps=steps, lengths=lengths):
+            with monkeypatch.context() as patch:
+                patch.setattr(kernels, "Means", means)
+                bins = kernels.match(steps, own, lengths, seen, lambda pairs: [1] * len(pairs), 3.0, 5.0, 20)
+                return kernels.match_left(bins, list(own), own, lengths, seen, 3.0)
+
+        Afresh.at = at
+        got = both(weight, kernels.Means)
+        assert got.members == both(None, Afresh).members and max(map(len, got.members)) > 2
+        assert set(got.means.sums) <= set(own) - set(got.of) and got.means.cells == sum(map(len, got.means.sums.values()))
+        again += sum(k - 1 for k in asked.values())
+    assert (again == 0) == (held is None)
+
+
 def test_gated_assign(spark, sf, duck):
     own = defaultdict(set)
     for c, m in duck.execute(f"SELECT contig_id, marker FROM ({catalogue.ORACLE['marker_hits']})").fetchall():
