@@ -1028,13 +1028,14 @@ def file_places(spark, sf):
     return got.select("file", F.md5("value").alias("digest"), F.octet_length("value").cast("long").alias("n_bytes"), F.col("at").alias("place"))
 
 
-@query(f"WITH {_FILES} SELECT file, md5(string_agg(value, '' ORDER BY doc_id)) AS digest, sum(strlen(value))::BIGINT AS n_bytes FROM t GROUP BY file")
+@query(f"WITH {_SEQ} SELECT CASE WHEN doc_id % 2 = 0 THEN 'bins/bin_' ELSE 'low_quality_bins/bin_' END || (CASE WHEN doc_id % 3 > 0 THEN 0 ELSE doc_id % 10 END) || CASE WHEN doc_id % 2 = 0 THEN '.fasta' ELSE '_seqs.fasta' END AS file, doc_id::VARCHAR AS record_id, 'A' || seq AS seq FROM s")
 def bin_files(spark, sf):
-    """One file for each bin, written by many tasks at once under its exact name, and the bytes that are in it."""
+    """One file for each bin, written by many tasks at once under its exact name; records read back with their file, a large file by many tasks."""
     path = Tables(spark, "bin_files").path("out")
     fasta.write_bin_files(_bin_records(spark, sf), path, ["pos"])
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fasta").load(path)
-    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.md5("content").alias("digest"), F.col("length").alias("n_bytes"))
+    found = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fasta").text(path)
+    lines = F.split(F.regexp_replace(F.trim("value"), "^>", ""), "\n")
+    return found.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("file"), lines[0].alias("record_id"), F.trim(lines[1]).alias("seq"))
 
 
 @query(f"""SELECT user_id::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id
