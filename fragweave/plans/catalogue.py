@@ -922,6 +922,10 @@ def spades_path_scan(spark, sf):
 SELECT s AS number, pos, o || CASE WHEN n > 1 AND pos = (n + 1) // 2 - 1 THEN '' ELSE '+' END AS segment FROM x""")
 def spades_path_lines(spark, sf):
     """Records of several lines: the first line's last segment loses its sign, as the matched tool reads them."""
+    return graph_files.read_spades_paths(spark, _path_lines(spark, sf)).select("number", F.col("pos").cast("long").alias("pos"), "segment")
+
+
+def _path_lines(spark, sf) -> str:
     path = Tables(spark, "lines").path("paths")
     line = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.struct("l_orderkey", "l_linenumber").alias("k"))
     own = line.groupBy("s").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(k["l_orderkey"].cast("string"), F.lit("+"))).alias("p"))
@@ -929,7 +933,7 @@ def spades_path_lines(spark, sf):
     first, rest = F.array_join(F.slice("p", F.lit(1), half), ","), F.array_join(F.slice("p", half + 1, F.size("p")), ",")
     body = F.when(F.size("p") > 1, F.concat(first, F.lit(";\n"), rest)).otherwise(first)
     own.select(F.concat(F.lit("NODE_"), F.col("s").cast("string"), F.lit("_length_9_cov_1\n"), body).alias("value")).write.text(path)
-    return graph_files.read_spades_paths(spark, path).select("number", F.col("pos").cast("long").alias("pos"), "segment")
+    return path
 
 
 @query("SELECT DISTINCT o_custkey::VARCHAR AS name, o_orderkey::VARCHAR AS segment FROM orders")
@@ -951,10 +955,14 @@ def abundance_scan(spark, sf):
 
 @query("SELECT c_name AS contig, p_brand AS marker, l_quantity::INT AS hmm_to, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3")
 def hit_table_scan(spark, sf):
+    return tables.read_hits(spark, _hit_table(spark, sf)).groupBy("contig", "marker", "hmm_to").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hit_table(spark, sf) -> str:
     path = Tables(spark, "hits").path("domtbl")
     cells = [F.concat("contig", F.lit("_1_90_+")), F.lit("-"), F.lit("0"), F.col("marker"), F.lit("-"), F.col("qlen").cast("string"), *[F.lit("0")] * 9, F.col("hmm_from").cast("string"), F.col("hmm_to").cast("string"), F.lit("x")]
     raw_hits(spark, sf).select(F.concat_ws("  ", *cells).alias("value")).union(spark.createDataFrame([("# target",)], "value string")).write.text(path)
-    return tables.read_hits(spark, path).groupBy("contig", "marker", "hmm_to").agg(F.count(F.lit(1)).alias("n"))
+    return path
 
 
 @query(f"""SELECT user_id::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id
@@ -1038,6 +1046,29 @@ def bin_files(spark, sf):
     return found.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("file"), lines[0].alias("record_id"), F.trim(lines[1]).alias("seq"))
 
 
+@query(f"WITH {_FILES} SELECT file, doc_id::VARCHAR AS record_id, strlen(value) - strlen(doc_id::VARCHAR) - 3 AS length, md5(value) AS digest FROM t WHERE strlen(value) - strlen(doc_id::VARCHAR) - 3 >= {MIN_LENGTH} AND file LIKE 'bins/%'")
+def long_records(spark, sf):
+    """Records of at least the shortest length in final bins, from files of exact names read by ranges of bytes."""
+    path = Tables(spark, "long_records").path("out")
+    fasta.write_bin_files(_bin_records(spark, sf), path, ["pos"])
+    found = fasta.scan_fasta(spark, path).filter((F.col("length") >= MIN_LENGTH) & F.contains("file", F.lit("/bins/")))
+    text = F.concat(F.lit(">"), F.col("record_id"), F.lit("\n"), F.col("seq"), F.lit("\n"))
+    return found.select(F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("file"), "record_id", "length", F.md5(text).alias("digest"))
+
+
+@query("SELECT c_name AS contig, p_brand AS marker, l_quantity::INT AS hmm_to, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity::INT >= 20 GROUP BY 1, 2, 3")
+def long_hits(spark, sf):
+    """Hits that reach far into the model, from a hit table read by ranges of bytes."""
+    found = tables.scan_hits(spark, _hit_table(spark, sf)).filter("hmm_to >= 20")
+    return found.groupBy("contig", "marker", "hmm_to").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ORACLE["spades_path_lines"])
+def spades_path_ranges(spark, sf):
+    """Records of several lines, cut and parsed by ranges of bytes."""
+    return graph_files.scan_spades_paths(spark, _path_lines(spark, sf)).select("number", F.col("pos").cast("long").alias("pos"), "segment")
+
+
 @query(f"""SELECT user_id::VARCHAR AS contig, {', '.join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {t}" for t in TYPES)} FROM events GROUP BY user_id
 HAVING {' AND '.join(f"count(*) FILTER (event_type = '{t}') > 0" for t in TYPES)}""")
 def coverage_sink(spark, sf):

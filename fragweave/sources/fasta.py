@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import wrapped
-from . import named
+from . import named, ranges
 from .lines import numbered, records
 
 
@@ -26,6 +26,14 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     return numbered(out, "pos").select("pos", "record_id", "description", "seq")
 
 
+def scan_fasta(spark: SparkSession, path) -> DataFrame:
+    """(record_id, description, seq, length, file, at): as ``read_fasta``, with each record's file and first byte in place of a number.
+
+    Filters on the columns but ``seq`` reach the readers (``ranges``).
+    """
+    return ranges.scan(spark, path, "fasta").select("record_id", "description", "seq", "length", "file", "at")
+
+
 def fasta_text(rows: DataFrame, width: int | None = None, name: str = "record_id") -> DataFrame:
     """One text value for each record, as a text writer takes it."""
     seq = F.col("seq") if width is None else wrapped(F.col("seq"), width)

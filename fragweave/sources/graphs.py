@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import number_in, sanitize
 from ..scratch import Tables
+from . import ranges
 from .lines import PLACE, numbered, records
 
 
@@ -71,6 +72,16 @@ def read_spades_paths(spark: SparkSession, path, compat: bool = True) -> DataFra
     # only what stands before a blank line counts
     blank = F.array_position("parts", "").cast("int")
     rows = rows.withColumn("parts", F.when(blank > 0, F.slice("parts", F.lit(1), F.greatest(blank - 1, F.lit(0)))).otherwise(F.col("parts")))
+    return _oriented_segments(rows, compat)
+
+
+def scan_spades_paths(spark: SparkSession, path, compat: bool = True) -> DataFrame:
+    """As ``read_spades_paths``, records cut and parsed by ranges of bytes (``ranges``)."""
+    rows = ranges.scan(spark, path, "paths").select("header", "parts", F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("at").alias("_row"))
+    return _oriented_segments(rows, compat)
+
+
+def _oriented_segments(rows: DataFrame, compat: bool) -> DataFrame:
     bare = F.transform("parts", lambda p: F.regexp_replace(F.trim(p), ";$", ""))
     if compat:
         first = F.transform(F.slice("parts", 1, 1), lambda p: F.when(F.endswith(F.trim(p), F.lit(";")), F.left(F.trim(p), F.length(F.trim(p)) - 2)).otherwise(F.trim(p)))

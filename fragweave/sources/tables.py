@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import contig_of_gene
-from . import named
+from . import named, ranges
 from .lines import PLACE, numbered, records
 
 
@@ -33,6 +33,15 @@ def read_hits(spark: SparkSession, path) -> DataFrame:
     return numbered(out).withColumn("contig", contig_of_gene(F.col("target")))
 
 
+def scan_hits(spark: SparkSession, path) -> DataFrame:
+    """(target, contig, marker, qlen, hmm_from, hmm_to, file, at): as ``read_hits``, with each line's file and first byte in place of a number.
+
+    Filters on marker, target and the numbers reach the readers (``ranges``).
+    """
+    columns = ["marker", "qlen", "hmm_from", "hmm_to", "file", "at"]
+    return ranges.scan(spark, path, "hits").select("target", contig_of_gene(F.col("target")).alias("contig"), *columns)
+
+
 def read_coverage(spark: SparkSession, path) -> DataFrame:
     """(sample, pos, contig, coverage) of files with a header of two columns; a file's row numbers start at 0."""
     rows = records(spark, path).filter(F.trim("value") != "")

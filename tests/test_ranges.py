@@ -1,0 +1,116 @@
+"""Records by ranges of bytes against the text scans, over every range size, and filters that reach the readers."""
+
+import gzip
+import random
+
+import pytest
+from fragweave.sources import fasta, graphs, ranges, tables
+from pyspark.sql import functions as F
+
+FASTA = [b"", b"\n", b">\n>\n> \n>a\n", b"lead\nACGT\n>b two words \r\nAC GT\r\nac\tgn\r\n\r\n>c\n>d\n\n\nA>C\n>\te\nAC", b">a\nAC\n" * 3, ">é ü\nACGé\n".encode() + b">x\xff\nA\xffC\n", b">no end"]
+PATHS = [b"NODE_1_length_5_cov_1\n1+,2-;\n3+\nNODE_1_length_5_cov_1'\n4-\n\nNODE_2_length_7_cov_2\r\n5+;\r\n6-,7+\r\n", b"NODE_7_length_1_cov_1\n1+\n\n2-\nNODE_9_length_1_cov_1\n3-", b""]
+
+
+def hit_line(rng, k):
+    return f"g{k}_1_90_+ - 0 {rng.choice('ABC')} - {rng.randrange(900)} 0 0 0 0 0 0 0 0 0 {rng.randrange(90)} {rng.randrange(900)} x"
+
+
+def whole(path, size, mark, step):
+    return [p for a in range(0, size, step) for p in ranges.pieces(path, a, min(a + step, size), mark)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 20])
+def test_pieces_are_cut_once(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(ranges, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = [(b">", t) for t in FASTA] + [(b"NODE_", t) for t in PATHS] + [(b"", t) for t in FASTA]
+    texts += [(b">", bytes(rng.choice(b">\n\rA") for _ in range(rng.randrange(60)))) for _ in range(60)]
+    for mark, text in texts:
+        path = tmp_path / "f"
+        path.write_bytes(text)
+        # a piece begins where the text before it ends with a line end that the mark follows
+        starts = [0] + [k + 1 for k in range(len(text)) if text[k : k + 1 + len(mark)] == b"\n" + mark]
+        ends = [s - 1 for s in starts[1:]] + [len(text)]
+        want = [(a, text[a:b]) for a, b in zip(starts, ends, strict=True) if a < len(text)]
+        for step in (1, 2, 3, 5, 8, 1000):
+            assert whole(str(path), len(text), mark, step) == want
+
+
+def scanned(spark, path, kind, step, push=False):
+    spark.dataSource.register(ranges.Records)
+    return spark.read.format(ranges.FORMAT).option("kind", kind).option("rangebytes", str(step)).option("push", str(push)).load(path)
+
+
+@pytest.mark.parametrize("k", range(len(FASTA)))
+def test_fasta_equals_the_text_scan(spark, tmp_path, k):
+    path = tmp_path / "a.fa"
+    path.write_bytes(FASTA[k])
+    want = [tuple(r) for r in fasta.read_fasta(spark, str(path)).orderBy("pos").select("record_id", "description", "seq").collect()]
+    for step in (4, 1000):
+        got = scanned(spark, str(path), "fasta", step).orderBy("at").collect()
+        assert [(r["record_id"], r["description"], r["seq"]) for r in got] == want
+        assert all(r["length"] == len(r["seq"]) for r in got)
+
+
+def test_hits_and_paths_equal_the_text_scans(spark, tmp_path):
+    rng = random.Random(3)
+    (tmp_path / "h.txt").write_text("# head\n" + "\n".join(hit_line(rng, k) if k % 9 else "  " for k in range(300)) + "\r\n#end")
+    columns = ["target", "contig", "marker", "qlen", "hmm_from", "hmm_to"]
+    for n, text in enumerate(PATHS[:2]):
+        (tmp_path / f"p{n}.paths").write_bytes(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        want = tables.read_hits(spark, str(tmp_path / "h.txt")).orderBy("line_no").select(*columns).collect()
+        found = tables.scan_hits(spark, str(tmp_path / "h.txt"))
+        assert found.orderBy("at").select(*columns).collect() == want and len(want) == 266
+        assert found.rdd.getNumPartitions() > 10
+        for n in range(2):
+            for compat in (True, False):
+                path = str(tmp_path / f"p{n}.paths")
+                assert sorted(graphs.scan_spades_paths(spark, path, compat).collect()) == sorted(graphs.read_spades_paths(spark, path, compat).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_folders_patterns(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for name in ("d/a.fa", "d/e/b.fa", "d/_c.fa", "d/.d.fa", "d/e/f.txt"):
+        (tmp_path / name).write_text(f">{name}\nAC\n")
+    (tmp_path / "d" / "z.fa.gz").write_bytes(gzip.compress(b">z1\nA\n>z2\nAC\n" * 50))
+    assert {r[0] for r in fasta.scan_fasta(spark, str(tmp_path / "d")).select("record_id").collect()} == {"d/a.fa", "d/e/b.fa", "d/e/f.txt", "z1", "z2"}
+    assert fasta.scan_fasta(spark, str(tmp_path / "d" / "*.gz")).count() == 100
+    assert fasta.scan_fasta(spark, [str(tmp_path / "d/e/*.fa"), "file://" + str(tmp_path / "d/a.fa")]).count() == 2
+    assert fasta.scan_fasta(spark, str(tmp_path / "none*.fa")).count() == 0
+    (tmp_path / "x.fa.bz2").write_bytes(b"x")
+    with pytest.raises(Exception, match="codec"):
+        fasta.scan_fasta(spark, str(tmp_path / "x.fa.bz2")).count()
+    with pytest.raises(ValueError, match="no ranges"):
+        fasta.scan_fasta(spark, "s3a://bucket/x.fa")
+    (tmp_path / "bad.txt").write_text("# c\na b c\n")
+    with pytest.raises(Exception, match="byte 4: fewer than 17 words"):
+        tables.scan_hits(spark, str(tmp_path / "bad.txt")).count()
+
+
+CASES = ["length >= 5", "length < 3", "length = 4 AND record_id <> 'c1'", "record_id IN ('c2', 'c5')", "record_id LIKE 'c1%'", "record_id LIKE '%3'", "description LIKE '%x9%'", "record_id IS NOT NULL AND length > 2", "record_id IS NULL", "length = 2 OR record_id = 'c7'", "record_id NOT IN ('c1', 'c2')", "at > 100", "file LIKE '%b.fa'", "seq = 'AC'", "length <=> 3"]
+
+
+def test_filters_reach_the_readers(spark, tmp_path):
+    for name in ("a.fa", "b.fa"):
+        (tmp_path / name).write_text("".join(f">c{k} x{k}\n{'ACGT' * 3}"[: 4 + len(str(k)) * 2 + k % 8] + "\n" for k in range(60)))
+    before = spark.conf.get(ranges.PUSHDOWN, "false")
+    plain = fasta.scan_fasta(spark, str(tmp_path))
+    want = {c: sorted(plain.filter(c).collect()) for c in CASES}
+    assert sum(bool(w) for w in want.values()) >= len(CASES) - 1
+    spark.conf.set(ranges.PUSHDOWN, "true")
+    try:
+        for c in CASES:
+            found = fasta.scan_fasta(spark, str(tmp_path)).filter(c)
+            assert sorted(found.collect()) == want[c], c
+        found = fasta.scan_fasta(spark, str(tmp_path)).filter("length >= 5 AND upper(record_id) = 'C7'")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Spark keeps what it was handed back only
+        kept = [line for line in plan.splitlines() if "Filter" in line and "BatchScan" not in line]
+        assert any("upper" in line for line in kept) and not any("length" in line and ">=" in line for line in kept)
+        assert fasta.scan_fasta(spark, str(tmp_path)).filter(F.endswith("file", F.lit("b.fa"))).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set(ranges.PUSHDOWN, before)
