@@ -1162,6 +1162,19 @@ def gated_assign(spark, sf):
     return assign.gated_assign(candidates, held, markers.contig_markers(h), customers(spark, sf))
 
 
+@query(f"""WITH {_USERS}, {_PAIRS}, g AS (SELECT DISTINCT contig_id // 10 AS g, bin_id FROM u WHERE contig_id % 3 = 0), q AS (SELECT * FROM p SEMI JOIN g ON g.g = p.contig_id // 10 AND g.bin_id = p.bin_id WHERE contig_id % 3 > 0)
+SELECT contig_id, bin_id, round(CASE WHEN isinf(sum(w)) OR count(*) FILTER (w < {scoring.MAX_WEIGHT!r}) = 0 THEN {scoring.MAX_WEIGHT!r}
+  ELSE sum(w) / count(*) FILTER (w < {scoring.MAX_WEIGHT!r}) END, 6) AS weight FROM q GROUP BY 1, 2""")
+def asked_weights(spark, sf):
+    """As ``seed_weights``, for users without a bin and the bins that their group of ten holds."""
+    f = user_features(spark, sf)
+    members = assign.checked(f.select("bin_id", "profile", "coverage"), assign.MARKER_CONTIGS, "members")
+    parts = f.select(F.col("contig_id").alias("id"), F.floor(F.col("contig_id") / 10).alias("component"))
+    asked = assign.asked_bins(parts, f.filter("contig_id % 3 = 0").select("contig_id", "bin_id"), f)
+    rows = assign.asked_weights(f.drop("bin_id"), members, asked).select("contig_id", F.explode(F.arrays_zip("bins", "weights")).alias("x"))
+    return rows.select("contig_id", F.col("x.bins").alias("bin_id"), F.round("x.weights", 6).alias("weight"))
+
+
 @query()
 def final_propagation(spark, sf):
     """The five priorities spread as labels from orders of status F over linked orders."""
@@ -1170,6 +1183,6 @@ def final_propagation(spark, sf):
     orders = read(spark, sf, "orders")
     parts = graphs.components(orders.select(F.col("o_orderkey").alias("id")), edges, kept)
     labelled = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("contig_id"), (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("bin_id"))
-    weights = orders.select(F.col("o_orderkey").alias("contig_id"), F.array(*[F.abs(F.col("o_totalprice") / 50_000 - F.lit(float(b))) for b in range(5)]).alias("weights"))
+    weights = orders.select(F.col("o_orderkey").alias("contig_id"), F.sequence(F.lit(0), F.lit(4)).alias("bins"), F.array(*[F.abs(F.col("o_totalprice") / 50_000 - F.lit(float(b))) for b in range(5)]).alias("weights"))
     live = graphs.with_labelled(parts, labelled.select(F.col("contig_id").alias("id")))
     return assign.propagate(live, edges, labelled, orders.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("contig_id")), weights, 10)

@@ -17,7 +17,7 @@ def plan(spark, sf, name):
 #: Rows that meet one row, the array of all bins, whose size is checked.
 ONE_ROW = {"euclidean_pairs", "comp_probability", "cov_probability", "log_prob", "nearest_profile_assign", "bin_merge_neighbours", "bin_cliques", "conflict_free_bins", "nearest_user", "user_merge_neighbours"}
 #: Weights to many members at a time are formed in arrays.
-ARRAYS = {"member_weights", "seed_weights"}
+ARRAYS = {"member_weights", "seed_weights", "asked_weights"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SEQUENTIAL))
