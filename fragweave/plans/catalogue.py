@@ -871,18 +871,18 @@ def gfa_links_anywhere(spark, sf):
 def _plain_links(spark, sf) -> str:
     path = Tables(spark, "links").path("gfa")
     s = read(spark, sf, "part").select(F.concat(F.lit("S\tk"), F.col("p_partkey").cast("string"), F.lit(".0\tACGT")).alias("value"))
-    e = read(spark, sf, "lineitem").select(F.concat(F.lit("L\t"), (F.col("l_partkey") % 50).cast("string"), F.lit("\t+\t"), (F.col("l_suppkey") % 50).cast("string"), F.lit("\t-")).alias("value"))
+    e = read(spark, sf, "lineitem").select(F.concat(F.lit("L\t"), F.col("l_partkey").cast("string"), F.lit("\t+\t"), F.col("l_suppkey").cast("string"), F.lit("\t-")).alias("value"))
     s.union(e).write.text(path)
     return path
 
 
-@query("SELECT (l_partkey % 50)::VARCHAR AS a, (l_suppkey % 50)::VARCHAR AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def megahit_links(spark, sf):
     """On this route links of a contig with itself stay."""
     return graph_files.read_links(spark, _plain_links(spark, sf), "megahit").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT (l_partkey % 50)::VARCHAR AS a, (l_suppkey % 50)::VARCHAR AS b, count(*) AS n FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2")
+@query("SELECT l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
 def megahitc_links(spark, sf):
     return graph_files.read_links(spark, _plain_links(spark, sf), "megahitc").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
