@@ -7,7 +7,7 @@ texts pass as the operators define; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from fragweave.llm import bpe, lines, mixing, neardup, quality
+from fragweave.llm import bpe, linear, lines, mixing, neardup, quality
 from fragweave.llm.common import Scratch, read, rows_as_structs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +19,17 @@ def _digest(row: Column, names: list[str]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in value]), 256)
 
 
-def _numbered(scratch: Scratch, docs: DataFrame, model: quality.Model | None = None) -> DataFrame:
+def _numbered(scratch: Scratch, docs: DataFrame, model: linear.Model | None = None) -> DataFrame:
     """(row, digest, n): whole rows under numbers of their own, which are given once, when written; with a model also its score."""
     held = rows_as_structs(docs)
-    score = []
-    if model:
-        held, score = quality.with_score(held, model), ["score"]
+    score = [model.score(F.array(*linear.statistics(F.col("row.text")))).alias("score")] if model else []
     return scratch.keep(held.select("row", *score, _digest(F.col("row"), docs.columns).alias("digest"), F.monotonically_increasing_id().alias("n")), "numbered")
 
 
-def _model(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> quality.Model:
-    labels = read(spark, sf_dir, "labels")
-    return quality.fit(quality.labelled_features(docs, labels), labels, scratch)
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those that score under the threshold."""
-    return quality.accepted(docs, _model(spark, docs, sf_dir, Scratch(spark, "classify")))
+    labels = read(spark, sf_dir, "labels")
+    return quality.accepted(docs, quality.fit(quality.labelled_features(docs, labels), labels, Scratch(spark, "classify")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +55,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Its weight is the classifier's score.
+    """Each document as often as the mix takes it: not at all, once or twice. Its weight is a score of quality learned from the labels.
 
-    A stage hands on the columns of documents and no score, so texts are scored again here, as they are now, by the model of the first
-    stage: that of all labelled documents, since few of those that it rejects are left to learn from.
+    A stage hands on the columns of documents and no score, and this one is of DataFrame operators alone, so texts are scored here, as they are now, by
+    a linear model of all labelled documents, since few of those that the first stage rejects are left to learn from.
     """
     scratch = Scratch(spark, "mix")
-    numbered = _numbered(scratch, docs, _model(spark, read(spark, sf_dir, "documents"), sf_dir, scratch))
+    numbered = _numbered(scratch, docs, linear.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
     mixed = mixing.mix(numbered.select("row.doc_id", "row.text", "row.source", "digest", "n", "score"), carry=("digest", "n"), weight="score")
     times = mixed.select("n", (F.col("epochs") + F.col("chosen").cast("long")).alias("times")).filter("times > 0")
     return numbered.join(times, "n").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")

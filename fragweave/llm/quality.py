@@ -19,11 +19,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, tidy
 
@@ -228,19 +226,6 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
-def with_score(rows: DataFrame, model: Model, at: str = "row", text: str = "text", name: str = "score") -> DataFrame:
-    """Rows as structs, and the score of each one's text."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t.as_py()) for t in pc.struct_field(batch.column(0), text)])
-                yield pa.record_batch([batch.column(0), pa.array(np.clip(model.score(x), 0, 1))], names=[at, name])
-        tidy()
-
-    return rows.select(at).mapInArrow(run, StructType([rows.schema[at], StructField(name, DoubleType())]))
-
-
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "quality")
     feats = scratch.keep(features(docs), "features")
