@@ -11,14 +11,13 @@ from . import nearest
 def merge_neighbours(bins: DataFrame, w_intra: float, kept: Tables | None = None) -> DataFrame:
     """(bin_id, partner, weight): the most similar bin without a common marker, the smaller id on ties.
 
-    bins: (bin_id, markers, profile, coverage), any number of them (``nearest.best``).
+    bins: (bin_id, markers, profile, coverage), any number of them (``nearest.best_other``).
     """
-    rows = bins.select(F.col("bin_id").alias("own"), F.col("markers").alias("own_markers"), "profile", "coverage")
 
-    def apart(b):
-        return (b["bin_id"] != F.col("own")) & ~F.arrays_overlap(b["markers"], F.col("own_markers"))
+    def apart(a, b):
+        return ~F.arrays_overlap(a["markers"], b["markers"])
 
-    found = nearest.best(rows, "own", bins.select("bin_id", "markers", "profile", "coverage"), kept, w_intra, apart)
+    found = nearest.best_other(bins.select("bin_id", "markers", "profile", "coverage"), w_intra, apart, kept)
     return found.select(F.col("own").alias("bin_id"), F.col("bin_id").alias("partner"), "weight")
 
 

@@ -117,3 +117,37 @@ def best(rows: DataFrame, key: str, bins: DataFrame, kept: Tables | None = None,
         ring = F.filter("_bins", lambda b: F.abs(b["_d"] - F.col("_dq")) <= F.col("_r"))
         out = met.select(key, lowest(ring).alias("_b")).groupBy(key).agg(F.min("_b").alias("_b"))
     return out.filter(F.col("_b").isNotNull() & (F.col("_b.weight") < MAX_WEIGHT)).select(key, "_b.bin_id", "_b.weight")
+
+
+def best_other(bins: DataFrame, limit: float | None = None, apart: Callable[[Column, Column], Column] | None = None, kept: Tables | None = None) -> DataFrame:
+    """(own, bin_id, weight): each bin's nearest other bin, the smaller id on ties, as ``best`` finds it.
+
+    bins: (bin_id, profile, coverage) and what ``apart``, given two of these further columns' structs, needs. Bins that agree in all but their id are one
+    class and are met once: what is scored grows with the pairs of classes, however many copies they have.
+    """
+    kept = kept or Tables(bins.sparkSession, "classes")
+    further = [c for c in bins.columns if c not in ("bin_id", "profile", "coverage")]
+    alike = F.struct("profile", "coverage", *further)
+    # of the copies two ids are of use: the smallest, and for that one another
+    classes = bins.groupBy(alike.alias("_a")).agg(F.min("bin_id").alias("_least"))
+    nexts = bins.select("bin_id", alike.alias("_a")).join(classes, "_a").filter("bin_id > _least").groupBy("_least").agg(F.min("bin_id").alias("_next"))
+    classes = kept.keep(classes.join(nexts, "_least", "left"), "classes")
+    extra = [F.col(f"_a.{c}").alias(c) for c in further]
+    rows = classes.select(F.col("_least").alias("_class"), "_a", "_a.profile", "_a.coverage")
+    every = classes.select(F.col("_least").alias("bin_id"), "_a.profile", "_a.coverage", *extra)
+
+    def allowed(b: Column) -> Column:
+        other = b["bin_id"] != F.col("_class")
+        return other & apart(b, F.col("_a")) if apart else other
+
+    found = best(rows, "_class", every, kept, limit, allowed).select(F.col("_class").alias("_least"), F.struct("weight", "bin_id").alias("_b"))
+    own = F.coalesce(pair_weight(F.col("_a.profile"), F.col("_a.coverage"), F.col("_a.profile"), F.col("_a.coverage")), F.lit(MAX_WEIGHT))
+    may = F.col("_next").isNotNull() & (own < MAX_WEIGHT)
+    if limit is not None:
+        may = may & (own <= limit)
+    if apart:
+        may = may & apart(F.col("_a"), F.col("_a"))
+    told = classes.join(found, "_least", "left").select("_a", "_least", "_next", "_b", F.when(may, own).alias("_own"))
+    each = bins.select(F.col("bin_id").alias("own"), alike.alias("_a")).join(told, "_a")
+    copy = F.when(F.col("_own").isNotNull(), F.struct(F.col("_own").alias("weight"), F.when(F.col("own") == F.col("_least"), F.col("_next")).otherwise(F.col("_least")).alias("bin_id")))
+    return each.select("own", F.least("_b", copy).alias("_b")).filter("_b IS NOT NULL").select("own", "_b.bin_id", "_b.weight")

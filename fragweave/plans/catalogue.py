@@ -239,9 +239,8 @@ def _user_bins_each(spark, sf) -> DataFrame:
 @query(f"WITH {_OTHERS} SELECT contig_id, round(min(weight), 6) AS weight FROM s WHERE weight < {scoring.MAX_WEIGHT!r} GROUP BY contig_id")
 def nearest_user(spark, sf):
     """The weight of each user's nearest other user, by the index over all of them."""
-    bins = _user_bins_each(spark, sf).drop("markers")
-    got = nearest.best(user_features(spark, sf).drop("bin_id"), "contig_id", bins, allowed=lambda b: b["bin_id"] != F.col("contig_id"))
-    return got.select("contig_id", F.round("weight", 6).alias("weight"))
+    got = nearest.best_other(_user_bins_each(spark, sf).drop("markers"))
+    return got.select(F.col("own").alias("contig_id"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_OTHERS} SELECT contig_id AS bin_id, round(min(weight), 6) AS weight FROM s WHERE weight <= {W_INTRA!r} AND contig_id % 3 <> other % 3 GROUP BY contig_id")

@@ -106,3 +106,26 @@ def test_radius(spark):
     for w, r in zip(asked[2:-2], got[2:-2], strict=True):
         same_, other = (math.exp(-((r - m) ** 2) / (2 * s * s)) / s for m, s in ((0, 0.01037897 / 2), (0.0676654, 0.03419337)))
         assert math.isclose(-math.log10(same_ / (same_ + other)), w, rel_tol=1e-5, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_copies_are_one_class(spark, clusters, copies, monkeypatch):
+    """Copies do not add pairs; a copy's nearest other bin, and the smaller id on ties, are as among all pairs."""
+    rows, _ = clusters
+    bins = [(b + k * 1000, p, c) for k in range(copies) for b, p, c in rows]
+    met = []
+    whole = nearest.best
+
+    def counted(own, key, every, *args):
+        met.append((own.count(), every.count()))
+        return whole(own, key, every, *args)
+
+    monkeypatch.setattr(nearest, "best", counted)
+    frame = spark.createDataFrame(bins, SCHEMA).withColumnRenamed("contig_id", "bin_id")
+    got = {r["own"]: (r["weight"], r["bin_id"]) for r in nearest.best_other(frame).collect()}
+    assert met == [(120, 120)]
+    same(got, plain(bins, bins, allowed=lambda a, b: a != b), bins, bins)
+    # copies with a marker never meet; without any they do
+    marked = frame.withColumn("markers", F.when(F.col("bin_id") % 2 == 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")))
+    got = {r["bin_id"]: (r["weight"], r["partner"]) for r in merge.merge_neighbours(marked, 30.0).collect()}
+    same(got, plain(bins, bins, 30.0, lambda a, b: a != b and (a % 2 == 1 or b % 2 == 1)), bins, bins)
