@@ -195,6 +195,36 @@ def test_a_weight_is_formed_once(monkeypatch, held):
     assert (again == 0) == (held is None)
 
 
+def test_running_means_hold_the_answer_and_a_block():
+    """Five samples, 1500 contigs and bins that grow: beside the means that are asked for, memory takes no more than a few blocks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    profiles, covs = rng.random((n, 4)) * 0.01, rng.integers(1, 9, (n, 5)).astype(float)
+
+    def weight(a, b):
+        return kernels.weights(profiles[a], covs[a], profiles[b], covs[b])
+
+    bins = kernels.Bins()
+    bins.means = kernels.Means(weight, bins)
+    for c in range(1500):
+        bins.open(c, {"a"})
+    asked = list(range(1500, n))
+    tracemalloc.start()
+    try:
+        first = bins.means.of(asked).shape
+        bins.add(3, 1500, {"b"})
+        got = bins.means.of(asked[1:])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first == (1500, 1500) and peak < 150e6
+    want = weight(asked[1:], list(range(1500)))
+    want[:, 3] = (want[:, 3] + weight(asked[1:], [1500])[:, 0]) / 2
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
 def test_gated_assign(spark, sf, duck):
     own = defaultdict(set)
     for c, m in duck.execute(f"SELECT contig_id, marker FROM ({catalogue.ORACLE['marker_hits']})").fetchall():
