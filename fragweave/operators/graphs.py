@@ -277,6 +277,8 @@ class Search:
         self.seen = [self.found]
         self.entered: list[DataFrame] = []
         self.level = 0
+        #: Whether what was seen long ago may be met again: where vertices are not passed. Else a neighbour of the last level is new, on it, or on the one before.
+        self.all = False
 
     def _set(self, rows: DataFrame, *key) -> DataFrame:
         """Of rows with (lane, bit): the key and the bits in their columns."""
@@ -309,6 +311,9 @@ class Search:
         left = [F.col(b).bitwiseAND(F.bitwise_not(F.col(f"s_{b}"))).alias(b) for b in self.bits]
         return self.tables.keep(merged.select(*key, *left).filter(self._any()), label)
 
+    def _near(self, seen: list[DataFrame]) -> list[DataFrame]:
+        return seen if self.all else seen[-2:]
+
     def _folded(self, seen: list[DataFrame], key: list[str]) -> list[DataFrame]:
         """Many tables of what was seen become one now and then."""
         if len(seen) < 8:
@@ -326,15 +331,16 @@ class Search:
             met = go.join(self.to, go["id"] == self.to["src"]).select("word", F.col("dst").alias("id"), *self.bits)
         else:
             key = ["word", "way", "segment"]
-            segments = self._new(go.join(self.to, "id").select(*key, *self.bits), self.entered, key, "segments")
+            segments = self._new(go.join(self.to, "id").select(*key, *self.bits), self._near(self.entered), key, "segments")
             met = segments.join(self.back, ["way", "segment"]).select("word", "id", *self.bits)
-            self.entered = self._folded([*self.entered, segments], key)
-        self.found = self._new(met, self.seen, ["word", "id"], "found")
-        self.seen = self._folded([*self.seen, self.found], ["word", "id"])
+            self.entered = self._folded([*self._near(self.entered), segments], key)
+        self.found = self._new(met, self._near(self.seen), ["word", "id"], "found")
+        self.seen = self._folded([*self._near(self.seen), self.found], ["word", "id"])
         return self.found.limit(1).count() > 0
 
     def levels(self, depth: int | None = None, stop: DataFrame | None = None) -> Iterator[DataFrame]:
         """(word, id, bits) of each level, the sources first. Vertices in ``stop`` (id) are met and not passed, unless they are the source."""
+        self.all = stop is not None
         yield self.found
         while depth is None or self.level < depth:
             go = self.found if stop is None or not self.level else self.found.join(stop.select("id").distinct(), "id", "left_anti")
@@ -384,18 +390,25 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None, stop: DataFram
     tables = tables or Tables(edges.sparkSession, "hops")
     both = tables.keep(symmetric(edges), "edges")
     front = tables.keep(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist")).distinct(), "front")
-    seen = front  # the union of all fronts, which are written each
-    level = 0
+    fronts, level = [front], 0
+    stops = None if stop is None else stop.select("id").distinct()
     while depth is None or level < depth:
         level += 1
-        go = front if stop is None or level == 1 else front.join(stop.select("id").distinct(), "id", "left_anti")
-        step = go.join(both, go["id"] == both["src"]).select("source", F.col("dst").alias("id"), F.lit(level).alias("dist")).distinct()
-        front = tables.keep(step.join(seen, ["source", "id"], "left_anti"), "front")
+        go = front if stops is None or level == 1 else front.join(stops, "id", "left_anti")
+        step = go.join(both, go["id"] == both["src"]).select("source", F.col("dst").alias("id"), F.lit(True).alias("new"))
+        # a neighbour of the last level that is not new is on it or on the one before
+        for t in fronts[-2:]:
+            step = step.union(t.select("source", "id", F.lit(False).alias("new")))
+        after = step.groupBy("source", "id").agg(F.min("new").alias("new")).filter("new").select("source", "id", F.lit(level).alias("dist"))
+        front = tables.keep(after, "front")
         if not front.limit(1).count():
             break
-        # a union of many tables is written as one now and then
-        seen = tables.keep(seen.union(front), "seen") if level % 8 == 0 else seen.union(front)
-    return seen
+        fronts.append(front)
+    out = fronts[0]
+    for t in fronts[1:]:
+        out = out.union(t)
+    # a stop vertex is not passed, so it may be met again on any later level; but for it and the source every vertex is in one front
+    return out if stops is None else out.groupBy("source", "id").agg(F.min("dist").alias("dist"))
 
 
 def distances(graph: Incidence | DataFrame, pairs: DataFrame, tables: Tables | None = None) -> DataFrame:
@@ -445,7 +458,7 @@ def nearest(graph: Incidence | DataFrame, sources: DataFrame, wanted: DataFrame,
 def first_labelled(edges: DataFrame, sources: DataFrame, labelled: DataFrame, depth: int | None, tables: Tables | None = None) -> DataFrame:
     """(source, id, dist) of the labelled vertices that a search which does not pass labelled vertices reaches."""
     reached = hops(edges, sources, depth, labelled, tables)
-    return reached.filter("dist > 0").join(labelled.select("id").distinct(), "id", "left_semi").select("source", "id", "dist")
+    return reached.join(labelled.select("id").distinct(), "id", "left_semi").filter("dist > 0").select("source", "id", "dist")
 
 
 def nearest_level(edges: DataFrame, sources: DataFrame, wanted: DataFrame, tables: Tables | None = None) -> DataFrame:
@@ -471,6 +484,7 @@ def nearest_level(edges: DataFrame, sources: DataFrame, wanted: DataFrame, table
     return found if found is not None else sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist")).limit(0)
 
 
-def mean_path_length(lengths: DataFrame, key: list[str], n: str) -> DataFrame:
-    """(key, avg): floor of the vertices on shortest paths (hops + 1; unreachable counts 0) over ``n``."""
-    return lengths.groupBy(*key).agg(F.floor(F.sum(F.coalesce(F.col("dist") + 1, F.lit(0))) / F.first(n)).alias("avg_vertices"))
+def mean_path_length(lengths: DataFrame, key: list[str], n: str | None = None) -> DataFrame:
+    """(key, avg): floor of the vertices on shortest paths (hops + 1; unreachable counts 0) over ``n``, or over the rows there are."""
+    of = F.count(F.lit(1)) if n is None else F.first(n)
+    return lengths.groupBy(*key).agg(F.floor(F.sum(F.coalesce(F.col("dist") + 1, F.lit(0))) / of).alias("avg_vertices"))

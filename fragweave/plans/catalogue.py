@@ -415,8 +415,7 @@ def bounded_paths(spark, sf):
 
 @query(f"{_bfs('true')} SELECT source, floor(sum(dist + 1) / count(*))::BIGINT AS avg_vertices FROM d GROUP BY source")
 def mean_path_vertices(spark, sf):
-    rows = Tables(spark, "lengths").keep(bounded_paths(spark, sf), "paths")
-    return graphs.mean_path_length(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source"))), ["source"], "n")
+    return graphs.mean_path_length(bounded_paths(spark, sf), ["source"])
 
 
 @query(f"{_bfs(f'NOT {_URGENT}', f'NOT o.{_URGENT}')} SELECT source, id, dist FROM d JOIN orders ON o_orderkey = id WHERE {_URGENT} AND dist > 0")

@@ -1,6 +1,7 @@
 """Distances of asked pairs, in the driver and on the executors, against plain searches."""
 
 import random
+from collections import Counter
 
 import pytest
 from fragweave.operators import graphs, kernels
@@ -48,3 +49,44 @@ def test_a_search_ends_with_its_targets():
 def test_distances_of_no_pairs(spark):
     edges = spark.createDataFrame([(1, 2)], "src long, dst long")
     assert graphs.distances(edges, spark.createDataFrame([], "source long, target long")).collect() == []
+
+
+def random_graph(spark, seed):
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(rng.choice([30, 45, 70]))}
+    adjacent = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(40)}
+    return spark.createDataFrame(sorted(edges), "src long, dst long"), adjacent
+
+
+def plain_hops(adjacent, start, stop=()):
+    out, front = {start: 0}, [start]
+    while front:
+        front = sorted({n for v in front if v == start or v not in stop for n in adjacent[v]} - set(out))
+        out |= {v: max(out.values()) + 1 for v in front}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_searches_of_any_depth(spark, seed):
+    """Cycles and stop vertices, which are met again on later levels; all levels, by rows and by bits."""
+    edges, adjacent = random_graph(spark, seed)
+    ids, stop = spark.range(40).select("id"), set(range(0, 40, 4))
+    stops = ids.filter("id % 4 = 0")
+    for given, plain in ((None, ()), (stops, stop)):
+        want = {(s, v, d) for s in range(40) for v, d in plain_hops(adjacent, s, plain).items()}
+        assert sorted(map(tuple, graphs.hops(edges, ids, None, given).collect())) == sorted(want)
+        counts = Counter((v, d) for _, v, d in want)
+        assert {(r["id"], r["dist"]): r["n"] for r in graphs.reach(edges, ids, None, given).collect()} == counts
+    pairs = spark.createDataFrame([(a, (a * 7 + k) % 40) for a in range(40) for k in range(3)], "source long, target long")
+    got = {tuple(r) for r in graphs.distances(edges, pairs).collect()}
+    assert got == {(a, b, d) for a, b in map(tuple, pairs.collect()) if a != b and (d := plain_hops(adjacent, a).get(b)) is not None}
+
+
+def test_a_level_meets_the_last_two(spark, monkeypatch):
+    """On a long path each level reads two fronts before it, however many there are."""
+    read, real = [], Tables.keep
+    monkeypatch.setattr(Tables, "keep", lambda self, df, label="t": (read.append(len(df.inputFiles())) if label == "front" else None) or real(self, df, label))
+    edges = spark.range(12).selectExpr("id AS src", "id + 1 AS dst").coalesce(1)
+    got = graphs.hops(edges, spark.range(1).select("id").coalesce(1), None)
+    assert {tuple(r) for r in got.collect()} == {(0, k, k) for k in range(13)}
+    assert max(read[6:]) <= max(read[:6]) + 2
