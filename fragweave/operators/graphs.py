@@ -20,14 +20,17 @@ from ..functions.sequences import reversed_segment
 from ..scratch import Tables
 
 
-#: Rows of segments in a task when contigs meet by them; a larger table gets more tasks than the session's, so that none holds more.
+#: Rows of segments in a task when contigs meet by them.
 TASK_ROWS = 500_000
 
 
 def dealt(rows: DataFrame, n: int, *key: str) -> DataFrame:
-    """``rows`` by ``key``, in one task for each ``TASK_ROWS`` of ``n``, if these are more tasks than the session's."""
+    """``rows`` by ``key``, in one task for each ``TASK_ROWS`` of ``n`` and no fewer than the cores.
+
+    The number is fixed where there is more than one, as adaptive execution joins parts by their bytes: from some size on, tasks then grow with the table.
+    """
     tasks = -(-n // TASK_ROWS)
-    return rows.repartition(tasks, *key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*key)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *key) if tasks > 1 else rows.repartition(*key)
 
 
 def simple_edges(pairs: DataFrame, a: str = "a", b: str = "b", n: int | None = None) -> DataFrame:

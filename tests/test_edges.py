@@ -56,3 +56,21 @@ def test_more_tasks_for_a_larger_table(spark, monkeypatch):
     rows = spark.range(200).selectExpr("id AS contig_id", "id % 50 AS segment")
     edges = graphs.shared_edges(rows)
     assert edges.count() == 50 * 6 and edges.rdd.getNumPartitions() == 20
+
+
+@pytest.fixture
+def many_parts(spark):
+    """More shuffle partitions than a table needs, as on a cluster."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n, tasks", [(200, 20), (800, 80)])
+def test_tasks_hold_as_many_rows_whatever_the_session_says(spark, monkeypatch, many_parts, n, tasks):
+    monkeypatch.setattr(graphs, "TASK_ROWS", 10)
+    rows = spark.range(n).selectExpr("id AS contig_id", f"id % {n // 4} AS segment")
+    assert graphs.segments_of(rows, n).rdd.getNumPartitions() == tasks
+    edges = graphs.shared_edges(rows)
+    assert edges.rdd.getNumPartitions() == tasks and edges.count() == n // 4 * 6
