@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reversed_segment
@@ -84,38 +84,41 @@ def linked_edges(paths: DataFrame, links: DataFrame, n: int | None = None) -> Da
     return simple_edges(met(own, linked(turned(own), links), n), n=n)
 
 
-def shared_segments(one: DataFrame, many: DataFrame, style: str | None = None) -> DataFrame:
-    """(a, b): contigs of ``one`` and ``many``, both (contig_id, segment), with a segment or its reverse in common."""
-    left = one.select(F.col("contig_id").alias("a"), "segment").distinct()
-    if style:
-        left = left.union(left.select("a", reversed_segment(F.col("segment"), style).alias("segment"))).distinct()
-    return left.join(many.select(F.col("contig_id").alias("b"), "segment").distinct(), "segment").filter("a <> b").select("a", "b")
+def own_path(paths: DataFrame, n: int) -> DataFrame:
+    """(contig_id, segment, last): the first record of each contig, in one shuffle; ``last`` marks its last segment. ``n``: rows of paths."""
+    w = Window.partitionBy("contig_id").orderBy(F.col("record").asc_nulls_last(), F.col("pos").desc())
+    rows = dealt(paths.select("contig_id", "record", "pos", "segment"), n, "contig_id")
+    rows = rows.select("contig_id", "segment", (F.col("record") == F.first("record").over(w)).alias("own"), (F.row_number().over(w) == 1).alias("last"))
+    return rows.filter("own").drop("own")
 
 
-def linked_segments(one: DataFrame, links: DataFrame, many: DataFrame, style: str | None = None, unsigned: bool = False) -> DataFrame:
-    """(a, b): a segment of a, or its reverse, has a link (a -> b, both ways given) to a segment of b.
+def linked_ways(own: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """(contig_id, segment): what the segments of own, (contig_id, segment), or their reverse are linked to (a -> b, both ways given), signs at the end.
 
-    ``unsigned``: a linked ``-12`` also means a segment named ``12``.
+    A segment and its reverse differ in their last character alone, so segments and links meet by what is before it, and no reverse is shuffled.
     """
-    left = one.select(F.col("contig_id").alias("c"), "segment").distinct()
-    if style:
-        left = left.union(left.select("c", reversed_segment(F.col("segment"), style).alias("segment"))).distinct()
-    reached = left.join(links.select(F.col("a").alias("segment"), F.col("b").alias("to")), "segment").select("c", F.col("to").alias("segment")).distinct()
-    if unsigned:
-        reached = reached.union(reached.select("c", F.regexp_replace("segment", "^-", "").alias("segment"))).distinct()
-    right = many.select(F.col("contig_id").alias("d"), "segment").distinct()
-    return reached.join(right, "segment").filter("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+    def before(name: str) -> Column:
+        return F.left(F.col(name), F.length(name) - 1).alias("name")
+
+    x = dealt(own.select(before("segment"), "contig_id", "segment"), n, "name").distinct()
+    to = dealt(links.select(before("a"), "a", "b"), n, "name").distinct()
+    meets = (F.col("a") == F.col("segment")) | (F.col("a") == reversed_segment(F.col("segment"), "suffix"))
+    return x.join(to, "name").filter(meets).select("contig_id", F.col("b").alias("segment"))
 
 
 def spades_edges(paths: DataFrame, links: DataFrame, last_only: bool = True) -> DataFrame:
-    """paths: (contig_id, record, pos, segment). A contig's own path is its first record; others match by any record.
+    """paths: (contig_id, record, pos, segment). A contig's own path is its first record; others match by any record. Links may be repeated.
 
     ``last_only``: of the own path only the last segment counts for sharing, as in the tool whose results are matched.
     """
-    first = paths.groupBy("contig_id").agg(F.min("record").alias("record"))
-    own = paths.join(first, ["contig_id", "record"], "left_semi")
-    last = own.groupBy("contig_id").agg(F.max_by("segment", "pos").alias("segment")) if last_only else own
-    return simple_edges(shared_segments(last, paths, "suffix").union(linked_segments(own, links, paths, "suffix")))
+    n = paths.count()
+    own = own_path(paths, n)
+    shared = own.filter("last") if last_only else own
+    ways = shared.select("contig_id", F.explode(F.array("segment", reversed_segment(F.col("segment"), "suffix"))).alias("segment"))
+    left = segments_of(ways.union(linked_ways(own, links, n)), n)
+    right = segments_of(paths, n)
+    return simple_edges(left.select(F.col("contig_id").alias("a"), "segment").join(right.select(F.col("contig_id").alias("b"), "segment"), "segment"), n=n)
 
 
 def flye_edges(paths: DataFrame, links: DataFrame) -> DataFrame:

@@ -567,16 +567,15 @@ ab AS (SELECT o.c AS a, p.c AS b FROM one o JOIN p ON o.s = p.s UNION SELECT o.c
 @query(f"WITH {_SPADES} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ab WHERE a <> b")
 def spades_edges(spark, sf):
     """Parts as contigs with a path record for each line status; signs by line number."""
-    w = Window.partitionBy("l_partkey", "l_linestatus").orderBy("l_orderkey", "l_linenumber")
     paths = read(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("contig_id"),
         F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("record"),
-        F.row_number().over(w).alias("pos"),
+        F.struct("l_orderkey", "l_linenumber").alias("pos"),
         F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+")).alias("segment"),
     )
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     links = read(spark, sf, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("+")).alias("a"), F.concat(F.lead("o_orderkey").over(w).cast("string"), F.lit("-")).alias("b"))
-    return graphs.spades_edges(Tables(spark, "spades").keep(paths, "paths"), graph_files.both_ways(links.filter("b IS NOT NULL")))
+    return graphs.spades_edges(paths, graph_files.both_ways(links.filter("b IS NOT NULL"), once=False))
 
 
 _FLYE = f"""{_ORDER_LINKS}, k AS (SELECT x::VARCHAR AS a, '-' || y AS b FROM l WHERE y IS NOT NULL), kk AS (SELECT a, b FROM k UNION SELECT b, a FROM k),

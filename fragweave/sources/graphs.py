@@ -54,8 +54,10 @@ def read_oriented_links(spark: SparkSession, path, style: str, anywhere: bool =
     return rows.select(end(1).alias("a"), end(3).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
 
 
-def both_ways(links: DataFrame) -> DataFrame:
-    return links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def both_ways(links: DataFrame, once: bool = True) -> DataFrame:
+    """``once``: no link is repeated, at the price of a shuffle."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.distinct() if once else both
 
 
 def read_spades_paths(spark: SparkSession, path, compat: bool = True) -> DataFrame:

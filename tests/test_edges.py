@@ -74,3 +74,49 @@ def test_tasks_hold_as_many_rows_whatever_the_session_says(spark, monkeypatch, m
     assert graphs.segments_of(rows, n).rdd.getNumPartitions() == tasks
     edges = graphs.shared_edges(rows)
     assert edges.rdd.getNumPartitions() == tasks and edges.count() == n // 4 * 6
+
+
+def plain_spades(paths, links, last_only):
+    def ways(s):
+        return {s, s[:-1] + ("-" if s.endswith("+") else "+")}
+
+    out = set()
+    for a in {r[0] for r in paths}:
+        own = sorted((p, s) for c, r, p, s in paths if c == a and r == min(r for c, r, *_ in paths if c == a))
+        left = set().union(*(ways(s) for _, s in (own[-1:] if last_only else own) if s is not None))
+        mine = set().union(*(ways(s) for _, s in own if s is not None))
+        left |= {y for x, y in links if x in mine and y is not None}
+        out |= {(min(a, b), max(a, b)) for b, _, _, t in paths if a != b and t in left}
+    return out
+
+
+SPADES_PATHS = [(0, 0, (1, 1), "1+"), (0, 0, (1, 2), "2-"), (0, 3, (0, 9), "7+"), (1, 5, (4, 0), "2+"), (1, 2, (9, 0), "3x"), (1, 2, (3, 7), "4+"), (2, 0, (0, 0), ""), (3, 0, (0, 0), "+"), (4, 0, (0, 0), "x")]
+SPADES_PATHS += [(5, 1, (0, 0), "3+"), (6, 1, (0, 0), "7-"), (7, 1, (2, 0), "1-"), (7, 1, (10, 0), "9+"), (8, 4, (0, 0), "4+"), (8, 4, (0, 1), None), (9, 0, (0, 0), "8+"), (9, 0, (0, 0), "8+")]
+SPADES_LINKS = [("1-", "9+"), ("9+", "1-"), ("9+", "1-"), ("3x", "x"), ("x", "3x"), ("+", None), (None, "8+"), ("", "8+"), ("8+", ""), ("7+", "7+")]
+
+
+def spades(spark, last_only=True):
+    paths = spark.createDataFrame(SPADES_PATHS, "contig_id long, record int, pos struct<a: long, b: int>, segment string")
+    return graphs.spades_edges(paths, spark.createDataFrame(SPADES_LINKS, "a string, b string"), last_only)
+
+
+@pytest.mark.parametrize("last_only", [True, False])
+@pytest.mark.parametrize("task_rows", [3, 500_000])
+def test_spades_edges_of_odd_names(spark, monkeypatch, last_only, task_rows):
+    monkeypatch.setattr(graphs, "TASK_ROWS", task_rows)
+    got = [tuple(r) for r in spades(spark, last_only).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_spades(SPADES_PATHS, SPADES_LINKS, last_only)
+
+
+def test_spades_edges_shuffle_each_table_once(spark, monkeypatch):
+    """Own paths by contig, their segments, links, what is reached, all paths by segment, and the pairs."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        monkeypatch.setattr(graphs, "TASK_ROWS", 2)
+        plan = spades(spark)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("+- Exchange ") == 6 and plan.count("ReusedExchange ") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
