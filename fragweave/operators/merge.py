@@ -13,11 +13,7 @@ def merge_neighbours(bins: DataFrame, w_intra: float, kept: Tables | None = None
 
     bins: (bin_id, markers, profile, coverage), any number of them (``nearest.best_other``).
     """
-
-    def apart(a, b):
-        return ~F.arrays_overlap(a["markers"], b["markers"])
-
-    found = nearest.best_other(bins.select("bin_id", "markers", "profile", "coverage"), w_intra, apart, kept)
+    found = nearest.best_other(bins.select("bin_id", "markers", "profile", "coverage"), w_intra, "markers", kept)
     return found.select(F.col("own").alias("bin_id"), F.col("bin_id").alias("partner"), "weight")
 
 

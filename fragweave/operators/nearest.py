@@ -7,6 +7,7 @@ Bins go to the nearest of a few pivots (bins themselves) and are laid in blocks
 of use only where its distances overlap with the row's distance to the pivot, give or take the radius: a range join with the blocks' bounds, whose number is
 at most ``BLOCKS + PIVOTS`` and which are broadcast. Blocks are joined by their number, and a bin in a block is scored only if its own
 distance allows it. A block that many rows need is one row on its side, so the other side can be split. Rounding is met by slack in the radius.
+Where vectors are whole, ``boxes`` takes the coverage into the bounds as well and forms weights in blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import MAX_WEIGHT, MU_INTER, SIGMA_INTER, SIGMA_INTRA, euclidean, pair_weight
 from ..scratch import Tables, spread
+from . import boxes
 
 #: Bins up to which a row meets them all in place.
 DENSE = 64
@@ -48,6 +50,18 @@ def radius(weight: Column) -> Column:
     return F.when(weight >= FARTHEST_WEIGHT, F.lit(FARTHEST)).otherwise(F.least(near, F.lit(FARTHEST)))
 
 
+@dataclass(frozen=True)
+class Other:
+    """Which bins a row may have: not the one in its column ``own``, and, with ``unlike``, none that shares a value of this list with the row's struct ``_a``."""
+
+    own: str
+    unlike: str | None = None
+
+    def __call__(self, b: Column) -> Column:
+        other = b["bin_id"] != F.col(self.own)
+        return other if self.unlike is None else other & ~F.arrays_overlap(b[self.unlike], F.col(f"_a.{self.unlike}"))
+
+
 @dataclass
 class Index:
     #: One row: ``_pivots``, structs of (bin_id, profile, coverage).
@@ -107,6 +121,12 @@ def best(rows: DataFrame, key: str, bins: DataFrame, kept: Tables | None = None,
         return F.array_min(F.filter(each, lambda s: s["weight"] <= limit) if limit is not None else each)
 
     n = bins.count()
+    if n > dense and (allowed is None or isinstance(allowed, Other)):
+        kept = kept or Tables(rows.sparkSession, "nearest")
+        rows, bins = (t.filter("profile IS NOT NULL AND coverage IS NOT NULL") for t in (rows, bins))
+        if boxes.fits(rows, bins, key):
+            unlike = allowed.unlike if allowed else None
+            return boxes.best(rows, key, bins, n, kept, limit, allowed.own if allowed else None, (f"_a.{unlike}", unlike) if unlike else None)
     if n <= dense:
         every = bins.agg(F.collect_list(F.struct(*bins.columns)).alias("_bins"))  # one row, of checked size
         out = spread(rows).join(F.broadcast(every)).select(key, lowest(F.col("_bins")).alias("_b"))
@@ -119,10 +139,10 @@ def best(rows: DataFrame, key: str, bins: DataFrame, kept: Tables | None = None,
     return out.filter(F.col("_b").isNotNull() & (F.col("_b.weight") < MAX_WEIGHT)).select(key, "_b.bin_id", "_b.weight")
 
 
-def best_other(bins: DataFrame, limit: float | None = None, apart: Callable[[Column, Column], Column] | None = None, kept: Tables | None = None) -> DataFrame:
+def best_other(bins: DataFrame, limit: float | None = None, unlike: str | None = None, kept: Tables | None = None) -> DataFrame:
     """(own, bin_id, weight): each bin's nearest other bin, the smaller id on ties, as ``best`` finds it.
 
-    bins: (bin_id, profile, coverage) and what ``apart``, given two of these further columns' structs, needs. Bins that agree in all but their id are one
+    bins: (bin_id, profile, coverage), and ``unlike`` if given: a list in which two bins may have no value in common. Bins that agree in all but their id are one
     class and are met once: what is scored grows with the pairs of classes, however many copies they have.
     """
     kept = kept or Tables(bins.sparkSession, "classes")
@@ -136,17 +156,14 @@ def best_other(bins: DataFrame, limit: float | None = None, apart: Callable[[Col
     rows = classes.select(F.col("_least").alias("_class"), "_a", "_a.profile", "_a.coverage")
     every = classes.select(F.col("_least").alias("bin_id"), "_a.profile", "_a.coverage", *extra)
 
-    def allowed(b: Column) -> Column:
-        other = b["bin_id"] != F.col("_class")
-        return other & apart(b, F.col("_a")) if apart else other
-
+    allowed = Other("_class", unlike)
     found = best(rows, "_class", every, kept, limit, allowed).select(F.col("_class").alias("_least"), F.struct("weight", "bin_id").alias("_b"))
     own = F.coalesce(pair_weight(F.col("_a.profile"), F.col("_a.coverage"), F.col("_a.profile"), F.col("_a.coverage")), F.lit(MAX_WEIGHT))
     may = F.col("_next").isNotNull() & (own < MAX_WEIGHT)
     if limit is not None:
         may = may & (own <= limit)
-    if apart:
-        may = may & apart(F.col("_a"), F.col("_a"))
+    if unlike:
+        may = may & ~F.arrays_overlap(f"_a.{unlike}", f"_a.{unlike}")
     told = classes.join(found, "_least", "left").select("_a", "_least", "_next", "_b", F.when(may, own).alias("_own"))
     each = bins.select(F.col("bin_id").alias("own"), alike.alias("_a")).join(told, "_a")
     copy = F.when(F.col("_own").isNotNull(), F.struct(F.col("_own").alias("weight"), F.when(F.col("own") == F.col("_least"), F.col("_next")).otherwise(F.col("_least")).alias("bin_id")))
