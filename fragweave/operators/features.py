@@ -5,7 +5,7 @@ Profiles are long, (id, kmer, freq), while they are grouped, and dense arrays in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import floored
@@ -79,9 +79,28 @@ def sample_count(coverage: DataFrame) -> int:
     return row["lo"]
 
 
+#: Parts of one that sums are exact in, and the largest number that is summed so: its parts are a long.
+PARTS, LARGEST = 1 << 40, float(1 << 22)
+
+
+def exact_mean(x: Column) -> Column:
+    """The mean, whatever the order of the rows: groups of the same values have the same mean, where sums of doubles may differ in their last digits.
+
+    Numbers are summed in whole parts of 1 / ``PARTS``; what is left of them is too small to be seen in the mean but for its last digit at most. Where a
+    group has one that is not finite or above ``LARGEST``, the mean is the plain one.
+    """
+    parts = F.floor(x * F.lit(float(PARTS))).cast("decimal(38,0)")
+    fine = F.abs(x) <= LARGEST
+    rest = x * F.lit(float(PARTS)) - F.floor(x * F.lit(float(PARTS)))
+    # the rest in the same way, again in whole parts
+    small = F.floor(rest * F.lit(float(PARTS))).cast("decimal(38,0)")
+    total = F.sum(F.when(fine, parts)).cast("double") / F.lit(float(PARTS)) + F.sum(F.when(fine, small)).cast("double") / F.lit(float(PARTS)) / F.lit(float(PARTS))
+    return F.when(F.bool_and(fine), total / F.count(x)).otherwise(F.avg(x))
+
+
 def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, vector): element-wise means."""
-    each = rows.select(group, F.posexplode(vector).alias("_p", "_x")).groupBy(group, "_p").agg(F.avg("_x").alias("_m"))
+    """(group, vector): element-wise means, the same for the same values in any order."""
+    each = rows.select(group, F.posexplode(vector).alias("_p", "_x")).groupBy(group, "_p").agg(exact_mean(F.col("_x").cast("double")).alias("_m"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"])
     return each.groupBy(group).agg(ordered.alias(vector))
 

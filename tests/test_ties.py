@@ -1,0 +1,30 @@
+"""Bins of the same values tie, in whatever order their members come."""
+
+import random
+
+from fragweave.operators import features, merge
+from pyspark.sql import functions as F
+
+
+def test_bins_of_the_same_values_tie(spark):
+    rng = random.Random(2)
+    values = [([rng.random() * 0.01 for _ in range(5)], [rng.choice([1e-4, 3.0, 7.1]) for _ in range(5)]) for _ in range(300)]
+    rows = []
+    for b in range(6):
+        rng.shuffle(values)
+        rows += [(b * 1000 + k, b, *v) for k, v in enumerate(values)]
+    f = spark.createDataFrame(rows, "contig_id long, bin_id long, profile array<double>, coverage array<double>").repartition(7, "contig_id")
+    bins = features.bin_profiles(f.select("bin_id", "contig_id"), f.drop("bin_id"))
+    means = {tuple(r["profile"]) + tuple(r["coverage"]) for r in bins.collect()}
+    assert len(means) == 1
+    for got, k, part in ((x, k, p) for x in means for p, start in (("profile", 0), ("coverage", 5)) for k in range(start, start + 5)):
+        own = [v[part == "coverage"][k % 5] for v in values]
+        assert abs(got[k] - sum(own) / len(own)) < 1e-13
+    marked = bins.withColumn("markers", F.array((F.col("bin_id") % 3).cast("string")))
+    assert {r["bin_id"]: r["partner"] for r in merge.merge_neighbours(marked, 30.0).collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_odd_numbers_have_plain_means(spark):
+    rows = [("a", [1e300, -2.5]), ("a", [3e300, None]), ("b", [float("nan"), 1.0]), ("b", [1.0, 2.0]), ("c", [float("inf"), None]), ("d", [5e6, 4194304.0]), ("d", [7e6, 0.5])]
+    got = {r["g"]: r["v"] for r in features.mean_vectors(spark.createDataFrame(rows, "g string, v array<double>"), "g", "v").collect()}
+    assert got["a"] == [2e300, -2.5] and str(got["b"]) == "[nan, 1.5]" and got["c"] == [float("inf"), None] and got["d"] == [6e6, 2097152.25]
